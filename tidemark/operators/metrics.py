@@ -88,7 +88,7 @@ def account_distribution(scores: DataFrame, by: Sequence[str], value: str) -> Da
         F.count(F.lit(1)).alias("n_accounts"),
         (100 * F.avg((F.col(value) > 0).cast("double"))).alias("pct_positive"),
     )
-    return shares.join(quarters, list(by)) if by else shares.crossJoin(quarters)
+    return shares.join(quarters, list(by))
 
 
 def benchmark_summary(scores: DataFrame, baseline: str = "baseline") -> DataFrame:

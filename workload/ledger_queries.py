@@ -294,12 +294,7 @@ def c9(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-def merchant_sql(cp="counterparty", de="details"):
-    return (f"substring(trim(regexp_replace(upper(regexp_replace(case when trim(coalesce({cp}, '')) <> '' "
-            f"then trim({cp}) else coalesce({de}, '') end, '\\p{{Nd}}', '', 'g')), '[\\s\\p{{Z}}]+', ' ', 'g')), 1, 24)")
-
-
-@query("c10_merchant_key", f"with {ODD_EVENTS} select account_id, id, {merchant_sql()} merchant from odd")
+@query("c10_merchant_key", f"with {ODD_EVENTS} select account_id, id, {Q.merchant()} merchant from odd")
 def c10(spark, sf):
     return _odd_events(spark, sf).select(
         "account_id", "id", L.merchant_key(F.col("counterparty"), F.col("details")).alias("merchant"))
