@@ -42,7 +42,11 @@ def choose_window(rows: DataFrame, freq: str) -> DataFrame:
     return scores.select("account_id", best["window"].alias("window"), best["rmse"].alias("cv_rmse"))
 
 
+def window_mean(freq: str) -> Column:
+    """Trailing mean over the chosen window of a row."""
+    return F.coalesce(*[F.when(F.col("window") == w, F.col(f"nf_roll_mean_{w}")) for w in ROLLS[freq]])
+
+
 def moving_average(rows: DataFrame, freq: str, model: str = "baseline") -> DataFrame:
     """Predict the total flow by the trailing mean of the chosen window."""
-    mean = F.coalesce(*[F.when(F.col("window") == w, F.col(f"nf_roll_mean_{w}")) for w in ROLLS[freq]])
-    return predictions(rows.join(choose_window(rows, freq), "account_id"), model, mean)
+    return predictions(rows.join(choose_window(rows, freq), "account_id"), model, window_mean(freq))

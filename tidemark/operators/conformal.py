@@ -69,13 +69,14 @@ def prequential_spec(
 def global_spec(calibration: DataFrame, levels: Sequence[float] = LEVELS, sigma: str = SIGMA) -> DataFrame:
     """One spec for all accounts from calibration rows with columns y, prediction and ``sigma``."""
     size = calibration.select(F.abs(F.col(sigma)).alias("v"), "y", "prediction")
-    ref = exact_quantiles(size, [], "v", {"ref": 0.5})
-    scores = size.join(F.broadcast(ref)).select(
-        (F.abs(F.col("y") - F.col("prediction")) / volatility(F.col("ref"), F.col("v"))).alias("score"))
+    ref = exact_quantiles(size, [], "v", {"ref": 0.5}).scalar()
+    scores = size.select(
+        (F.abs(F.col("y") - F.col("prediction")) / volatility(ref, F.col("v"))).alias("score"))
     wanted = {f"m{i}": (lambda n, c=level: _position(n, c)) for i, level in enumerate(levels)}
-    wide = exact_quantiles(scores, [], "score", wanted).join(F.broadcast(ref))
+    wide = exact_quantiles(scores, [], "score", wanted)
     options = [F.struct(F.lit(c).alias("level"), F.col(f"m{i}").alias("margin")) for i, c in enumerate(levels)]
-    return wide.select(F.lit(None).cast("long").alias("account_id"), "ref", F.inline(F.array(*options)))
+    return wide.select(
+        F.lit(None).cast("long").alias("account_id"), ref.alias("ref"), F.inline(F.array(*options)))
 
 
 def intervals(scored: DataFrame, spec: DataFrame, sigma: str | None = SIGMA, point: str = "y_pred") -> DataFrame:
@@ -87,10 +88,9 @@ def intervals(scored: DataFrame, spec: DataFrame, sigma: str | None = SIGMA, poi
 
 
 def global_intervals(scored: DataFrame, spec: DataFrame, sigma: str = SIGMA, point: str = "y_pred") -> DataFrame:
-    """As ``intervals`` with one spec for every account (its few rows travel as one array)."""
-    packed = spec.agg(
-        F.first("ref").alias("ref"), F.sort_array(F.collect_list(F.struct("level", "margin"))).alias("spec"))
-    rows = scored.join(F.broadcast(packed)).select("*", F.inline("spec")).drop("spec")
+    """As ``intervals`` with one spec for every account (its few rows become a scalar array)."""
+    packed = spec.agg(F.sort_array(F.collect_list(F.struct("level", "margin", "ref"))).alias("spec"))
+    rows = scored.select("*", F.inline(packed.scalar()))
     half = F.col("margin") * volatility(F.col("ref"), F.col(sigma))
     return rows.withColumn("lo", F.col(point) - half).withColumn("hi", F.col(point) + half).drop("ref", "margin")
 

@@ -143,11 +143,14 @@ def choose_regularised(family: DataFrame) -> DataFrame:
     return best.select("account_id", *[F.col(f"best.{f}").alias(f) for f in fields])
 
 
-def fold_residuals(rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5) -> DataFrame:
+def fold_residuals(
+    rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5, alphas: Sequence[float] | None = None
+) -> DataFrame:
     """Out-of-fold ridge residuals of the training rows."""
+    grid = solvers.RIDGE_ALPHAS if alphas is None else np.asarray(alphas, dtype=float)
 
     def body(x, y, periods):
-        place, resid = solvers.fold_residuals(solvers.ridge, x, y, k)
+        place, resid = solvers.fold_residuals(lambda a, b: solvers.ridge(a, b, grid), x, y, k)
         return pd.DataFrame({"period": periods[place], "residual": resid})
 
     return _grouped(rows, features, target, body, RESIDUAL_SCHEMA)

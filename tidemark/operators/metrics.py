@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import cut
 
 # Thresholds below which a scale or a holdout counts as flat.
 FLAT_SCALE = 1e-9
@@ -64,6 +65,38 @@ def mase(preds: DataFrame, scales: DataFrame) -> DataFrame:
         "account_id", "model", (F.col("mae") / F.col("scale")).alias("mase"))
 
 
+def holdout_scores(rows: DataFrame, models: dict[str, Column]) -> DataFrame:
+    """RMSE, MAE, R2 and MASE of prediction columns, one row per account and model.
+
+    One pass: training scale and holdout errors come out of a single aggregate on rows that are
+    already partitioned by account.
+    """
+    by_period = Window.partitionBy("account_id").orderBy("period")
+    change = F.abs(F.col("net_flow") - F.lag("net_flow").over(by_period))
+    test, y = F.col("is_test"), F.col("total_next")
+    slim = rows.select(
+        "account_id", "is_test", "net_flow", "total_next", change.alias("__change"),
+        *[p.alias(f"__p{i}") for i, p in enumerate(models.values())],
+    )
+    aggs = [
+        F.coalesce(F.avg(F.when(~test, F.col("__change"))), F.lit(0.0)).alias("__step"),
+        F.avg(F.when(~test, F.abs("net_flow"))).alias("__level"),
+    ]
+    for i in range(len(models)):
+        true, pred = F.when(test, y), F.when(test, F.col(f"__p{i}"))
+        aggs += [*error_aggregates(true, pred, f"__{i}_"), r2(true, pred).alias(f"__{i}_r2")]
+    level = F.when(F.col("__level") == 0, 1.0).otherwise(F.col("__level"))
+    scale = F.when(F.col("__step") < FLAT_SCALE, level).otherwise(F.col("__step"))
+    long = [
+        F.struct(
+            F.lit(name).alias("model"), F.col(f"__{i}_rmse").alias("rmse"), F.col(f"__{i}_mae").alias("mae"),
+            F.col(f"__{i}_r2").alias("r2"), (F.col(f"__{i}_mae") / scale).alias("mase"),
+        )
+        for i, name in enumerate(models)
+    ]
+    return slim.groupBy("account_id").agg(*aggs).select("account_id", F.inline(F.array(*long)))
+
+
 def pinball(y: Column, q: Column, alpha: float) -> Column:
     d = y - q
     return F.avg(F.greatest(alpha * d, (alpha - 1) * d))
@@ -94,9 +127,11 @@ def account_distribution(scores: DataFrame, by: Sequence[str], value: str) -> Da
 def benchmark_summary(scores: DataFrame, baseline: str = "baseline") -> DataFrame:
     """Per model over all accounts: median MASE and R2, share beating the naive scale, best model.
 
-    ``scores`` has account_id, model, mase, r2.  The summary has one row per model, so marking the
-    best of them compares a handful of rows.
+    ``scores`` has account_id, model, mase, r2; it is read several times, so it is written to the
+    shared folder first.  The summary has one row per model, so marking the best of them compares
+    a handful of rows.
     """
+    scores = cut(scores.select("account_id", "model", "mase", "r2"))
     errors = exact_quantiles(scores, ["model"], "mase", {"median_mase": 0.5})
     fits = exact_quantiles(scores, ["model"], "r2", {"median_r2": 0.5})
     beats = scores.groupBy("model").agg(

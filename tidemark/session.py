@@ -43,13 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    Used where several fits or branches read the same table: the work before the cut runs once,
-    and a lost executor costs a re-read instead of a recomputation.
+    Used where several fits or branches read the same table: the work before the cut runs once, a
+    lost executor costs a re-read instead of a recomputation, and later reads prune columns.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = fresh_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,8 @@ from tidemark.operators import baseline as B
 from tidemark.operators import features as X
 from tidemark.operators import folds as O
 from tidemark.operators import metrics as M
-from tidemark.operators import recurring as N
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import cut
 from workload import adapters as A
 from workload import panels
 from workload import sqltext as Q
@@ -69,9 +70,9 @@ def f3(spark, sf):
 
 
 @query("f4_rolling_flow", "with " + WEEK_ALL + " select account_id, period, " + ", ".join(
-    [f'"{c}"' for c in ROLL_COLS] + [f'round("{c}", 2) "{c}"' for c in STD_COLS]) + " from allfeat")
+    [f'"{c}"' for c in ROLL_COLS] + [f'round("{c}", 1) "{c}"' for c in STD_COLS]) + " from allfeat")
 def f4(spark, sf):
-    return _matrix(spark, sf).select("account_id", "period", *ROLL_COLS, *[num(c, digits=2) for c in STD_COLS])
+    return _matrix(spark, sf).select("account_id", "period", *ROLL_COLS, *[num(c, digits=1) for c in STD_COLS])
 
 
 @query("f5_intensity", "with " + WEEK_ALL + _sql(["txn_roll_mean"]))
@@ -265,9 +266,9 @@ def _two_models(spark, sf):
 @query("e11_benchmark_summary", "with " + TWO_MODELS + """ select model, count(*) n_clients, round(100 * avg((mase < 1)::int), 6) pct_beats_naive,
 round(median(mase), 6) median_mase, round(median(r2), 6) median_r2, model = 'average' is_best from scores group by 1""")
 def e11(spark, sf):
-    rows, preds = _two_models(spark, sf)
-    scores = M.mase(preds, M.naive_scale(rows)).join(
-        M.flow_metrics(preds).select("account_id", "model", "r2"), ["account_id", "model"])
+    rows, _ = panels.weekly_split(spark, sf)
+    rows = rows.join(B.choose_window(rows, "W"), "account_id")
+    scores = M.holdout_scores(rows, {"baseline": F.col("net_flow"), "average": B.window_mean("W")})
     return nums(M.benchmark_summary(scores), 6)
 
 
@@ -313,9 +314,7 @@ def m2(spark, sf):
 def flagship(spark, sf):
     """Ledger to labels to daily to weekly to features to holdout to the panel's median MASE."""
     rows, _ = panels.weekly_split(spark, sf)
-    scores = M.mase(B.naive(rows), M.naive_scale(rows))
-    from tidemark.operators.quantiles import exact_quantiles
-
+    scores = cut(M.holdout_scores(rows, {"baseline": F.col("net_flow")}).select("model", "mase"))
     middle = exact_quantiles(scores, ["model"], "mase", {"median_mase": 0.5})
     counts = scores.groupBy("model").agg(F.count(F.lit(1)).alias("n_accounts"))
     return middle.join(counts, "model").select("model", num("median_mase", digits=6), "n_accounts")
