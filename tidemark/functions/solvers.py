@@ -68,27 +68,70 @@ def time_folds(n, k=5):
     return [(n - (k - f) * size, size) for f in range(k)]
 
 
-def lasso_path(gram, cross, alphas, tol, sweeps=400):
-    """Coordinate descent for a stack of problems at once.
+def lasso_knots(gram, cross, floor):
+    """Exact lasso path by homotopy: penalties (falling) and coefficients at its kinks.
 
-    gram (m, p, p) and cross (m, p) are per-row averages, alphas (m, a); returns (m, p, a).
+    ``gram`` and ``cross`` are per-row averages.  Between kinks the active coefficients move along
+    one direction that lowers all active correlations together; a kink is a feature joining or
+    leaving.
     """
-    m, p = cross.shape
-    beta = np.zeros((m, p, alphas.shape[1]))
-    diag = np.einsum("mpp->mp", gram)
-    live = [j for j in range(p) if np.any(diag[:, j] > 1e-12)]
-    for _ in range(sweeps):
-        moved = 0.0
-        for j in live:
-            d = np.where(diag[:, j] > 1e-12, diag[:, j], np.inf)[:, None]
-            own = np.where(np.isfinite(d), d, 0.0)
-            rho = cross[:, j, None] - np.matmul(gram[:, j, None, :], beta)[:, 0, :] + own * beta[:, j, :]
-            new = np.sign(rho) * np.maximum(np.abs(rho) - alphas, 0.0) / d
-            moved = max(moved, float(np.abs(new - beta[:, j, :]).max()))
-            beta[:, j, :] = new
-        if moved < tol:
+    p = len(cross)
+    usable = np.diag(gram) > 1e-12
+    for j in range(1, p):
+        # of columns that are multiples of each other only the first may enter
+        same = np.abs(gram[j, :j]) >= (1 - 1e-10) * np.sqrt(gram[j, j] * np.diag(gram)[:j])
+        usable[j] &= not np.any(same & usable[:j])
+    corr, beta = np.where(usable, cross, 0.0), np.zeros(p)
+    alpha = np.abs(corr).max()
+    active, left = [int(np.argmax(np.abs(corr)))], -1
+    alphas, betas = [alpha], [beta.copy()]
+    for _ in range(8 * p):
+        try:
+            move = np.linalg.solve(gram[np.ix_(active, active)], np.sign(corr[active]))
+        except np.linalg.LinAlgError:
             break
-    return beta
+        if not np.all(np.isfinite(move)) or np.abs(move).max() > 1e10:
+            break
+        rate = gram[:, active] @ move
+        idle = usable.copy()
+        idle[active] = False
+        if left >= 0:
+            idle[left] = False
+        with np.errstate(divide="ignore", invalid="ignore"):
+            join = np.minimum(
+                np.where(rate < 1, (alpha - corr) / (1 - rate), np.inf),
+                np.where(rate > -1, (alpha + corr) / (1 + rate), np.inf),
+            )
+            leave = -beta[active] / move
+        join = np.where(idle, np.maximum(join, 0.0), np.inf)
+        leave = np.where(leave > 1e-15, leave, np.inf)
+        step = min(join.min(), leave.min(), alpha - floor)
+        beta[active] += step * move
+        corr -= step * np.where(usable, rate, 0.0)
+        alpha -= step
+        goes = leave.min() <= step and leave.min() <= join.min()
+        left = active[int(np.argmin(leave))] if goes else -1
+        if goes:
+            beta[left] = 0.0
+        alphas.append(alpha)
+        betas.append(beta.copy())
+        if alpha <= floor * (1 + 1e-12):
+            break
+        if goes:
+            active.remove(left)
+            if not active:
+                break
+        else:
+            active.append(int(np.argmin(join)))
+    return np.asarray(alphas), np.asarray(betas)
+
+
+def lasso_at(gram, cross, wanted):
+    """Coefficients (p, len(wanted)) for falling penalties ``wanted``."""
+    if np.abs(cross).max() <= wanted[-1]:
+        return np.zeros((len(cross), len(wanted)))
+    alphas, betas = lasso_knots(gram, cross, wanted[-1])
+    return np.stack([np.interp(wanted[::-1], alphas[::-1], b[::-1])[::-1] for b in betas.T])
 
 
 def lasso(x, y, k=5):
@@ -99,20 +142,21 @@ def lasso(x, y, k=5):
     cuts = [(a, b) for a, b in time_folds(n, k) if a >= 2 and b >= 1]
     ends = [a for a, _ in cuts] + [n]
     centres = [(z[:e].mean(axis=0), y[:e].mean()) for e in ends]
-    gram = np.stack([(z[:e] - c).T @ (z[:e] - c) / e for e, (c, _) in zip(ends, centres)])
-    cross = np.stack([(z[:e] - c).T @ (y[:e] - v) / e for e, (c, v) in zip(ends, centres)])
-    top = np.abs(cross[-1]).max()
+    top = np.abs((z - centres[-1][0]).T @ (y - centres[-1][1])).max() / n
     if top <= 0 or not cuts:
         return np.zeros(x.shape[1]), mean, scale, y.mean(), 0.0
     alphas = np.geomspace(top, top * PATH_DEPTH, PATH_LENGTH)
-    beta = lasso_path(gram, cross, np.tile(alphas, (len(ends), 1)), tol=1e-4 * max(y.std(), 1e-12))
+    betas = []
+    for end, (c, v) in zip(ends, centres):
+        zc, yc = z[:end] - c, y[:end] - v
+        betas.append(lasso_at(zc.T @ zc / end, zc.T @ yc / end, alphas))
     errors = np.zeros(PATH_LENGTH)
     for i, (a, b) in enumerate(cuts):
         c, v = centres[i]
-        pred = (z[a : a + b] - c) @ beta[i] + v
+        pred = (z[a : a + b] - c) @ betas[i] + v
         errors += ((y[a : a + b, None] - pred) ** 2).mean(axis=0)
     best = int(np.argmin(errors))
-    return beta[-1][:, best], mean, scale, y.mean(), float(alphas[best])
+    return betas[-1][:, best], mean, scale, y.mean(), float(alphas[best])
 
 
 def fold_rmse(fit, x, y, k=5):

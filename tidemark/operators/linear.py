@@ -75,6 +75,9 @@ def _grouped(rows: DataFrame, features: Sequence[str], target: str, body, schema
         return out
 
     slim = train_only(rows).select("account_id", "period", *names, *([target] if target not in names else []))
+    # a stated number of partitions keeps adaptive execution from folding this costly, but small,
+    # table into one task
+    slim = slim.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account_id")
     return slim.groupBy("account_id").applyInPandas(per_account, schema)
 
 
