@@ -11,7 +11,6 @@ from tidemark.operators import linear as LN
 from tidemark.operators import projection as PJ
 from tidemark.operators import recurring as N
 from tidemark.session import cut
-from workload import adapters as A
 from workload import panels
 from workload import sqltext as Q
 from workload.forecast_queries import ONE, split_rows
@@ -132,8 +131,7 @@ def u6(spark, sf):
 @query("u7_balance_fan", "with " + BANDS + """
 select account_id, period, level, round(anchor + lo, 1) lo, round(anchor + hi, 1) hi, round(anchor + y_pred, 1) p50, 'holdout' kind from bands""")
 def u7(spark, sf):
-    return nums(C.balance_fan(_naive_bands(spark, sf)).withColumn("level", F.col("level").cast("string")), 1).withColumn(
-        "level", F.col("level").cast("double"))
+    return _rounded_bands(C.balance_fan(_naive_bands(spark, sf)))
 
 
 @query("u8_width_statistics", "with " + BANDS + """
@@ -224,6 +222,3 @@ select account_id, period, cast(end_balance as double) end_balance
 from (select *, row_number() over (partition by account_id order by period desc) k from weekly) where k <= 38""")
 def u13(spark, sf):
     return nums(PJ.history_tail(panels.weekly_panel(spark, sf), 12))
-
-
-__all__ = ["A", "naive_residuals"]
