@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,9 +121,16 @@ def with_target(matrix: DataFrame, mode: str = "total") -> DataFrame:
 
 
 def complete_cases(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows whose features, target and frame are all known; adds the count left per account."""
-    kept = rows.dropna(how="any", subset=[*features, *FRAME])
-    return kept.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy("account_id")))
+    """Rows whose features, target and frame are all known; adds the count left per account.
+
+    The flag goes through the counting window before it is filtered on, so the optimizer sees a
+    filter on one column and not on every feature (its constraint inference would otherwise grow
+    exponentially with the number of features).
+    """
+    known = reduce(and_, [F.col(c).isNotNull() for c in dict.fromkeys([*features, *FRAME])])
+    counted = rows.withColumn("__known", known).withColumn(
+        "n_rows", F.count_if("__known").over(Window.partitionBy("account_id")))
+    return counted.where("__known").drop("__known")
 
 
 def length_gate(rows: DataFrame, min_periods: int, min_rows: int) -> DataFrame:
