@@ -103,11 +103,24 @@ def m17(spark, sf):
     return NC.warm_start(_bench(spark, sf, {"random_forest": SETTINGS["random_forest"]}), trees=10, repeats=1)
 
 
-@query("m18_weekly_tracks")
-def m18(spark, sf):
-    tx, daily = cut(A.ledger_flows(spark, sf).drop("id").withColumn(
-        "id", F.struct("kind", "k1", "k2", "counterparty", "details", "amount"))), cut(panels.daily_panel(spark, sf))
-    return TR.run_grid(tx, daily, freqs=("W",), forest=FOREST, linear="ridge")
+def _weekly_track(spark, sf, mode):
+    tx, daily = cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf))
+    return TR.run_grid(tx, daily, freqs=("W",), modes=(mode,), forest=FOREST, linear="ridge")
+
+
+@query("m18_weekly_direct_track")
+def m18_direct(spark, sf):
+    return _weekly_track(spark, sf, "direct")
+
+
+@query("m18_weekly_decomposed_track")
+def m18_decomposed(spark, sf):
+    return _weekly_track(spark, sf, "decomposed")
+
+
+@query("m18_weekly_agnostic_track")
+def m18_agnostic(spark, sf):
+    return _weekly_track(spark, sf, "decomp_agnostic")
 
 
 @query("m18_daily_direct_track")
