@@ -123,12 +123,6 @@ def m18_agnostic(spark, sf):
     return _weekly_track(spark, sf, "decomp_agnostic")
 
 
-@query("m18_daily_direct_track")
-def m18_daily(spark, sf):
-    tx, daily = A.ledger_flows(spark, sf), cut(panels.daily_panel(spark, sf))
-    return TR.run_grid(tx, daily, freqs=("D",), modes=("direct",), forest=FOREST, linear="ridge")
-
-
 @query("x2_tree_attribution")
 def x2(spark, sf):
     rows, names = split_rows(spark, sf)
