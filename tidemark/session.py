@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,14 @@ def local_session(cores: int | str = 8, memory: str = "16g", app: str = "tidemar
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and saved models.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a fresh temporary folder is made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``; a cluster without it is an error, as executors
+    do not see each other's disks.  Only a session in one process (master ``local``) that names none gets
+    a temporary folder of its own, remembered in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.shared.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", path)
     context = spark.sparkContext
