@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, url_filter
+from tidemark.llm import ann, mixing, page_text, pieces, simhash, toxicity, url_filter, va_file
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -33,3 +33,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the list entries active on its fetch day."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(url_filter.page_captures(pages), url_filter.page_lists(pages))
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of near duplicates of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_approximate_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op7_exact_top_k", va_file.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op9_piece_codec")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document."""
+    model = pieces.read_model(pieces.model_path())
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document; the model is fitted on the table's labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.graded(docs, docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op10_page_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
