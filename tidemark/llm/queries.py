@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, mixing, page_text, pieces, simhash, toxicity, url_filter, va_file
+from tidemark.llm import ann, katz, mixing, page_text, pieces, simhash, toxicity, url_filter, va_file
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_page_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op4_katz_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
