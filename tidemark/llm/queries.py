@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, katz, mixing, page_text, pieces, simhash, toxicity, url_filter, va_file
+from tidemark.llm import ann, katz, mixing, page_text, passages, pieces, simhash, toxicity, url_filter, va_file
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_katz_scores")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_repeated_passages")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document repeats from an earlier one."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
