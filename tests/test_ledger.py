@@ -21,15 +21,24 @@ def test_running_totals_match_a_plain_order(spark):
     pdf = pd.DataFrame({"g": np.where(rng.random(3000) < 0.6, 1, rng.integers(2, 6, 3000)), "k": rng.permutation(3000)})
     pdf["v"] = rng.integers(-5, 5, 3000)
     df = spark.createDataFrame(pdf)
-    out = ordering.running_totals(df, ["g"], [("b", F.floor(F.col("k") / 100))], ["k"], {"run": "v"}, "id").toPandas()
+    levels = [[("a", F.floor(F.col("k") / 1000))], [("b", F.floor(F.col("k") / 100))]]
+    out = ordering.running_totals(df, ["g"], levels, ["k"], {"run": "v"}, "id").toPandas()
     want = pdf.sort_values(["g", "k"]).reset_index(drop=True)
     got = out.sort_values(["g", "k"]).reset_index(drop=True)
     assert (got["run"] == want.groupby("g")["v"].cumsum()).all()
     assert (got["id"] == want.groupby("g").cumcount() + 1).all()
-    whole = ordering.running_totals(df, [], [("b", F.floor(F.col("k") / 100))], ["k"], row_number="id")
+    whole = ordering.running_totals(df, [], levels, ["k"], row_number="id")
     assert [r.id for r in whole.orderBy("k").collect()] == list(range(1, 3001))
 
 
+def test_ranks_over_range_borders(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("account_id"))
+    out = ordering.ranked(df, ["account_id"])
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["rank"] for r in out.orderBy("account_id").collect()] == list(range(1, 5001))
+    assert ordering.ranked(df.limit(0), ["account_id"]).collect() == []
+
+
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [-3.5, -3.5, 0.0, 1e9, 7.25, 7.25], list(np.linspace(-50, 900, 777))])
 def test_exact_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": values}))

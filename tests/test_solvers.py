@@ -46,12 +46,34 @@ def test_gram_handles_collinear_and_constant_features():
     x, y = data()
     x = np.column_stack([x, 4 * x[:, 1], np.full(len(y), 7.0)])
     z = np.column_stack([x, y])
+    shift = z.mean(0)
+    z = z - shift
     sums = [v for i in range(z.shape[1]) for v in [z[:, i].sum(), *[(z[:, i] * z[:, j]).sum() for j in range(i + 1)]]]
-    coef, mean, scale, level = S.gram_ridge(sums, len(y), x.shape[1], 0.0)
+    coef, mean, scale, level = S.gram_ridge(sums, len(y), x.shape[1], 0.0, shift)
     plain = S.ols(x, y)
     assert np.allclose((x - mean) / scale @ coef + level, (x - plain[1]) / plain[2] @ plain[0] + plain[3], atol=1e-6)
 
 
+def test_large_levels_keep_their_slope(spark):
+    """Mean 1e8, deviation 50, slope 3: lost in uncentred sums of products."""
+    from tidemark.operators import gram
+
+    rng = np.random.default_rng(1)
+    x = 1e8 + 50 * rng.normal(size=200)
+    rows = spark.createDataFrame([(1, float(a), float(3 * a + rng.normal())) for a in x], "account_id long, x double, y double")
+    fit = gram.fit(rows, ["account_id"], ["x"], "y").first()
+    assert np.isclose(fit.weights[0], 3, atol=0.01)
+
+
+def test_lasso_tells_of_fits_that_are_not_whole():
+    x, y = data(n=5, p=2)
+    assert S.lasso(x, y)[-1] == "too few rows"
+    assert S.lasso(*data())[-1] is None
+    assert S.lasso(data()[0], np.ones(80))[-1] == "constant target"
+    out = S.lasso_at(np.eye(1), np.array([1.0]), np.array([1.0, 0.5]))
+    assert np.allclose(out, [[0.0, 0.5]])
+
+
 def test_lasso_path_meets_its_optimality_conditions():
     x, y = data(p=6)
     x = np.column_stack([x, 2 * x[:, 2]])

@@ -127,15 +127,21 @@ def lasso_knots(gram, cross, floor):
 
 
 def lasso_at(gram, cross, wanted):
-    """Coefficients (p, len(wanted)) for falling penalties ``wanted``."""
+    """Coefficients (p, len(wanted)) for falling penalties ``wanted``; NaN below the end of the path."""
     if np.abs(cross).max() <= wanted[-1]:
         return np.zeros((len(cross), len(wanted)))
     alphas, betas = lasso_knots(gram, cross, wanted[-1])
-    return np.stack([np.interp(wanted[::-1], alphas[::-1], b[::-1])[::-1] for b in betas.T])
+    out = np.stack([np.interp(wanted[::-1], alphas[::-1], b[::-1])[::-1] for b in betas.T])
+    out[:, wanted < alphas[-1] * (1 - 1e-9)] = np.nan
+    return out
 
 
 def lasso(x, y, k=5):
-    """Standardised lasso, penalty by mean squared error over expanding folds."""
+    """Standardised lasso, penalty by mean squared error over expanding folds.
+
+    Penalties that a path does not reach are out of the choice.  The last value says why a fit is not the
+    full one: "too few rows" for folds, "constant target" or "path ends early"; else None.
+    """
     n = len(y)
     mean, scale = standardise(x)
     z = (x - mean) / scale
@@ -144,7 +150,7 @@ def lasso(x, y, k=5):
     centres = [(z[:e].mean(axis=0), y[:e].mean()) for e in ends]
     top = np.abs((z - centres[-1][0]).T @ (y - centres[-1][1])).max() / n
     if top <= 0 or not cuts:
-        return np.zeros(x.shape[1]), mean, scale, y.mean(), 0.0
+        return np.zeros(x.shape[1]), mean, scale, y.mean(), 0.0, "too few rows" if not cuts else "constant target"
     alphas = np.geomspace(top, top * PATH_DEPTH, PATH_LENGTH)
     betas = []
     for end, (c, v) in zip(ends, centres):
@@ -155,8 +161,9 @@ def lasso(x, y, k=5):
         c, v = centres[i]
         pred = (z[a : a + b] - c) @ betas[i] + v
         errors += ((y[a : a + b, None] - pred) ** 2).mean(axis=0)
-    best = int(np.argmin(errors))
-    return betas[-1][:, best], mean, scale, y.mean(), float(alphas[best])
+    lost = np.isnan(errors) | np.isnan(betas[-1]).any(axis=0)
+    best = int(np.argmin(np.where(lost, np.inf, errors)))
+    return betas[-1][:, best], mean, scale, y.mean(), float(alphas[best]), "path ends early" if lost.any() else None
 
 
 def fold_rmse(fit, x, y, k=5):
@@ -190,10 +197,11 @@ def prequential(x, y, alphas=RIDGE_ALPHAS, first=8, share=0.5):
     return np.asarray(place, dtype=int), np.asarray(resid, dtype=float)
 
 
-def gram_ridge(sums, n, p, alpha):
+def gram_ridge(sums, n, p, alpha, shift=None):
     """Standardised ridge (alpha 0: least squares) from the sums of z = [x, y] and its products.
 
-    ``sums`` lists, for each variable i in turn, the sum of z_i and then of z_j z_i for j <= i.
+    ``sums`` lists, for each variable i in turn, the sum of z_i and then of z_j z_i for j <= i; ``shift``
+    is what was taken off each variable before.
     """
     total = np.empty(p + 1)
     prod = np.empty((p + 1, p + 1))
@@ -205,7 +213,9 @@ def gram_ridge(sums, n, p, alpha):
     mean = total / n
     cov = prod / n - np.outer(mean, mean)
     var = np.diag(cov)[:p].copy()
-    flat = var <= 1e-12 * np.maximum(mean[:p] ** 2, 1.0)
+    mean = mean if shift is None else mean + np.asarray(shift, dtype=float)
+    # what rounding of the mean leaves of a constant column
+    flat = var <= 1e-24 * np.maximum(mean[:p] ** 2, 1.0)
     scale = np.where(flat, 1.0, np.sqrt(np.maximum(var, 0.0)))
     corr = cov[:p, :p] / np.outer(scale, scale)
     corr[flat, :] = corr[:, flat] = 0.0

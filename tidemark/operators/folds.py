@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import running_totals
-
-ID_BLOCK = 1024  # account numbers per ordering bucket
+from tidemark.operators.ordering import ranked
 
 
 def temporal_split(rows: DataFrame, n_test: int) -> DataFrame:
@@ -47,13 +45,9 @@ def fold_train_end(fold: Column, n: Column, k: Column | int) -> Column:
 def ranked_accounts(accounts: DataFrame, by: str | None = None) -> DataFrame:
     """Dense position ``rank`` of accounts by number, or by ``by`` descending and then number.
 
-    The order is cut into blocks of account numbers, so no task ranks the whole panel.
+    One range sort over the accounts, so no task ranks the whole panel.
     """
-    block = ("__block", F.floor(F.col("account_id") / ID_BLOCK))
-    if by is None:
-        return running_totals(accounts, [], [block], ["account_id"], row_number="rank")
-    size = ("__size", -F.col(by))
-    return running_totals(accounts, [], [size, block], ["account_id"], row_number="rank")
+    return ranked(accounts, ["account_id"] if by is None else [F.desc(by), "account_id"])
 
 
 def account_holdout(accounts: DataFrame, n_train: int, n_calibration: int) -> DataFrame:

@@ -1,8 +1,7 @@
 """Least squares per key from sums of products.
 
-Spark adds up z and z z' for z = [features, target] (partial sums on the map side, one small row
-per key after the shuffle), so any number of keys is solved in one job and a key may hold any
-number of rows.  Only the small dense solve runs in Python, on one row per key.
+Spark adds up z and z z' for z = [features, target] less their means over the key (large levels with
+small changes would drown in the products otherwise), so any number of keys is solved in one job.  Only the small dense solve runs in Python, on one row per key.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import solvers
@@ -24,14 +23,17 @@ FIT_SCHEMA = (
 
 
 def product_sums(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
-    """Per key: n and the sums of every variable and product of two variables."""
+    """Per key: n, the means, and the sums of every centred variable and product of two."""
     columns = [*features, target]
-    assembled = VectorAssembler(inputCols=columns, outputCol="__z", handleInvalid="error").transform(
-        rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    )
+    every = Window.partitionBy(*keys)
+    values = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    centred = values.select(
+        *keys, F.array(*[F.avg(c).over(every) for c in columns]).alias("__means"),
+        *[(F.col(c) - F.avg(c).over(every)).alias(c) for c in columns])
+    assembled = VectorAssembler(inputCols=columns, outputCol="__z", handleInvalid="error").transform(centred)
     expanded = PolynomialExpansion(degree=2, inputCol="__z", outputCol="__p").transform(assembled)
     return expanded.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("__p"))).alias("sums")
+        F.count(F.lit(1)).alias("n"), F.first("__means").alias("means"), vector_to_array(Summarizer.sum(F.col("__p"))).alias("sums")
     )
 
 
@@ -44,9 +46,8 @@ def solve(sums: DataFrame, keys: Sequence[str], p: int, alpha: float = 0.0) -> D
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for values in zip(batch["n"], batch["sums"]):
-                n, products = values
-                coef, mean, scale, level = solvers.gram_ridge(products, n, p, alpha)
+            for n, means, products in zip(batch["n"], batch["means"], batch["sums"]):
+                coef, mean, scale, level = solvers.gram_ridge(products, n, p, alpha, means)
                 weights, intercept = solvers.raw_weights(coef, mean, scale, level)
                 out.append((n, weights.tolist(), float(intercept), coef.tolist(), float(abs(coef).max())))
             fit = pd.DataFrame(out, columns=["n", "weights", "intercept", "std_coef", "max_abs_coef"])

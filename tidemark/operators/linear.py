@@ -23,10 +23,12 @@ from tidemark.operators.folds import expanding_fold
 COEF_TRIGGER = 150.0
 CV_TRIGGER = 1.15
 CLIENT_ALPHA = 10.0
+# how the grouped fits are dealt
+ACCOUNTS_A_TASK, MOST_TASKS = 12, 20_000
 
 FIT_SCHEMA = (
     "account_id long, model string, alpha double, weights array<double>, intercept double, "
-    "std_coef array<double>, max_abs_coef double, cv_rmse double"
+    "std_coef array<double>, max_abs_coef double, cv_rmse double, reason string"
 )
 RESIDUAL_SCHEMA = "account_id long, period date, residual double"
 
@@ -75,18 +77,19 @@ def _grouped(rows: DataFrame, features: Sequence[str], target: str, body, schema
         return out
 
     slim = train_only(rows).select("account_id", "period", *names, *([target] if target not in names else []))
-    # a stated number of partitions keeps adaptive execution from folding this costly, but small,
-    # table into one task
-    slim = slim.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account_id")
+    # partitions by the number of accounts: adaptive execution would go by bytes, and fold this costly,
+    # but small, table into one task
+    fits = rows.select("account_id").distinct().count()
+    slim = slim.repartition(max(1, min(fits, MOST_TASKS, -(-fits // ACCOUNTS_A_TASK))), "account_id")
     return slim.groupBy("account_id").applyInPandas(per_account, schema)
 
 
-def _row(model, coef, mean, scale, level, alpha, cv):
+def _row(model, coef, mean, scale, level, alpha, cv, reason=None):
     weights, intercept = solvers.raw_weights(coef, mean, scale, level)
-    return (model, alpha, weights.tolist(), float(intercept), coef.tolist(), float(np.abs(coef).max()), cv)
+    return (model, alpha, weights.tolist(), float(intercept), coef.tolist(), float(np.abs(coef).max()), cv, reason)
 
 
-COLUMNS = ["model", "alpha", "weights", "intercept", "std_coef", "max_abs_coef", "cv_rmse"]
+COLUMNS = ["model", "alpha", "weights", "intercept", "std_coef", "max_abs_coef", "cv_rmse", "reason"]
 
 
 def ridge_cv(rows: DataFrame, features: Sequence[str], target: str = "y") -> DataFrame:
@@ -100,11 +103,12 @@ def ridge_cv(rows: DataFrame, features: Sequence[str], target: str = "y") -> Dat
 
 
 def lasso_cv(rows: DataFrame, features: Sequence[str], target: str = "y") -> DataFrame:
-    """Lasso per account, penalty over a 100-step path by five expanding folds."""
+    """Lasso per account, penalty over a 100-step path by five expanding folds; ``reason`` tells of fits
+    that had no folds or did not reach the smallest penalties."""
 
     def body(x, y, periods):
-        coef, mean, scale, level, alpha = solvers.lasso(x, y)
-        return pd.DataFrame([_row("lasso", coef, mean, scale, level, alpha, None)], columns=COLUMNS)
+        coef, mean, scale, level, alpha, reason = solvers.lasso(x, y)
+        return pd.DataFrame([_row("lasso", coef, mean, scale, level, alpha, None, reason)], columns=COLUMNS)
 
     return _grouped(rows, features, target, body, FIT_SCHEMA)
 
@@ -118,8 +122,8 @@ def linear_family(rows: DataFrame, features: Sequence[str], target: str = "y", k
 
         out = []
         for name, fit in (("ols", plain), ("lasso", solvers.lasso), ("ridge", solvers.ridge)):
-            coef, mean, scale, level, alpha = fit(x, y)
-            out.append(_row(name, coef, mean, scale, level, alpha, solvers.fold_rmse(fit, x, y, k)))
+            coef, mean, scale, level, alpha, *reason = fit(x, y)
+            out.append(_row(name, coef, mean, scale, level, alpha, solvers.fold_rmse(fit, x, y, k), *reason))
         return pd.DataFrame(out, columns=COLUMNS)
 
     return _grouped(rows, features, target, body, FIT_SCHEMA)

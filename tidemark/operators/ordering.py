@@ -1,9 +1,10 @@
 """Row numbers and running totals that stay spread out when one group is huge.
 
 A plain ``row_number() over (partition by account order by ...)`` sends a whole account through
-one task.  Here the order is cut into *buckets*: leading columns of the order whose groups are
-small (a day, a file block).  Totals per bucket are pre-aggregated on the map side, their running
-sum gives each bucket its starting offset, and only the short stretch inside a bucket is sorted.
+one task.  Here the order is cut into nested *levels*: leading columns of the order (a date, then a
+block of keys within the date).  Totals are pre-aggregated per level, the running sum of a level stays
+inside the level above it, and only the short stretch inside the innermost bucket is sorted row by row.
+So a task orders the dates of an account, the blocks of one date, or the rows of one block.
 """
 
 from __future__ import annotations
@@ -13,42 +14,58 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
-    bucket: Sequence[tuple[str, Column]],
+    levels: Sequence[Sequence[tuple[str, Column]]],
     order: Sequence[str | Column],
     sums: dict[str, str] | None = None,
     row_number: str | None = None,
 ) -> DataFrame:
     """Add a dense ``row_number`` and running ``sums`` (output name -> input column) per group.
 
-    ``bucket`` lists (name, expression) pairs; sorting by the bucket expressions must agree with a
-    prefix of ``order``.  Bucket values must not be null.  ``group`` may be empty (global order).
+    ``levels`` lists, from the outermost, (name, expression) pairs; sorting by all of them in turn must
+    agree with a prefix of ``order``.  Their values must not be null.
     """
     sums = sums or {}
-    names = [name for name, _ in bucket]
-    keys = [*group, *names]
-    cut = df.select("*", *[expr.alias(name) for name, expr in bucket])
-
-    totals = cut.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(src).alias(f"__sum_{out}") for out, src in sums.items()],
-    )
-    before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
-        *[F.coalesce(F.sum(f"__sum_{out}").over(before), F.lit(0)).alias(f"__before_{out}") for out in sums],
-    )
-
-    inside = Window.partitionBy(*keys).orderBy(*order)
+    counted = {"__rows": F.count(F.lit(1)), **{f"__sum_{out}": F.sum(src) for out, src in sums.items()}}
+    result = df.select("*", *[expr.alias(name) for level in levels for name, expr in level])
+    fine = [*group, *[name for level in levels for name, _ in level]]
+    totals = result.groupBy(*fine).agg(*[total.alias(c) for c, total in counted.items()])
+    offsets, above = totals.select(*fine, *[F.lit(0).alias(f"__before{c}") for c in counted]), list(group)
+    for level in levels:
+        names = [name for name, _ in level]
+        keys = [*above, *names]
+        part = totals.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counted]) if keys != fine else totals
+        before = Window.partitionBy(*above).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+        part = part.select(*keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__level{c}") for c in counted])
+        offsets = offsets.join(part, keys).select(
+            *fine, *[(F.col(f"__before{c}") + F.col(f"__level{c}")).alias(f"__before{c}") for c in counted])
+        above = keys
+
+    inside = Window.partitionBy(*fine).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = cut.join(offsets, keys)
-    added = [
-        (F.col(f"__before_{out}") + F.sum(src).over(upto)).alias(out) for out, src in sums.items()
-    ]
+    joined = result.join(offsets, fine)
+    added = [(F.col(f"__before__sum_{out}") + F.sum(src).over(upto)).alias(out) for out, src in sums.items()]
     if row_number:
-        added.append((F.col("__rows_before") + F.row_number().over(inside)).alias(row_number))
+        added.append((F.col("__before__rows") + F.row_number().over(inside)).alias(row_number))
     return joined.select(*[F.col(c) for c in df.columns], *added)
+
+
+def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """``df`` with its dense position in a global order, which should be total.
+
+    A range sort deals the order to tasks; the sizes of the ranges, one number for each partition, give the
+    offsets.
+    """
+    ranges = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = {r["__range"]: r["count"] for r in ranges.groupBy("__range").count().collect()}
+    starts, total = [], 0
+    for i in range(max(sizes, default=0) + 1):
+        starts.append(F.lit(total).cast("long"))
+        total += sizes.get(i, 0)
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn(name, F.element_at(F.array(*starts), F.col("__range") + 1) + place).drop("__range")

@@ -59,10 +59,9 @@ def ledger(*sheets: DataFrame) -> DataFrame:
     numbered = running_totals(
         rows,
         group=["account_id"],
-        bucket=[
-            ("__date", F.col("txn_date")),
-            ("__file", F.col("file_seq")),
-            ("__block", F.floor(F.col("row_seq") / BLOCK)),
+        levels=[
+            [("__date", F.col("txn_date"))],
+            [("__file", F.col("file_seq")), ("__block", F.floor(F.col("row_seq") / BLOCK))],
         ],
         order=["txn_date", "file_seq", "row_seq"],
         row_number="id",

@@ -18,25 +18,31 @@ PART_RULES = (
     Rule("utilities", ("ROD",)),
     Rule("leisure", ("ANVIL",)),
 )
-FIRST, AFTER = "timestamp'1995-01-02'", "timestamp'2001-07-30'"
 ORDER_KEYS = ["txn_date", "kind", "k1", "k2", "counterparty", "details", "amount"]
 KEY_BLOCK = 4096  # order keys per ordering bucket
+LEAST_ACCOUNTS, CUSTOMERS = 100, 15  # accounts at least, and customers that share one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> int:
+    """Number of accounts: it grows with the customers, so accounts keep their size as tables grow."""
+    return max(LEAST_ACCOUNTS, table(spark, sf_dir, "customer").count() // CUSTOMERS)
+
+
 def ledger_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as inflows and line items as outflows of account ``o_custkey % 100``.
+    """All orders as inflows and all line items as outflows; customers are dealt to accounts by number.
 
     ``id`` is the full order key as a struct: it sorts like the dense id and costs nothing.
     """
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part")
-    inflow = orders.where(f"o_orderdate >= {FIRST} and o_orderdate < {AFTER}").select(
-        F.expr("o_custkey % 100").alias("account_id"),
+    account = F.col("o_custkey") % accounts(spark, sf_dir)
+    inflow = orders.select(
+        account.alias("account_id"),
         F.col("o_orderdate").cast("date").alias("txn_date"),
         F.lit(0).alias("kind"),
         F.col("o_orderkey").alias("k1"),
@@ -48,11 +54,10 @@ def ledger_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("flag"),
     )
     outflow = (
-        lines.where(f"l_shipdate >= {FIRST} and l_shipdate < {AFTER}")
-        .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts.select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            F.expr("o_custkey % 100").alias("account_id"),
+            account.alias("account_id"),
             F.col("l_shipdate").cast("date").alias("txn_date"),
             F.lit(1).alias("kind"),
             F.col("l_orderkey").alias("k1"),
@@ -82,10 +87,9 @@ def numbered(base: DataFrame) -> DataFrame:
     return running_totals(
         base.drop("id"),
         group=["account_id"],
-        bucket=[
-            ("__date", F.col("txn_date")),
-            ("__kind", F.col("kind")),
-            ("__block", F.floor(F.col("k1") / KEY_BLOCK)),
+        levels=[
+            [("__date", F.col("txn_date"))],
+            [("__kind", F.col("kind")), ("__block", F.floor(F.col("k1") / KEY_BLOCK))],
         ],
         order=ORDER_KEYS,
         sums={"balance": "amount"},
@@ -126,7 +130,7 @@ def sheet_rows(spark: SparkSession, sf_dir: str, shifted_year: int | None = None
     )
     tx = running_totals(
         cents, group=["account_id"],
-        bucket=[("__date", F.col("txn_date")), ("__block", F.floor(F.col("id") / KEY_BLOCK))],
+        levels=[[("__date", F.col("txn_date"))], [("__block", F.floor(F.col("id") / KEY_BLOCK))]],
         order=["id"], sums={"run": "cents"},
     ).withColumn("file_seq", F.year("txn_date"))
     data = tx.select(

@@ -6,19 +6,20 @@ GROUPS = ("cash dining groceries health income leisure other savings shopping su
           "transfer transport travel utilities").split()
 
 BASE = """
+accounts as (select greatest(100, count(*) // 15) n from customer),
 base as (
   select * from (
-    select o_custkey % 100 account_id, cast(o_orderdate as date) txn_date, 0 kind, o_orderkey k1, 0 k2,
+    select o_custkey % (select n from accounts) account_id, cast(o_orderdate as date) txn_date, 0 kind, o_orderkey k1, 0 k2,
            o_orderpriority counterparty, 'order ' || o_orderstatus details,
            cast(cast(o_totalprice as decimal(18,2)) as decimal(18,4)) amount, '' ptype, '' flag
     from orders
     union all
-    select o_custkey % 100, cast(l_shipdate as date), 1, l_orderkey, l_linenumber,
+    select o_custkey % (select n from accounts), cast(l_shipdate as date), 1, l_orderkey, l_linenumber,
            p_name, p_type || '|' || l_returnflag,
            cast(-cast(l_extendedprice as decimal(14,2)) * (1 - cast(l_discount as decimal(3,2))) as decimal(18,4)),
            p_type, l_returnflag
     from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
-  ) u where txn_date between date '1995-01-02' and date '2001-07-29'
+  ) u
 )"""
 
 ORDER = "txn_date, kind, k1, k2, counterparty, details, amount"
