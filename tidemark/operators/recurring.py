@@ -1,9 +1,10 @@
 """Recurring payments and the deterministic backbone they give.
 
-Merchant groups are first reduced to one row per (account, merchant, day) with partial sums, so a
-merchant with a third of all payments spreads out.  Gaps, days of month and weekdays are then
-exact weighted percentiles over at most one row per calendar day; the median amount, whose
-distinct values are not bounded, goes through ``exact_quantiles``.
+Payments are first reduced to one row per (account, merchant, day, group, amount) with a count, before any
+join, so a merchant with a third of all payments spreads out; this table is written once, and cadence,
+votes and amounts are all read from it.  Gaps, days of month and weekdays are exact weighted percentiles
+over at most one row per calendar day; the median amount, whose distinct values are not bounded, goes
+through ``exact_quantiles``.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import next_sunday, period_of, week_ending
+from tidemark.functions.dates import next_sunday, period_of
 from tidemark.functions.labels import merchant_key
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import cut as write_once
 
 # Groups with scheduled flows, groups with habitual spending, forecast horizons.
 RECURRING_GROUPS = ("income", "subscriptions", "utilities")
@@ -35,19 +37,21 @@ def cutoffs(tx: DataFrame, freq: str, n_test: int, strict: bool = False) -> Data
     return tx.groupBy("account_id").agg(cut.alias("cutoff"))
 
 
-def _training(tx: DataFrame, cuts: DataFrame) -> DataFrame:
-    return (
-        tx.join(cuts, "account_id")
-        .where(F.col("txn_date") < F.col("cutoff"))
-        .withColumn("key", merchant_key(F.col("counterparty"), F.col("details")))
-    )
+def payments(tx: DataFrame, cuts: DataFrame, first: bool = False) -> DataFrame:
+    """Payments before the cutoff as (account, key, day, group, amount) with ``rows``, written once.
+
+    ``first`` keeps the smallest id of each, which tells what group the first payment of a day has.
+    """
+    keyed = tx.select("account_id", merchant_key(F.col("counterparty"), F.col("details")).alias("key"), "txn_date", "spending_group", "amount", *(["id"] if first else []))
+    counted = keyed.groupBy("account_id", "key", "txn_date", "spending_group", "amount").agg(
+        F.count(F.lit(1)).alias("rows"), *([F.min("id").alias("first_id")] if first else []))
+    return write_once(counted.join(cuts, "account_id").where(F.col("txn_date") < F.col("cutoff")))
 
 
 def _cadence(train: DataFrame) -> DataFrame:
     """Per account and key: n, median gap, dispersion, median day of month and weekday, groups."""
-    days = train.groupBy("account_id", "key", "txn_date").agg(
-        F.count(F.lit(1)).alias("rows"), F.min_by("spending_group", "id").alias("group")
-    )
+    first = F.min_by("spending_group", "first_id") if "first_id" in train.columns else F.min("spending_group")
+    days = train.groupBy("account_id", "key", "txn_date").agg(F.sum("rows").alias("rows"), first.alias("group"))
     by_day = Window.partitionBy("account_id", "key").orderBy("txn_date")
     gap = F.datediff("txn_date", F.lag("txn_date").over(by_day))
     # a day with several payments adds gaps of 0
@@ -75,13 +79,13 @@ def _with_amount(stats: DataFrame, train: DataFrame, least: float) -> DataFrame:
     """Median signed amount of the keys still in play."""
     keys = ["account_id", "key"]
     chosen = train.join(stats.select(*keys), keys, "left_semi")
-    amounts = exact_quantiles(chosen, keys, "amount", {"amount": 0.5})
+    amounts = exact_quantiles(chosen, keys, "amount", {"amount": 0.5}, freq="rows")
     return stats.join(amounts, keys).where(F.abs("amount") >= least)
 
 
 def detect_gated(tx: DataFrame, cuts: DataFrame) -> DataFrame:
     """Monthly rules among the scheduled groups: n >= 3, median gap 20..40 days, |amount| >= 1."""
-    train = _training(tx.where(F.col("spending_group").isin(*RECURRING_GROUPS)), cuts)
+    train = payments(tx.where(F.col("spending_group").isin(*RECURRING_GROUPS)), cuts, first=True)
     stats = _cadence(train).where((F.col("n") >= 3) & F.col("median_gap").between(20, 40))
     return _with_amount(stats, train, 1.0).select(
         "account_id", "key", F.col("first_group").alias("group"), "amount",
@@ -90,9 +94,12 @@ def detect_gated(tx: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def detect_agnostic(tx: DataFrame, cuts: DataFrame, min_n: int = 4) -> DataFrame:
-    """Monthly and weekly rules over all groups, kept by the regularity of their gaps."""
-    train = _training(tx, cuts).where(F.col("key") != "")
+def detect_agnostic(tx: DataFrame, cuts: DataFrame, min_n: int = 4, paid: DataFrame | None = None) -> DataFrame:
+    """Monthly and weekly rules over all groups, kept by the regularity of their gaps.
+
+    ``paid`` is the table of ``payments`` where it exists already.
+    """
+    train = (paid or payments(tx, cuts)).where(F.col("key") != "")
     gap = F.col("median_gap")
     monthly, weekly = gap.between(24, 35), gap.between(5, 9)
     stats = _cadence(train).where(
@@ -101,7 +108,7 @@ def detect_agnostic(tx: DataFrame, cuts: DataFrame, min_n: int = 4) -> DataFrame
     keys = ["account_id", "key"]
     votes = (
         train.join(stats.select(*keys), keys, "left_semi")
-        .groupBy(*keys, "spending_group").agg(F.count(F.lit(1)).alias("votes"))
+        .groupBy(*keys, "spending_group").agg(F.sum("rows").alias("votes"))
         .groupBy(*keys)
         .agg(F.min_by("spending_group", F.struct(-F.col("votes"), "spending_group")).alias("group"))
     )
@@ -160,12 +167,12 @@ def habitual_rates(daily: DataFrame, cuts: DataFrame, freq: str) -> DataFrame:
     )
 
 
-def habitual_residual(tx: DataFrame, rules: DataFrame, cuts: DataFrame, freq: str) -> DataFrame:
+def habitual_residual(tx: DataFrame, rules: DataFrame, cuts: DataFrame, freq: str, paid: DataFrame | None = None) -> DataFrame:
     """Median per-period habitual spend outside the recurring keys, zero periods included."""
-    train = _training(tx, cuts).where(F.col("spending_group").isin(*HABITUAL_GROUPS))
+    train = (paid or payments(tx, cuts)).where(F.col("spending_group").isin(*HABITUAL_GROUPS))
     rest = train.join(rules.select("account_id", "key"), ["account_id", "key"], "left_anti")
     sums = rest.groupBy("account_id", period_of(F.col("txn_date"), freq).alias("period")).agg(
-        F.sum("amount").cast("double").alias("spend")
+        F.sum(F.col("amount") * F.col("rows").cast("decimal(12,0)")).cast("double").alias("spend")
     )
     last = period_of(F.date_sub("cutoff", 1), freq)
     limits = (
@@ -213,5 +220,5 @@ def largest_rules(rules: DataFrame, k: int = 6) -> DataFrame:
 __all__ = [
     "HABITUAL_GROUPS", "HORIZON", "RECURRING_GROUPS", "STEP_DAYS", "backbone", "bounds", "cutoffs",
     "detect_agnostic", "detect_gated", "habitual_rates", "habitual_residual", "largest_rules",
-    "occurrences", "spine", "week_ending",
+    "occurrences", "payments", "spine",
 ]

@@ -8,9 +8,11 @@ most one row per account and calendar day, a group bounded by the calendar.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.dates import week_ending
 from tidemark.functions.labels import SPENDING_GROUPS
@@ -19,8 +21,14 @@ ALL_GROUPS = tuple(sorted(SPENDING_GROUPS))
 NOT_SUMMED = ("account_id", "period", "end_balance")
 
 
-def _sum_if(condition: Column, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0).cast("decimal(18,4)"))
+def _adder(kind: T.DataType):
+    """Functions to and from what is summed.  Decimals are summed as whole numbers of their last digit, which
+    stay in the registers of a hash aggregate; a sum beyond a long fails instead of wrapping."""
+    if not isinstance(kind, T.DecimalType):
+        return (lambda c: c), (lambda c: F.coalesce(c, F.lit(0)).cast("decimal(28,4)"))
+    unit = Decimal(10) ** kind.scale
+    out = f"decimal(28,{max(kind.scale, 4)})"
+    return (lambda c: (c * F.lit(unit)).cast("long")), (lambda c: (F.coalesce(c, F.lit(0)).cast("decimal(20,0)") * F.lit(1 / unit)).cast(out))
 
 
 def daily_flows(
@@ -34,20 +42,22 @@ def daily_flows(
     ``tx`` also end_balance (last non-null by id) and opening (balance before the day's first row).
     ``income_is_credits`` makes ``grp_income`` the sum of all credits whatever their label.
     """
-    amount, group = F.col("amount"), F.col("spending_group")
-    aggs = [
-        F.sum(amount).alias("net_flow"),
-        F.count(F.lit(1)).alias("txn_count"),
-        _sum_if(amount < 0, -amount).alias("debit_sum"),
-        _sum_if(amount >= 0, amount).alias("credit_sum"),
-    ]
+    to, back = _adder(tx.schema["amount"].dataType)
+    units, group = F.col("__units"), F.col("spending_group")
+    tx = tx.withColumn("__units", to(F.col("amount")))
+    sums = {"net_flow": units, "debit_sum": F.when(units < 0, -units), "credit_sum": F.when(units >= 0, units)}
     for g in groups:
-        hit = (amount > 0) if income_is_credits and g == "income" else (group == g)
-        aggs.append(_sum_if(hit, amount).alias(f"grp_{g}"))
+        hit = (units > 0) if income_is_credits and g == "income" else (group == g)
+        sums[f"grp_{g}"] = F.when(hit, units)
+    aggs = [F.count(F.lit(1)).alias("txn_count"), *[F.sum(c).alias(name) for name, c in sums.items()]]
     if "balance" in tx.columns:
         aggs.append(F.expr("max_by(balance, id) filter (where balance is not null)").alias("end_balance"))
         aggs.append(F.expr("min_by(balance - amount, id)").alias("opening"))
-    return tx.groupBy("account_id", F.col("txn_date").alias("period")).agg(*aggs)
+    days = tx.groupBy("account_id", F.col("txn_date").alias("period")).agg(*aggs)
+    kept = [c for c in ("end_balance", "opening") if c in days.columns]
+    amounts = {name: back(F.col(name)).alias(name) for name in sums}
+    order = ["net_flow", "txn_count", *[name for name in sums if name != "net_flow"]]
+    return days.select("account_id", "period", *[amounts.get(name, F.col(name)) for name in order], *kept)
 
 
 def fill_calendar(daily: DataFrame) -> DataFrame:

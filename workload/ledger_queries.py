@@ -84,14 +84,13 @@ def s4(spark, sf):
     return nums(P.read_panel(spark, path))
 
 
-@query("s5_table_sinks", "with " + Q.LEDGER.replace("ledger as", "lg as") + """
-select 'daily_balance' tbl, count(*) n, cast(sum(s) as double) total
-from (select account_id, txn_date, sum(amount) s from lg group by 1, 2)
-union all select 'transactions', count(*), cast(sum(amount) as double) from lg
+@query("s5_table_sinks", "with " + Q.DAILY + """
+select 'daily_balance' tbl, count(*) n, cast(sum(net_flow) as double) total from daily
+union all select 'transactions', count(*), cast(sum(amount) as double) from flows
 union all select 'spending_groups', 14, 0.0""")
 def s5(spark, sf):
     tx = A.ledger_panel(spark, sf)
-    paths = K.write_ledger(tx, R.daily_flows(tx), L.group_dimension(spark), fresh_path(spark, "ledger"))
+    paths = K.write_ledger(tx, R.daily_series(tx), L.group_dimension(spark), fresh_path(spark, "ledger"))
     totals = {"transactions": "amount", "daily_balance": "net_flow", "spending_groups": None}
     out = None
     for name, column in totals.items():
@@ -123,10 +122,10 @@ def s7(spark, sf):
     return nums(P.detection_columns(A.ledger_flows(spark, sf)))
 
 
-@query("s8_daily_scan", "with " + Q.FLOWS + """
-select account_id, txn_date period, cast(sum(amount) as double) net_flow, count(*) txn_count from flows group by 1, 2""")
+@query("s8_daily_scan", "with " + Q.DAILY + """
+select account_id, period, cast(net_flow as double) net_flow, cast(txn_count as bigint) txn_count from daily""")
 def s8(spark, sf):
-    path = K.write_table(R.daily_flows(A.ledger_flows(spark, sf)), fresh_path(spark, "daily"))
+    path = K.write_table(R.daily_series(A.ledger_flows(spark, sf)), fresh_path(spark, "daily"))
     return P.read_daily(spark, path).select("account_id", "period", num("net_flow"), "txn_count")
 
 
