@@ -45,7 +45,7 @@ def fit_forest(rows: DataFrame, features: Sequence[str], target: str = "y", conf
     model = RandomForestRegressor(
         labelCol=target, numTrees=config["trees"], maxDepth=config["depth"] or DEEPEST,
         minInstancesPerNode=config["leaf"], featureSubsetStrategy=config["features"], seed=SEED,
-        subsamplingRate=1.0,
+        subsamplingRate=1.0, bootstrap=config.get("bootstrap", True),
     )
     return model.fit(assembled(rows, features).select("features", target))
 

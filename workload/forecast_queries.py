@@ -68,6 +68,31 @@ def m4(spark, sf):
     return scores.join(fits.select("account_id", "alpha", kept), "account_id")
 
 
+# one feature: the lasso is a soft threshold; penalties by expanding folds as in the fit itself
+SOFT = Q.WSPLIT + """,
+tr as (select account_id, rn, n_train n, y, nf_lag_1 x, n_train // 6 sz from spl where not is_test),
+st as (select account_id, any_value(n) n, any_value(sz) sz, avg(x) mx, stddev_pop(x) sx, avg(y) my, covar_pop(x, y) / stddev_pop(x) zy from tr group by 1),
+z as (select t.account_id, rn, y, (x - mx) / sx z, t.n, t.sz from tr t join st using (account_id)),
+ends as (select account_id, f, n - (5 - f) * sz a, sz from st, (select unnest(range(5)) f)),
+fits as (select e.account_id, f, any_value(a) a, any_value(e.sz) sz, avg(z) cz, avg(y) cy, var_pop(z) g, covar_pop(z, y) c
+         from ends e join z on z.account_id = e.account_id and rn <= a group by 1, 2),
+pen as (select account_id, i, abs(zy) * power(0.001, i / 99.0) alpha from st, (select unnest(range(100)) i)),
+err as (select f.account_id, f.f, p.i, any_value(alpha) alpha,
+               avg(power(y - cy - sign(c) * greatest(abs(c) - alpha, 0) / g * (z - cz), 2)) e
+        from fits f join pen p on p.account_id = f.account_id join z on z.account_id = f.account_id and rn > a and rn <= a + f.sz group by 1, 2, 3),
+tot as (select account_id, i, any_value(alpha) alpha, sum(e) e from err group by 1, 2),
+pick as (select account_id, min_by(alpha, (e, i)) alpha from tot group by 1)"""
+
+
+@query("m4_lasso_one_feature", "with " + SOFT + """
+select account_id, round(alpha, 2) alpha, round(sign(zy) * greatest(abs(zy) - alpha, 0) / sx, 5) w0,
+       round(my - sign(zy) * greatest(abs(zy) - alpha, 0) / sx * mx, 1) intercept from pick join st using (account_id)""")
+def m4_one(spark, sf):
+    rows, _ = panels.weekly_split(spark, sf)
+    fits = LN.lasso_cv(rows, ONE)
+    return fits.select("account_id", num("alpha", digits=2), num(F.col("weights")[0], "w0", 5), num("intercept", digits=1))
+
+
 LOO = Q.WSPLIT + """,
 tr as (select account_id, period, y, nf_lag_1 x from spl where not is_test),
 st as (select account_id, count(*) n, avg(x) mx, stddev_pop(x) sx, avg(y) my, covar_pop(x, y) / stddev_pop(x) zy from tr group by 1),

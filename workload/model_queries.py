@@ -18,8 +18,9 @@ from tidemark.plans import tracks as TR
 from tidemark.session import cut
 from workload import adapters as A
 from workload import panels
+from workload import sqltext as Q
 from workload.forecast_queries import split_rows
-from workload.registry import query
+from workload.registry import num, nums, query
 
 FOREST = {"trees": 20, "depth": 6, "leaf": 5, "features": "sqrt"}
 BOOSTING = {"rounds": 10, "depth": 3, "rate": 0.1, "subsample": 0.8, "leaf": 20}
@@ -45,16 +46,67 @@ def m8(spark, sf):
     return _pooled_scores(spark, sf, T.fit_boosting, BOOSTING, "gradient_boosting")
 
 
+# one split of the pooled training rows on the month: the cut with the least squared error (ties: the first)
+STUMP = Q.WSPLIT + """,
+tr as (select "month" m, y from spl where not is_test),
+cuts as (select (m + lead(m) over (order by m)) / 2 cut from (select distinct m from tr)),
+parts as (select cut, avg(y) filter (where m <= cut) lo, avg(y) filter (where m > cut) hi,
+                 var_pop(y) filter (where m <= cut) * count(*) filter (where m <= cut) + var_pop(y) filter (where m > cut) * count(*) filter (where m > cut) sse
+          from tr, cuts where cut is not null group by cut),
+best as (select min_by(cut, (sse, cut)) cut, min_by(lo, (sse, cut)) lo, min_by(hi, (sse, cut)) hi from parts)"""
+
+
+@query("m7_one_split", "with " + STUMP + """
+select account_id, period, round(case when "month" <= cut then lo else hi end, 4) prediction from spl, best where is_test""")
+def m7_one(spark, sf):
+    rows, _ = split_rows(spark, sf)
+    model = T.fit_forest(LN.train_only(rows), ["month"], "y", {"trees": 1, "depth": 1, "leaf": 1, "features": "all", "bootstrap": False})
+    return nums(T.predict(rows.where("is_test"), model, ["month"]).select("account_id", "period", "prediction"), 4)
+
+
+@query("m8_two_rounds", "with " + STUMP + """,
+left_over as (select m, 2 * (y - case when m <= cut then lo else hi end) r from tr, best),
+parts2 as (select cut, avg(r) filter (where m <= cut) lo, avg(r) filter (where m > cut) hi,
+                  var_pop(r) filter (where m <= cut) * count(*) filter (where m <= cut) + var_pop(r) filter (where m > cut) * count(*) filter (where m > cut) sse
+           from left_over, cuts where cut is not null group by cut),
+best2 as (select min_by(cut, (sse, cut)) cut2, min_by(lo, (sse, cut)) lo2, min_by(hi, (sse, cut)) hi2 from parts2)
+select account_id, period, round(case when "month" <= cut then lo else hi end + 0.1 * case when "month" <= cut2 then lo2 else hi2 end, 4) prediction
+from spl, best, best2 where is_test""")
+def m8_two(spark, sf):
+    rows, _ = split_rows(spark, sf)
+    config = {"rounds": 2, "depth": 1, "rate": 0.1, "subsample": 1.0, "leaf": 1}
+    model = T.fit_boosting(LN.train_only(rows), ["month"], "y", config)
+    return nums(T.predict(rows.where("is_test"), model, ["month"]).select("account_id", "period", "prediction"), 4)
+
+
 @query("m9_tree_choice")
 def m9(spark, sf):
     rows, names = split_rows(spark, sf)
     return T.choose_tree(rows, names, forest=FOREST, boosting=BOOSTING)
 
 
-def _bench(spark, sf, settings=SETTINGS):
+def _bench(spark, sf, settings=SETTINGS, features=None):
     weekly = cut(panels.weekly_panel(spark, sf))
     n = weekly.select("account_id").distinct().count()
-    return NC.benchmark(weekly, n * 5 // 6, n // 7, settings)
+    return NC.benchmark(weekly, n * 5 // 6, n // 7, settings, features)
+
+
+# roles and gates of the new-client benchmark, and account folds, over the weekly rows
+ROLES = Q.WSPLIT + """,
+acc as (select account_id, row_number() over (order by account_id) place, count(*) over () n from (select distinct account_id from weekly)),
+gated as (select s.*, case when place > n * 5 // 6 then 'unseen' when place > n * 5 // 6 - n // 7 then 'calibration' else 'train' end role
+          from spl s join acc using (account_id) where n_periods >= 57 and n_rows >= 37)"""
+
+
+def _folds(src: str, k: int) -> str:
+    return f"""
+sized as (select account_id, (row_number() over (order by count(*) desc, account_id) - 1) % {k} fold from {src} group by 1),
+folded as (select r.*, fold from {src} r join sized using (account_id))"""
+
+
+# slope and intercept of MLlib's standardised ridge with one feature
+def _ridge(alpha: str, where: str = "true") -> str:
+    return (f"covar_samp(nf_lag_1, y) / var_samp(nf_lag_1) * (count(*) - 1) / (count(*) - 1 + {alpha}) b, avg(nf_lag_1) mx, avg(y) my")
 
 
 @query("m11_global_zero_shot")
@@ -67,14 +119,68 @@ def m11_summary(spark, sf):
     return M.benchmark_summary(NC.zero_shot(_bench(spark, sf)))
 
 
+ZERO_SHOT = ROLES + """,
+fit as (select """ + _ridge("10") + """ from gated where role = 'train'),
+scl as (select account_id, case when coalesce(step, 0) < 1e-9 then case when lev = 0 then 1.0 else lev end else step end scale
+        from (select account_id, avg(ch) step, avg(abs(net_flow)) lev
+              from (select account_id, net_flow, abs(net_flow - lag(net_flow) over (partition by account_id order by period)) ch
+                    from gated where not is_test) group by 1)),
+preds as (select account_id, 'linear' model, total_next y_true, my + b * (nf_lag_1 - mx) y_pred from gated, fit where role = 'unseen' and is_test
+          union all select account_id, 'baseline', total_next, net_flow from gated where role = 'unseen' and is_test)"""
+
+
+@query("m11_linear_one_feature", "with " + ZERO_SHOT + f"""
+select account_id, model, round(sqrt(avg((y_true - y_pred) ** 2)), 3) rmse, round(avg(abs(y_true - y_pred)) / any_value(scale), 6) mase, round({Q.R2}, 6) r2
+from preds join scl using (account_id) group by 1, 2""")
+def m11_one(spark, sf):
+    scores = NC.zero_shot(_bench(spark, sf, {"linear": {"alpha": 10.0}}, ["nf_lag_1"])).where("model <> 'seasonal'")
+    return scores.select("account_id", "model", num("rmse", digits=3), num("mase", digits=6), num("r2", digits=6))
+
+
+CLIENT = ZERO_SHOT + """,
+own as (select account_id, covar_pop(nf_lag_1, y) * count(*) / (count(*) + 10) / var_pop(nf_lag_1) b, avg(nf_lag_1) mx, avg(y) my
+        from gated where role = 'unseen' and not is_test group by 1),
+strat as (select account_id, 'cold' model, y_true, y_pred from preds where model = 'linear'
+          union all select g.account_id, 'client_only', total_next, my + b * (nf_lag_1 - mx)
+          from gated g join own using (account_id) where role = 'unseen' and is_test),
+sc as (select account_id, model, avg(abs(y_true - y_pred)) / any_value(scale) mase from strat join scl using (account_id) group by 1, 2)"""
+
+
+@query("m17_linear_one_feature", "with " + CLIENT + """
+select model, round(median(mase), 6) median_mase, round(100 * avg((mase < 1)::int), 6) pct_beats_naive, count(*) n_clients from sc group by 1""")
+def m17_one(spark, sf):
+    bench = _bench(spark, sf, {"linear": {"alpha": 10.0}}, ["nf_lag_1"])
+    out = NC.warm_start(bench, shared="linear", repeats=1).where("model in ('cold', 'client_only')")
+    return out.select("model", num("median_mase", digits=6), num("pct_beats_naive", digits=6), "n_clients")
+
+
 @query("m11_global_bands")
 def m11_bands(spark, sf):
     return NC.band_scores(_bench(spark, sf, {"linear": {"alpha": 10.0}}), "linear")
 
 
+def _tuning_rows(spark, sf):
+    weekly = cut(panels.weekly_panel(spark, sf))
+    n = weekly.select("account_id").distinct().count()
+    _, rows, names = NC.with_roles(weekly, n * 5 // 6, n // 7)
+    return NC.tuning_rows(rows), names
+
+
+@query("m12_linear_one_feature", "with " + ROLES + ",\ntr as (select * from gated where role = 'train' and not is_test)," + _folds("tr", 3) + """,
+steps as (select avg(abs(c)) scale from (select y - lag(y) over (partition by account_id order by period) c from tr)),
+grid as (select unnest([1.0, 10.0, 100.0]) alpha, unnest(range(3)) i),
+fits as (select alpha, f, """ + _ridge("alpha") + """ from folded, grid, (select unnest(range(3)) f) where fold <> f group by alpha, f),
+errs as (select alpha, f, avg(abs(y - my - b * (nf_lag_1 - mx))) e from folded join fits on fold = f group by 1, 2)
+select 'linear' family, '{''alpha'': ' || cast(cast(alpha as decimal(6,1)) as varchar) || '}' config, round(avg(e) / any_value(scale), 6) mase
+from errs, steps group by alpha""")
+def m12_one(spark, sf):
+    rows, _ = _tuning_rows(spark, sf)
+    return nums(T.tune(rows, ["nf_lag_1"], "linear").select("family", "config", "mase"), 6)
+
+
 @query("m12_capacity_tuning")
 def m12(spark, sf):
-    rows, names = split_rows(spark, sf)
+    rows, names = _tuning_rows(spark, sf)
     out = T.tune(rows, names, "linear")
     grid = [{"trees": n, "depth": d, "leaf": 20, "features": "all"} for n in (5, 15) for d in (4, 8)]
     return out.unionByName(T.tune(rows, names, "random_forest", grid))
@@ -85,6 +191,15 @@ def m13(spark, sf):
     return G.per_account(A.ledger_flows(spark, sf), cut(panels.daily_panel(spark, sf)), FOREST)
 
 
+@query("m13_unseen_linear_one_feature", "with " + Q.WSPLIT + "," + _folds("spl", 3) + """,
+fits as (select f, """ + _ridge("10") + """ from folded, (select unnest(range(3)) f) where fold <> f group by f),
+preds as (select y y_true, my + b * (nf_lag_1 - mx) y_pred from folded join fits on fold = f)
+select 'linear' model, round(1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)), 6) r2, count(*) n from preds""")
+def m13_one(spark, sf):
+    rows, _ = split_rows(spark, sf)
+    return nums(T.pooled_r2(T.out_of_fold(rows, ["nf_lag_1"], "linear", {"alpha": 10.0}, 3)), 6)
+
+
 @query("m13_leave_accounts_out")
 def m13_unseen(spark, sf):
     rows, names = split_rows(spark, sf)
