@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tidemark.functions import solvers as S
 
@@ -102,9 +103,28 @@ def test_time_folds_cover_the_end():
     assert folds == [(8, 3), (11, 3), (14, 3), (17, 3), (20, 3)]
 
 
-def test_bagged_trees_learn_a_step():
+def test_added_trees_learn_a_step(spark):
+    from tidemark.operators import trees as T
+
     rng = np.random.default_rng(1)
-    x = rng.uniform(size=(200, 3))
-    y = np.where(x[:, 1] > 0.5, 10.0, 0.0)
-    new = np.array([[0.5, 0.1, 0.5], [0.5, 0.9, 0.5]])
-    assert np.allclose(S.bagged_trees(x, y, new, 20, 8, 20, rng), [0, 10], atol=1.0)
+    x = rng.uniform(size=300)
+    rows = spark.createDataFrame([(i % 3, f"{2000 + i}-01-01", bool(i >= 240), float(v), 10.0 * float(v > 0.5), 4.0) for i, v in enumerate(x)],
+                                 "account_id long, period string, is_test boolean, x double, y double, shared double")
+    own = T.client_forest(rows, ["x"], trees=20)
+    got = own.join(rows.where("is_test"), ["account_id", "period"]).collect()
+    clear = [r for r in got if abs(r.x - 0.5) > 0.1]
+    assert len(clear) > 30 and all(abs(r.client_forest - 10 * (r.x > 0.5)) < 2 for r in clear)
+    mixed = T.warm_forest(rows.where("is_test"), own, "shared", 60, 20).first()
+    assert "warm_forest" in mixed.asDict()
+
+
+def test_malformed_panel_cells_fail_the_read(spark, tmp_path):
+
+    from tidemark.sources import panel
+
+    good = ["1", "10", "2020-01-01", "5.00", "5.00", "C", "", "", "", ""]
+    (tmp_path / "good.tsv").write_text("\t".join(good) + "\n")
+    assert panel.read_panel(spark, str(tmp_path / "good.tsv")).count() == 1
+    (tmp_path / "bad.tsv").write_text("\t".join(good[:3] + ["abc"] + good[4:]) + "\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        panel.read_panel(spark, str(tmp_path / "bad.tsv")).collect()

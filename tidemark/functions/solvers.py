@@ -226,39 +226,3 @@ def gram_ridge(sums, n, p, alpha, shift=None):
     inverse = np.where(keep, 1.0 / np.where(keep, vals + shift, 1.0), 0.0)
     coef = vecs @ (inverse * (vecs.T @ cross))
     return coef, mean[:p], scale, mean[p]
-
-
-def _best_split(x, y, leaf):
-    """Feature and threshold with the largest drop in squared error, or None."""
-    n = len(y)
-    order = np.argsort(x, axis=0, kind="stable")
-    xs = np.take_along_axis(x, order, axis=0)
-    left = np.cumsum(y[order], axis=0)[leaf - 1 : n - leaf]
-    if len(left) == 0:
-        return None
-    size = np.arange(leaf, n - leaf + 1, dtype=float)[:, None]
-    gain = left**2 / size + (y.sum() - left) ** 2 / (n - size)
-    gain[xs[leaf - 1 : n - leaf] >= xs[leaf : n - leaf + 1]] = -np.inf
-    row, col = np.unravel_index(np.argmax(gain), gain.shape)
-    if not gain[row, col] > y.sum() ** 2 / n + 1e-12:
-        return None
-    return col, (xs[leaf - 1 + row, col] + xs[leaf + row, col]) / 2
-
-
-def bagged_trees(x, y, new, trees, depth, leaf, rng):
-    """Mean prediction for ``new`` of regression trees grown on bootstrap samples of one client."""
-    out = np.zeros(len(new))
-    for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
-        work = [(pick, np.arange(len(new)), 0)]
-        while work:
-            rows, at, level = work.pop()
-            cut = _best_split(x[rows], y[rows], leaf) if level < depth and len(rows) >= 2 * leaf else None
-            if cut is None:
-                out[at] += y[rows].mean()
-                continue
-            col, value = cut
-            below, under = x[rows, col] <= value, new[at, col] <= value
-            work.append((rows[below], at[under], level + 1))
-            work.append((rows[~below], at[~under], level + 1))
-    return out / trees

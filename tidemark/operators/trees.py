@@ -1,4 +1,4 @@
-"""Pooled tree ensembles and pooled ridge (MLlib), capacity tuning, and client forests.
+"""Pooled tree ensembles and pooled ridge (MLlib), capacity tuning, and forests of new clients.
 
 One distributed fit covers every account.  MLlib trees split on histograms, so their values differ
 a little from exact-split trees.
@@ -12,13 +12,11 @@ from functools import reduce
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import solvers
 from tidemark.operators.folds import expanding_fold, fold_train_end, group_folds
 from tidemark.operators.metrics import r2
 from tidemark.session import cut
@@ -152,25 +150,19 @@ def pooled_r2(preds: DataFrame) -> DataFrame:
 
 def client_forest(rows: DataFrame, features: Sequence[str], target: str = "y", trees: int = WARM_TREES,
                   depth: int | None = 8, leaf: int = 20) -> DataFrame:
-    """Holdout predictions of a small forest grown on each account's own training rows."""
-    names, limit = list(features), depth or DEEPEST
+    """Holdout predictions of a small forest grown on the new clients' own training rows.
 
-    def per_account(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period")
-        test = pdf["is_test"].to_numpy()
-        x, y = pdf[names].to_numpy(dtype=float), pdf[target].to_numpy(dtype=float)
-        rng = np.random.default_rng([SEED, abs(int(key[0]))])
-        pred = solvers.bagged_trees(x[~test], y[~test], x[test], trees, limit, leaf, rng)
-        return pd.DataFrame({"account_id": key[0], "period": pdf["period"].to_numpy()[test], "client_forest": pred})
-
-    slim = rows.select("account_id", "period", "is_test", *names, *([target] if target not in names else []))
-    slim = slim.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account_id")
-    return slim.groupBy("account_id").applyInPandas(
-        per_account, "account_id long, period date, client_forest double")
+    One distributed fit over all of them: trees for each client alone would be a local learner on a few
+    dozen rows.
+    """
+    config = {"trees": trees, "depth": depth, "leaf": leaf, "features": "all"}
+    model = fit_forest(rows.where(~F.col("is_test")), features, target, config)
+    scored = predict(rows.where("is_test"), model, features, out="client_forest")
+    return scored.select("account_id", "period", "client_forest")
 
 
 def warm_forest(scored: DataFrame, own: DataFrame, shared: str, shared_trees: int, trees: int = WARM_TREES) -> DataFrame:
-    """The shared forest kept and ``trees`` client trees added: the mean over all trees."""
+    """The shared forest kept and ``trees`` trees of the new clients added: the mean over all trees."""
     total = shared_trees + trees
     return scored.join(own, ["account_id", "period"]).withColumn(
         "warm_forest",
