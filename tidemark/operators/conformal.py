@@ -118,3 +118,18 @@ def width_statistics(bands: DataFrame, level: float = 0.8) -> DataFrame:
     return bands.where(F.abs(F.col("level") - level) < 1e-9).groupBy("account_id").agg(
         F.percentile(width, 0.25).alias("width_calm"), F.median(width).alias("width_median"),
         F.max(width).alias("width_max"), F.avg(inside).alias("coverage"))
+
+
+def marginal_bands(preds: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The 80 % band of plain residual percentiles around each prediction."""
+    joined = preds.join(offsets, "account_id")
+    return joined.withColumn("lo", F.col("y_pred") + F.col("off10")).withColumn("hi", F.col("y_pred") + F.col("off90")).drop("off10", "off90")
+
+
+def before_after(preds: DataFrame, offsets: DataFrame, adaptive: DataFrame, level: float = 0.8) -> DataFrame:
+    """Coverage and width of the marginal band next to those of the adaptive band, per account."""
+    old = marginal_bands(preds, offsets).groupBy("account_id").agg(
+        F.avg(F.col("y_true").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage_before"),
+        F.max(F.col("hi") - F.col("lo")).alias("width_before"))
+    new = width_statistics(adaptive, level).withColumnRenamed("coverage", "coverage_after")
+    return old.join(new, "account_id")

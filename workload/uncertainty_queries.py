@@ -11,6 +11,7 @@ from tidemark.operators import linear as LN
 from tidemark.operators import projection as PJ
 from tidemark.operators import recurring as N
 from tidemark.session import cut
+from workload import adapters as A
 from workload import panels
 from workload import sqltext as Q
 from workload.forecast_queries import ONE, split_rows
@@ -141,6 +142,38 @@ def u8(spark, sf):
     return nums(C.width_statistics(_naive_bands(spark, sf)), 1)
 
 
+@query("u8_before_after", "with " + BANDS + """,
+off as (select account_id, quantile_cont(residual, 0.1) o1, quantile_cont(residual, 0.9) o9 from resid group by 1),
+old as (select s.account_id, avg((total_next between net_flow + o1 and net_flow + o9)::int) coverage_before, max(o9 - o1) width_before
+        from spl s join off using (account_id) where is_test group by 1)
+select account_id, round(any_value(coverage_before), 6) coverage_before, round(any_value(width_before), 1) width_before,
+       round(avg((y_true between lo and hi)::int), 6) coverage_after, round(median(hi - lo), 1) width_median
+from bands join old using (account_id) where level = 0.8 group by 1""")
+def u8_pair(spark, sf):
+    rows, _ = split_rows(spark, sf)
+    out = C.before_after(B.naive(rows), C.marginal_offsets(naive_residuals(rows)), _naive_bands(spark, sf))
+    return out.select("account_id", num("coverage_before", digits=6), num("width_before", digits=1),
+                      num("coverage_after", digits=6), num("width_median", digits=1))
+
+
+@query("headline_quality")
+def headline_quality(spark, sf):
+    """Weekly decomposed track: bands of the chosen linear model before and after conformal scaling."""
+    return _headline(spark, sf).quality
+
+
+@query("headline_fan")
+def headline_fan(spark, sf):
+    """Balances of the holdout and the projection with the backbone, all levels."""
+    return _headline(spark, sf).fan
+
+
+def _headline(spark, sf):
+    from tidemark.plans import headline as H
+
+    return H.headline(cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf)))
+
+
 def _projection_inputs(spark, sf, features=None):
     series = cut(panels.weekly_panel(spark, sf))
     from tidemark.operators import features as X
