@@ -220,7 +220,7 @@ def m17(spark, sf):
 
 def _weekly_track(spark, sf, mode):
     tx, daily = cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf))
-    return TR.run_grid(tx, daily, freqs=("W",), modes=(mode,), forest=FOREST, linear="ridge")
+    return TR.run_grid(tx, daily, freqs=("W",), modes=(mode,), forest=FOREST, tree="forest")
 
 
 @query("m18_weekly_direct_track")
@@ -238,6 +238,14 @@ def m18_agnostic(spark, sf):
     return _weekly_track(spark, sf, "decomp_agnostic")
 
 
+@query("e13_weekly_tracks")
+def e13_tracks(spark, sf):
+    """Median R2 of each model by weekly track: direct against both decompositions."""
+    tx, daily = cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf))
+    scores = TR.run_grid(tx, daily, freqs=("W",), forest=FOREST, linear="ridge", tree="forest")
+    return M.track_comparison(scores, [f"W-{m}" for m in TR.MODES])
+
+
 @query("x2_tree_attribution")
 def x2(spark, sf):
     rows, names = split_rows(spark, sf)
