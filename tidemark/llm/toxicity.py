@@ -3,11 +3,13 @@
 The model has one weight vector and one threshold for each step between grades:
 P(grade <= g) = logistic(threshold_g - w . x).  Expected severity is the sum over steps of P(grade > g).
 
-Features are the words whose documents are toxic clearly more often than others (over all labelled rows),
-once as presence and once as a rate.  Labels only say toxic or not, so grades are made from them: 0 not
-toxic, 1 toxic without marked words, 2 and 3 toxic with fewer and with more of them.  Word statistics
-cover all labelled rows; the regression is fitted on ``SAMPLE`` labelled rows by hash, which is a bound on
-what the driver sees whatever the size of the table.  Scoring is one pass over the documents.
+Features are the words whose documents are toxic clearly more often than others, once as presence and once
+as a rate.  Labels only say toxic or not, so grades are made from them: 0 not toxic, 1 toxic without
+marked words, 2 and 3 toxic with fewer and with more of them.
+
+The classifier, features included, is fitted on ``SAMPLE`` labelled rows, the first by the hash of their
+ids.  That bounds what is broadcast to find their documents (an id and a label each), what the driver sees,
+and the texts that are shuffled, whatever the size of the tables.  Scoring is one pass over all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: Labelled rows the regression is fitted on.
+#: Labelled rows the classifier is fitted on.
 SAMPLE = 20_000
 #: Size of the model: the clearest marked words that it takes in.
 VOCABULARY = 4_096
@@ -144,7 +146,7 @@ def vectorise(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.n
 def marked_words(labelled: DataFrame) -> list[str]:
     """The words whose documents are toxic clearly more often than documents overall, clearest first.
 
-    ``labelled`` has text and toxic.  All rows count, equal texts once.
+    ``labelled`` has text and toxic.  Equal texts count once.
     """
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -169,7 +171,7 @@ def marked_words(labelled: DataFrame) -> list[str]:
             yield out()
 
     once = labelled.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    stats = once.select("text", F.col("toxic").cast("int")).mapInArrow(count, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    stats = once.select("text", "toxic").mapInArrow(count, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     stats = cut(stats.filter(F.col("n") >= LEAST))
     total = stats.filter("word = ''").first()
     if total is None or not total.bad or total.bad == total.n:
@@ -187,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
     than once counts as toxic if any label says so.  Without usable or without toxic labels the model
     finds nothing toxic.
     """
-    truth = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(truth, "doc_id")
+    truth = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = cut(truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+    labelled = cut(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id"))
     features = marked_words(labelled.select("text", "toxic"))
     index = {w: i for i, w in enumerate(features)}
     if not index:
@@ -201,8 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
                 pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
                 pa.array([100.0 * r[2] / max(1, r[3]) for r in rows], pa.float64()), b.column(1)], names=["at", "value", "rate", "toxic"])
 
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text", F.col("toxic").cast("int").alias("toxic"))
-    got = chosen.mapInArrow(sparse, "at array<int>, value array<double>, rate double, toxic int").toPandas()
+    got = labelled.select("text", "toxic").mapInArrow(sparse, "at array<int>, value array<double>, rate double, toxic int").toPandas()
     toxic, rate = got["toxic"].to_numpy() == 1, got["rate"].to_numpy()
     y = np.where(toxic, 1 + (rate > 0) + (rate >= SEVERE), 0)
     x = [(np.asarray(a, int), np.asarray(v, float)) for a, v in zip(got["at"], got["value"])]
