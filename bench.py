@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidemark.plans import newclient as NC  # noqa: E402
-from tidemark.session import cut, local_session  # noqa: E402
+from tidemark.session import cut, local_session, owned  # noqa: E402
 from workload import catalog, panels  # noqa: E402
 
 HEADLINE = [
@@ -32,8 +32,9 @@ REPEATS = 3
 
 def run(query, spark, sf_dir: str) -> float:
     began = time.perf_counter()
-    query(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - began
+    with owned(spark):
+        query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
 
 
 def per_client(spark, sf_dir: str) -> dict[str, float]:

@@ -127,3 +127,29 @@ def test_constraints(spark):
     out = {(r.constraint, r.column): r.n for r in sinks.violations(
         tx, ["account_id", "id"], ["balance"], {"spending_group": (L.group_dimension(spark), "name")}).collect()}
     assert out == {("primary key", "account_id,id"): 2, ("not null", "balance"): 1, ("foreign key", "spending_group"): 1}
+
+
+def test_owned_tables_go(spark):
+    import os
+
+    from tidemark.session import cut, fresh_path, owned, shared_dir
+
+    kept = fresh_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with owned(spark):
+        table = cut(spark.range(5))
+        assert table.count() == 5
+        inside = [f for f in os.listdir(shared_dir(spark)) if f.startswith("cut-")]
+    left = os.listdir(shared_dir(spark))
+    assert len(inside) >= 1 and os.path.basename(kept) in left
+    assert os.path.basename(table.inputFiles()[0].split("/part-")[0]) not in left
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
