@@ -200,3 +200,15 @@ def test_moving_average_takes_the_best_window(panel):
         blocks = [pdf.iloc[n - (k - f) * size: n - (k - f - 1) * size] for f in range(k)]
         scores[w] = np.mean([np.sqrt(np.mean((b["total_next"] - b[f"nf_roll_mean_{w}"]) ** 2)) for b in blocks])
     assert choice.loc[1, "window"] == min(scores, key=scores.get)
+
+
+def test_trees_are_shipped_in_groups(spark, panel):
+    _, rows, names = panel
+    model = T.fit_forest(LN.train_only(rows), names, config={"trees": 6, "depth": 3, "leaf": 2, "features": "all"})
+    test = rows.where("is_test")
+    whole = AT.tree_attribution(test, model, names, average=True).orderBy("account_id", "period").toPandas()
+    parts = AT.tree_attribution(test, model, names, average=True, most_nodes=20).orderBy("account_id", "period").toPandas()
+    assert np.allclose(whole[["base", *names]], parts[["base", *names]])
+    assert AT.tree_groups({0: 5, 1: 5, 2: 9, 3: 1}, 10) == [[0, 1], [2, 3]]
+    with pytest.raises(ValueError):
+        AT.tree_groups({0: 11}, 10)

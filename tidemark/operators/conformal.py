@@ -80,10 +80,11 @@ def global_spec(calibration: DataFrame, levels: Sequence[float] = LEVELS, sigma:
 
 
 def intervals(scored: DataFrame, spec: DataFrame, sigma: str | None = SIGMA, point: str = "y_pred") -> DataFrame:
-    """Rows times levels with lo and hi around the point; the spec holds one row per level."""
+    """Rows times levels with lo and hi around the point; the spec holds one row per level.  Accounts without a
+    spec keep one row with null level and bounds."""
     rel = volatility(F.col("ref"), F.col(sigma) if sigma else None)
     half = F.col("margin") * rel
-    joined = scored.join(spec, "account_id")
+    joined = scored.join(spec, "account_id", "left")
     return joined.withColumn("lo", F.col(point) - half).withColumn("hi", F.col(point) + half).drop("ref", "margin")
 
 

@@ -48,9 +48,10 @@ def client_ridge(rows: DataFrame, features: Sequence[str], target: str = "y", al
 
 
 def predict(rows: DataFrame, fits: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
-    """Join each account's fit to its rows and add the prediction."""
+    """Join each account's fit to its rows and add the prediction; accounts without a fit keep their rows
+    with a null prediction."""
     slim = fits.select("account_id", F.col("weights").alias("__w"), F.col("intercept").alias("__b"))
-    joined = rows.join(slim, "account_id")
+    joined = rows.join(slim, "account_id", "left")
     return joined.withColumn(out, gram.linear(features, "__w", "__b")).drop("__w", "__b")
 
 
