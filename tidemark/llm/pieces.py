@@ -14,15 +14,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words and compatibility tests that one task remembers; it starts anew beyond them.
-REMEMBERED = 400_000
+#: Words that one Python worker remembers, about half a kilobyte each.
+REMEMBERED = 300_000
+#: Documents that a task holds at a time.
+ROWS = 256
 
 
 class Codec:
@@ -53,13 +57,20 @@ class Codec:
         self.surface = [p.piece.replace(SPACE, " ") if p.type == kinds.NORMAL else "" for p in proto.pieces]
         self.surface[self.unknown] = trainer.unk_surface
         self.strips = spec.add_dummy_prefix
-        self.cuts = SPACE in self.ids and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.cuts = self._cuts()
+        self.fits: dict[str, dict[str, bool]] = {}
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
+        for piece, i in self.ids.items():
             if self.merged(piece) == [piece]:  # others never come out of merging
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (piece, len(piece), self.row_of(piece), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+
+    def _cuts(self) -> re.Pattern | None:
+        """Cuts a marked text before each run of space marks, unless a piece of the vocabulary lies across."""
+        joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        if SPACE not in self.ids or any(x != SPACE and y == SPACE for x, y in joined):
+            return None
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by best score, leftmost first, until no neighbours form a piece."""
@@ -76,47 +87,57 @@ class Codec:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
+        row = self.row_of(left)
+        known = row.get(right)
         if known is None:
-            if len(self.fits) >= REMEMBERED:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merged(left + right) == [left, right]
+            known = row[right] = self.merged(left + right) == [left, right]
         return known
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a text that is already marked with spaces; characters without a piece stand alone."""
-        ends: list[list[str] | None] = [None] * len(text)
-        for end, piece in self.automaton.iter(text):
-            if ends[end] is None:
-                ends[end] = [piece]
-            else:
-                ends[end].append(piece)
-        last: list[str] = [""] * (len(text) + 1)
-        fits, compatible = self.fits, self.compatible
-        for end, found in enumerate(ends):
-            for piece in found or (text[end],):
-                begin = end + 1 - len(piece)
-                if begin == 0:
-                    last[end + 1] = piece
-                    break
+    def alone(self, character: str) -> tuple:
+        return (character, 1, self.row_of(character), self.ids.get(character))
+
+    def row_of(self, left: str) -> dict[str, bool]:
+        """What is known of tokens after ``left``; at most one row for each token and character, and one entry
+        in it for each piece that was met there."""
+        row = self.fits.get(left)
+        if row is None:
+            row = self.fits[left] = {}
+        return row
+
+    def tokens(self, text: str) -> list[tuple]:
+        """Tokens of a text that is already marked with spaces, as (piece, size, what may follow, id);
+        characters without a piece stand alone and have no id."""
+        n, alone, test = len(text), self.alone, self.compatible
+        last: list[tuple | None] = [None] * n  # the last token of the text up to and with this place
+        for end, token in self.automaton.iter(text):
+            if last[end] is not None:
+                continue
+            begin = end - token[1]
+            if begin >= 0:
                 left = last[begin]
-                ok = fits.get((left, piece))
-                if ok or ok is None and compatible(left, piece):
-                    last[end + 1] = piece
-                    break
-            else:
-                last[end + 1] = text[end]  # a character that only occurs inside longer pieces
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
+                if left is None:  # no piece fits there, so the character stands alone
+                    left = last[begin] = alone(text[begin])
+                ok = left[2].get(token[0])
+                if ok is None:
+                    ok = test(left[0], token[0])
+                if not ok:
+                    continue
+            last[end] = token
+        out, end = [], n - 1
+        while end >= 0:
+            token = last[end] or alone(text[end])
+            out.append(token)
+            end -= token[1]
         out.reverse()
         return out
 
     def ids_of(self, marked: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pieces(marked):
-            i = self.ids.get(piece)
+        found = self.tokens(marked)
+        out: list[int] = [t[3] for t in found]
+        if None not in out:
+            return out
+        out = []
+        for piece, _, _, i in found:
             if i is not None:
                 out.append(i)
             elif self.byte_ids:
@@ -129,13 +150,15 @@ class Codec:
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
     def chunks(self, marked: str) -> list[str]:
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked) if self.cuts else [marked] if marked else []
+        return self.cuts.findall(marked) if self.cuts else [marked] if marked else []
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(self.marked(text)) for i in self.ids_of(c)]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ``ids``; ``first`` drops the space that encoding put in front."""
+        if not first and self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.surface[i] for i in ids])
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -154,27 +177,49 @@ class Codec:
         return "".join(out)
 
 
+#: One memo for each model in a Python worker, so tasks that follow find what earlier ones have learnt.
+_MEMOS: dict[str, Memo] = {}
+
+
+def memo_of(model: bytes, remembered: int) -> Memo:
+    key = f"{hashlib.sha256(model).hexdigest()}-{remembered}"
+    if key not in _MEMOS:
+        _MEMOS[key] = Memo(Codec(model), remembered)
+    return _MEMOS[key]
+
+
 class Memo:
-    """Encodes whole texts and remembers short words: (ids, ids as text, decoded) of each."""
+    """Encodes whole texts and remembers short words: (ids as int32 bytes, ids as text, decoded) of each.
 
-    def __init__(self, codec: Codec):
-        self.codec, self.known = codec, {}
+    Words seen for the first time and words seen again are kept apart, up to ``remembered`` in all, and the
+    former are forgotten first: most words of a corpus occur once.
+    """
 
-    def chunk(self, c: str) -> tuple[list[int], str, str]:
-        ids = self.codec.ids_of(c)
-        got = (ids, ",".join(map(str, ids)), self.codec.decode(ids, first=False))
-        if len(c) <= 48:
-            if len(self.known) >= REMEMBERED:
+    def __init__(self, codec: Codec, remembered: int):
+        self.codec, self.most, self.known, self.new = codec, remembered // 2, {}, {}
+
+    def chunk(self, c: str) -> tuple[bytes, str, str]:
+        got = self.new.pop(c, None)
+        if got is not None:
+            if len(self.known) >= self.most:
                 self.known.clear()
             self.known[c] = got
+            return got
+        ids = self.codec.ids_of(c)
+        got = (array("i", ids).tobytes(), ",".join(map(str, ids)), self.codec.decode(ids, first=False))
+        if len(c) <= 48:
+            if len(self.new) >= self.most:
+                self.new.clear()
+            self.new[c] = got
         return got
 
-    def text(self, text: str) -> list[tuple[list[int], str, str]]:
+    def text(self, text: str) -> list[tuple[bytes, str, str]]:
         known, chunk = self.known, self.chunk
         return [known.get(c) or chunk(c) for c in self.codec.chunks(self.codec.marked(text))]
 
-    def decoded(self, parts: list[tuple[list[int], str, str]]) -> str:
-        """As decode() of all ids: runs of bytes never cross chunks, as a chunk begins with a space mark."""
+    def decoded(self, parts: list[tuple[bytes, str, str]]) -> str:
+        """As decode() of all ids: the bytes of a character are one run within a chunk, and the first piece
+        begins with the space that encoding put in front."""
         whole = "".join([p[2] for p in parts])
         return whole[1:] if self.codec.strips and whole.startswith(" ") else whole
 
@@ -184,7 +229,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model: bytes, ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: bytes, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` (with ``text``; other columns are kept) with n_tokens, ids_sha256, decoded_sha256 and, if
     asked for, the ids as array<int>; the column ``text`` is then the decoded text.
 
@@ -201,19 +246,20 @@ def encode_documents(docs: DataFrame, model: bytes, ids: bool = False) -> DataFr
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = None
-        for batch in it:
-            memo = memo or Memo(Codec(shared.value))
+        for batch in (b.slice(i, ROWS) for b in it for i in range(0, b.num_rows, ROWS)):
+            memo = memo or memo_of(shared.value, remembered)
             column = batch.column(batch.schema.get_field_index("text"))
             n, shas, decs, lists, texts = [], [], [], [], []
             for value in column:
                 text = value.as_py()
                 parts = memo.text(text) if text else []
-                n.append(sum([len(p[0]) for p in parts]))
+                packed = b"".join([p[0] for p in parts])
+                n.append(len(packed) // 4)
                 shas.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
                 decoded = memo.decoded(parts)
                 decs.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 if ids:
-                    lists.append([i for p in parts for i in p[0]])
+                    lists.append(packed)
                     texts.append(decoded if text else text)
             names, arrays = [], []
             for name, a in zip(batch.schema.names, batch.columns):
@@ -226,7 +272,8 @@ def encode_documents(docs: DataFrame, model: bytes, ids: bool = False) -> DataFr
             arrays += [pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decs, pa.string())]
             names += out[:3]
             if ids:
-                arrays.append(pa.array(lists, pa.list_(pa.int32())))
+                flat = pa.array(np.frombuffer(b"".join(lists), np.int32))
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -55,7 +55,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document."""
     model = pieces.read_model(pieces.model_path())
-    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model, remembered=1_000_000)
 
 
 @query("op1_toxicity")
