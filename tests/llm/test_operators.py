@@ -279,6 +279,7 @@ def test_zones():
     assert text_of("<p>a<p>b<div>c</div>d") == ([], ["a", "b", "c", "d"])
     assert text_of('<main>x<script>1</script></main><div class="cookie-notice">c</div>') == (["x"], [])
     assert text_of('<div id="content"><p>x</p><div class="sidebar">y</div></div><p>z') == (["x"], ["z"])
+    assert text_of('<div class="site-header">s</div><article><div class="entry-header"><h1>T</h1></div><p class="byline">by</p>x</article>') == (["T", "x"], [])
     assert text_of("a < b and <3 <p>c") == ([], ["a < b and <3", "c"])
     assert text_of("") == ([], []) and text_of("<p") == ([], []) and text_of("<script>x") == ([], [])
 
