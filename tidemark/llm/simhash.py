@@ -119,6 +119,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> Data
     groups = components(pairs)
     rep_of = reps.join(groups, reps.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     ids = rep_of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = (rep_of.join(ids, "component").join(degree.withColumnRenamed("a", "fp"), "fp", "left")
-             .select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    # one row for each fingerprint; written, so that the join below is a plain one that splits where many
+    # documents share a fingerprint
+    known = cut(rep_of.join(ids, "component").join(degree.withColumnRenamed("a", "fp"), "fp", "left")
+                .select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     return own.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
