@@ -215,6 +215,30 @@ def test_planted_passages(spark):
     assert all(len(left[d].split()) <= len(t.split()) - 65 for d, t in rows if d in want)
 
 
+def test_passages_with_other_words_between(spark):
+    """Two exact passages of a document and its owner, with words of their own (on both sides or one) between them."""
+    rng = random.Random(19)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, want = [], {}
+    for i, (size, gap, other) in enumerate([(55, 30, 30), (55, 45, 45), (60, 45, 45), (60, 60, 60), (80, 50, 50), (55, 45, 0), (55, 0, 45), (60, 62, 30)]):
+        one, two = text(size), text(size)
+        rows.append((i, " ".join(text(20) + one + text(other) + two + text(20))))
+        rows.append((100 + i, " ".join(text(30) + one + text(gap) + two + text(30))))
+        want[100 + i] = set(range(30, 30 + size)) | set(range(30 + size + gap, 30 + 2 * size + gap))
+    phrase, one = text(7), text(52)  # short shared phrases beside one passage
+    rows.append((50, " ".join(phrase + text(18) + one + text(18) + phrase[::-1] + text(20))))
+    rows.append((150, " ".join(text(5) + phrase + text(19) + one + text(19) + phrase[::-1])))
+    want[150] = set(range(31, 83))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {d: set() for d in want}
+    for r in found:
+        assert r.other_id == r.doc_id - 100 and r.share >= passages.MIN_SHARE
+        got[r.doc_id] |= set(range(r.start, r.end))
+    for d in want:
+        assert want[d] <= got[d], (d, len(want[d] - got[d]))
+        assert len(got[d] - want[d]) <= 14, (d, len(got[d] - want[d]))
+
+
 def plain_chain_score(x, y, k, cost, limit):
     order = sorted(range(len(x)), key=lambda i: x[i])
     best = {}
