@@ -239,6 +239,22 @@ def test_passages_with_other_words_between(spark):
         assert len(got[d] - want[d]) <= 14, (d, len(got[d] - want[d]))
 
 
+def test_passages_whose_seeds_have_many_owners(spark):
+    """Each five words of the passage also stand in an earlier document of their own, so no owner has two of its seeds."""
+    rng = random.Random(29)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, want = [], {}
+    for i, size in enumerate((50, 50, 55, 90)):
+        one = text(size)
+        order = rng.sample(range(0, size - 4), size - 4)  # one five-word sequence in each earlier document
+        rows += [(1000 * i + j, " ".join(text(12) + one[at:at + 5] + text(12))) for j, at in enumerate(order)]
+        rows += [(1000 * i + 500 + j, " ".join(text(at) + one + text(20))) for j, at in enumerate((17, 31, 8))]
+        want |= {1000 * i + 501: (31, 31 + size), 1000 * i + 502: (8, 8 + size)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.start, r.end, r.other_id, r.other_start, r.share) for r in passages.repeated_passages(docs).collect()}
+    assert got == {d: (lo, hi, d // 1000 * 1000 + 500, 17, 1.0) for d, (lo, hi) in want.items()}
+
+
 def plain_chain_score(x, y, k, cost, limit):
     order = sorted(range(len(x)), key=lambda i: x[i])
     best = {}
