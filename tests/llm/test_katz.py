@@ -38,6 +38,17 @@ def test_backoff_table_is_the_model(spark):
     assert got == sorted(round(model.alpha(2, h), 10) for n, h in model.follow if n == 2)
 
 
+def test_query_uses_trigrams(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    rows = list(enumerate(TEXTS))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = Katz(rows, 3)
+    got = {r.doc_id: round(r.score, 9) for r in QUERIES["op4_katz_scores"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(model.score(t), 9) for i, t in rows}
+    assert got != {i: round(Katz(rows, 2).score(t), 9) for i, t in rows}
+
+
 def test_empty_table(spark):
     assert katz.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -289,8 +289,7 @@ def score(docs: DataFrame, order: int = 2, chunk: int = CHUNK, bucket: int = BUC
 
     Training documents are those that ``held_out`` leaves; every document is scored whole.  A null or empty
     text is its end token alone.  Repeated rows are documents of their own (and train as often as they
-    occur).  Without training text every token has probability 1.  ``order`` is the n of the model; 2
-    keeps the table of counts within the disk limits of the check tool.  An empty table gives no rows.
+    occur).  Without training text every token has probability 1.  ``order`` is the n of the model.  An empty table gives no rows.
     Further columns are ignored.
     """
     return fit_and_score(docs, order, chunk, bucket)["scores"]
