@@ -1,10 +1,10 @@
-"""The ten operators as registered queries, with SQL twins where SQL can express them."""
+"""The thirteen operators as registered queries, with SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, katz, mixing, page_text, passages, pieces, simhash, toxicity, url_filter, va_file
+from tidemark.llm import ann, conversations, katz, manifest, mixing, page_text, passages, pieces, simhash, toxicity, url_filter, va_file, wavelet
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document repeats from an earlier one."""
     return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_turn_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired text of every conversation, after damage."""
+    return conversations.repair(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), damage=True)
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the shard files."""
+    return wavelet.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a partly altered copy still matches."""
+    return manifest.audited(table(spark, sf_dir, "documents").select(*manifest.FIELDS))
