@@ -7,8 +7,8 @@ as soon as it is full.  A file answers, without unpacking all of it, which token
 
 The ids of a shard get codes by falling frequency.  Plane 0 holds the first bit of every code in text order;
 each next plane holds the next bit after a stable partition by the bit before, zeros first.  So the upper planes
-are nearly empty and compress well.  Planes are cut into blocks of ``BLOCK`` bits, each deflated if that makes it
-smaller, with the number of ones before it: a rank reads one block a plane, a select searches the counts.
+are nearly empty and compress well.  Planes are cut into blocks of ``BLOCK`` bits, each deflated where sparse, if
+that makes it smaller, with the number of ones before it: a rank reads one block a plane, a select searches the counts.
 
 File, little-endian: magic, seven int64 (documents, tokens, distinct ids, planes, and the bytes of the three
 directories that follow deflated: document ids with null marks, lengths and places of rows, distinct ids by
@@ -18,11 +18,12 @@ code), then per plane its zeros, ones before each block and end of each block (i
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +36,28 @@ MAGIC = b"TDWM0001"
 SHARD = 1 << 20
 #: Bits of a block of a plane.
 BLOCK = 1 << 13
-#: Chunks whose ids one Python worker remembers, about 200 bytes each, twice.
-REMEMBERED = 500_000
+#: Chunks whose ids one Python worker remembers, about 150 bytes each; beyond it starts anew.
+REMEMBERED = 1_500_000
 #: Documents, and bytes of text, that are encoded at a time.
-ROWS, TEXT = 256, 4_000_000
+ROWS, TEXT = 512, 4_000_000
 
-_TAIL = b".,!?;:"
+#: A stop or comma at a chunk's end that does not follow a plain letter or digit, so that it may belong to a longer token.
+_ODD_STOP = re.compile(rb"(?:[^a-z0-9\xa0-\xbf]|[^\xc3][\xa0-\xbf]|\xc3\xb7)[.,][ \n]")
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_TOGETHER = 200
+
+
+class _Numbers(dict):
+    """Numbers of chunks in order of first use; ``new`` lists the ones whose ids are not known yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self.new.append(chunk)
+        number = self[chunk] = len(self)
+        return number
 
 
 class ChunkEncoder:
@@ -48,7 +65,8 @@ class ChunkEncoder:
 
     The vocabulary's normaliser and splitter never join across ASCII white space, so each chunk between it is
     encoded once and remembered.  ASCII letters are lower-cased first, as the normaliser does, except where a
-    special token could come out of that.  Stops after a letter are looked up apart, as no token crosses there.
+    special token could come out of that.  A stop or comma after a letter is a chunk of its own, as no token crosses
+    there.  Words of letters are one token sequence each with a marked end, so many are encoded in one call.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -57,45 +75,68 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of every text."""
-        split = []
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.begin, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text with the end id if given, and the number of ids of each text."""
+        if len(self.numbers) > self.remembered:
+            self._clear()
+        chunks: list[bytes] = []
+        counts = []
         for text in texts:
-            raw = (text or "").encode("utf-8", "replace")
-            lowered = raw.lower()
-            split.append((raw if b"<|" in raw else lowered).split())
-        self._learn(set().union(*split))
-        ids = self.young
-        return [b"".join([ids[c] for c in chunks]) for chunks in split]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.young) + len(chunks) > self.remembered:
-            self.old, self.young = self.young, {}
-        missing, composed = set(), []
-        young, old = self.young, self.old
-        for chunk in chunks - young.keys():
-            known = old.get(chunk)
-            if known is not None:
-                young[chunk] = known
-                continue
-            core = chunk.rstrip(_TAIL)
-            if core and len(core) < len(chunk) and chr(core[-1]).isalnum() and core[-1] < 128:
-                composed.append((chunk, core, chunk[len(core):]))
-                missing.update((core, chunk[len(core):]))
-            else:
-                missing.add(chunk)
-        for chunk in [c for c in missing if c not in young]:
-            known = old.get(chunk)
-            if known is not None:
-                young[chunk] = known
-        rest = [c for c in missing if c not in young]
-        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)):
-            young[chunk] = np.array(found.ids, "<u4").tobytes()
-        for chunk, core, tail in composed:
-            young[chunk] = young[core] + young[tail]
+            before = len(chunks)
+            chunks += self._split((text or "").encode("utf-8", "replace"))
+            counts.append(len(chunks) - before)
+        numbers = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
+        if self.numbers.new:
+            self._learn()
+        sizes = self.length[numbers]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.begin[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum(counts, dtype=np.int64)] if counts else np.empty(0, np.int64)
+        lengths = np.diff(upto, prepend=0)
+        if end is not None:
+            ids, lengths = np.insert(ids, upto, end), lengths + 1
+        return ids, lengths
+
+    @staticmethod
+    def _split(raw: bytes) -> list[bytes]:
+        if b"<|" in raw:
+            return raw.split()
+        low = raw.lower()
+        if _ODD_STOP.search(low):
+            return low.split()
+        return low.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").split()
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        found: dict[bytes, np.ndarray] = {}
+        plain = [c for c in new if _LETTERS.fullmatch(c)]
+        groups = [plain[i:i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            found.update(zip(group, np.split(ids, np.flatnonzero(self.ends[ids]) + 1)))
+        rest = [c for c in new if c not in found]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)):
+            found[c] = np.array(e.ids, "<u4")
+        parts = [found[c] for c in new]
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, *parts])
+
+
+@cache
+def _encoder(path: str, remembered: int) -> ChunkEncoder:
+    """One encoder a Python worker, kept over its tasks."""
+    return ChunkEncoder(path, remembered)
 
 
 def _pack(data: bytes) -> bytes:
@@ -105,28 +146,31 @@ def _pack(data: bytes) -> bytes:
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, unnamed: np.ndarray) -> bytes:
     """A shard file from all its ids, and per document length, id, and whether the id is null."""
     n = len(ids)
-    alphabet, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    by_count = np.argsort(-counts, kind="stable")
-    code_of = np.empty(len(alphabet), np.uint32)
-    code_of[by_count] = np.arange(len(alphabet), dtype=np.uint32)
-    codes = code_of[place.ravel()]
+    counts = np.bincount(ids)
+    alphabet = np.flatnonzero(counts)
+    alphabet = alphabet[np.argsort(-counts[alphabet], kind="stable")]
     planes = max(1, int(len(alphabet) - 1).bit_length()) if n else 0
+    kind = np.uint16 if planes <= 16 else np.uint32
+    code_of = np.zeros(len(counts), kind)
+    code_of[alphabet] = np.arange(len(alphabet), dtype=kind)
+    codes = code_of[ids]
     directories = [
         _pack(np.ascontiguousarray(doc_ids, "<i8").tobytes() + np.ascontiguousarray(unnamed, "u1").tobytes()),
         _pack(np.ascontiguousarray(lengths, "<i8").tobytes()),
-        _pack(np.ascontiguousarray(alphabet[by_count], "<u4").tobytes()),
+        _pack(np.ascontiguousarray(alphabet, "<u4").tobytes()),
     ]
     head = np.array([len(lengths), n, len(alphabet), planes, *map(len, directories)], "<i8").tobytes()
     tables, blocks = [], []
     end = 0
     for level in range(planes):
-        bits = (codes >> np.uint32(planes - 1 - level)) & 1 == 1
+        bits = (codes >> kind(planes - 1 - level) & kind(1)).view("u1")[::kind(0).itemsize].astype(bool)
         packed = np.packbits(bits, bitorder="little")
         ones = np.add.reduceat(bits, np.arange(0, n, BLOCK), dtype=np.int64)
         ends = []
-        for at in range(0, len(packed), BLOCK // 8):
+        for at, some in zip(range(0, len(packed), BLOCK // 8), ones.tolist()):
             plain = packed[at:at + BLOCK // 8].tobytes()
-            small = _pack(plain)
+            # about as many ones as zeros do not deflate
+            small = plain if 4 * some > BLOCK and 4 * some < 3 * BLOCK else _pack(plain)
             blocks.append(small if len(small) < len(plain) else plain)
             end += len(blocks[-1])
             ends.append(end)
@@ -236,12 +280,13 @@ class Shard:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order: the partitions are undone plane by plane, the last first."""
-        codes = np.zeros(self.tokens, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        codes = np.zeros(self.tokens, kind)
         for level in range(self.planes - 1, -1, -1):
             bits = np.concatenate([self._bits(level, b) for b in range(self.blocks)]).view(bool)
             merged, zeros = np.empty_like(codes), int(self.zeros[level])
             merged[~bits], merged[bits] = codes[:zeros], codes[zeros:]
-            codes = merged | (bits.astype(np.uint32) << np.uint32(self.planes - 1 - level))
+            codes = merged | (bits.astype(kind) << kind(self.planes - 1 - level))
         return self.ids[codes] if self.tokens else np.empty(0, "<u4")
 
     def document(self, i: int) -> np.ndarray:
@@ -250,18 +295,16 @@ class Shard:
         return np.array([self.access(start + j) for j in range(int(self.lengths[i]))], "<u4")
 
 
-def _coded(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder, closing: bytes) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, ids) of every row in order, with the end id, as little-endian uint32."""
+def _coded(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder, end: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Doc ids, ids in a row with the end id after each text, and lengths, some rows at a time."""
     for batch in batches:
-        doc_ids, texts = batch.column(0), batch.column(1)
         at = 0
         while at < batch.num_rows:
             some, size = [], 0
             while at + len(some) < batch.num_rows and len(some) < ROWS and size < TEXT:
-                some.append(texts[at + len(some)].as_py())
+                some.append(batch.column(1)[at + len(some)].as_py())
                 size += len(some[-1] or "")
-            for doc, ids in zip(doc_ids.slice(at, len(some)).to_pylist(), encoder.encode(some)):
-                yield doc, ids + closing
+            yield (batch.column(0).slice(at, len(some)).to_pylist(), *encoder.encode(some, end))
             at += len(some)
 
 
@@ -293,36 +336,41 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int = 2, shard: i
     place.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    closing = np.array([end], "<u4").tobytes()
     schema = "part int, number int, name string, documents long, tokens long, bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, bytes]] = []
+        names: list[int | None] = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         size = 0
 
         def close():
-            nonlocal held, size, number
-            names = [d for d, _ in held]
-            data = pack_shard(
-                np.frombuffer(b"".join([c for _, c in held]), "<u4"), np.array([len(c) // 4 for _, c in held]),
-                np.array([d or 0 for d in names], "<i8"), np.array([d is None for d in names]))
+            nonlocal names, held, lengths, size, number
+            data = pack_shard(np.concatenate(held), np.concatenate(lengths), np.array([d or 0 for d in names], "<i8"), np.array([d is None for d in names]))
             name = f"shard-{part:06d}-{number:06d}.wm"
             _store(folder, name, data)
-            row = [[part], [number], [name], [len(held)], [size], [len(data)]]
-            held, size, number = [], 0, number + 1
+            row = [[part], [number], [name], [len(names)], [size], [len(data)]]
+            names, held, lengths, size, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names=fields)
 
         fields = ["part", "number", "name", "documents", "tokens", "bytes"]
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        for doc, ids in _coded(batches, ChunkEncoder(path, remembered), closing):
-            held.append((doc, ids))
-            size += len(ids) // 4
-            if size >= shard:
-                yield close()
-        if held:
+        for docs_, ids, sizes in _coded(batches, _encoder(path, remembered), end):
+            while len(docs_):
+                # up to the document that fills the shard
+                upto = np.cumsum(sizes)
+                some = min(int(np.searchsorted(upto, shard - size)) + 1, len(docs_))
+                names += docs_[:some]
+                held.append(ids[:upto[some - 1]])
+                lengths.append(sizes[:some])
+                size += int(upto[some - 1])
+                docs_, ids, sizes = docs_[some:], ids[upto[some - 1]:], sizes[some:]
+                if size >= shard:
+                    yield close()
+        if names:
             yield close()
 
     return cut(ordered.mapInArrow(run, schema))
@@ -343,23 +391,27 @@ def read_shards(files: DataFrame, folder: str, ids: bool = False) -> DataFrame:
     raw = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "shard-*.wm").load(folder)
     raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     schema = "name string, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids array<long>" if ids else "")
+    fields = ["name", "doc_id", "inside", "n_tokens", "ids_crc32", *(["ids"] if ids else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                s = Shard(content)
+            for i in range(batch.num_rows):
+                s = Shard(batch.column(1)[i].as_py())
                 every = np.ascontiguousarray(s.all_ids(), "<u4")
-                begins = s.ends - s.lengths
-                raw = every.view("u1")
-                out = pd.DataFrame({
-                    "name": name, "doc_id": pd.array(s.doc_ids, dtype="Int64"), "inside": begins, "n_tokens": s.lengths,
-                    "ids_crc32": [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(begins.tolist(), s.ends.tolist())]})
-                out.loc[s.unnamed, "doc_id"] = pd.NA
-                if ids:
-                    out["ids"] = [every[a:b].tolist() for a, b in zip(begins, s.ends)]
-                yield out
-
-    read = raw.mapInPandas(run, schema).join(starts, "name")
+                begins, raw = s.ends - s.lengths, memoryview(every).cast("B")
+                crcs = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(begins.tolist(), s.ends.tolist())]
+                columns = [pa.array([batch.column(0)[i].as_py()] * s.documents), pa.array(s.doc_ids, mask=s.unnamed), pa.array(begins), pa.array(s.lengths), pa.array(crcs, pa.int64())]
+                out = pa.RecordBatch.from_arrays(columns, names=fields[:5])
+                for at in range(0, s.documents, ROWS if ids else max(s.documents, 1)):
+                    part = out.slice(at, ROWS if ids else s.documents)
+                    if ids:
+                        span = range(at, min(at + ROWS, s.documents))
+                        offsets = pa.array(np.concatenate([begins[span.start:span.stop], s.ends[span.stop - 1:span.stop]]) - begins[span.start], pa.int32())
+                        values = pa.array(every[begins[span.start]:s.ends[span.stop - 1]].astype(np.int64))
+                        part = pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, values, pa.list_(pa.field("element", pa.int64())))], names=fields)
+                    yield part
+
+    read = raw.mapInArrow(run, schema).join(starts, "name")
     columns = ["doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"]
     return read.select(*columns, *(["ids"] if ids else []))
 
@@ -368,13 +420,13 @@ def lookup(folder: str, spark, token: int) -> DataFrame:
     """Occurrences of an id, a row for each (name of the shard file, place in it), read by select from the files."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.wm").load(folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                places = Shard(content).occurrences(token)
-                yield pd.DataFrame({"name": [name] * len(places), "place": places})
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                places = Shard(content.as_py()).occurrences(token)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array(places, pa.int64())], names=["name", "place"])
 
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInPandas(run, "name string, place long")
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, "name string, place long")
 
 
 def vocabulary_path() -> str:
