@@ -34,8 +34,10 @@ VOCABULARY = 4_096
 CLEAR, LEAST = 6.0, 5
 #: Marked words in a hundred that part grade 2 from grade 3.
 SEVERE = 2.0
-#: Expected severity from which a document is rejected.
+#: Expected severity from which a document is rejected where no labels tell; else the cut is chosen on them.
 REJECT = 1.0
+#: Share of clean labelled documents that the cut may reject, and the folds that it is chosen over.
+LOST, FOLDS = 0.001, 5
 GRADES = 4
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -52,6 +54,10 @@ class Ordinal:
     weights: np.ndarray
     cuts: np.ndarray
     features: list[str] = field(default_factory=list)
+    reject: float = REJECT
+
+    def severity(self, at: np.ndarray, value: np.ndarray) -> float:
+        return float(self.at_least(np.array([self.weights[at] @ value if len(at) else 0.0])).sum())
 
     def at_least(self, s: np.ndarray) -> np.ndarray:
         """P(grade > g) for each step g, one row for each score."""
@@ -132,6 +138,26 @@ def _lbfgs(loss, t: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
     return t
 
 
+def choose_cut(x, y: np.ndarray, fold: np.ndarray, n_features: int) -> float:
+    """The least severity that rejects at most ``LOST`` of the clean rows, each judged by a fit without its fold.
+
+    The cut lies halfway between the clean rows it spares and the next toxic one.  Without toxic or without clean
+    rows, or where no toxic row lies above the clean ones, it is ``REJECT``.
+    """
+    found = np.zeros(len(y))
+    for f in np.unique(fold):
+        seen = np.flatnonzero(fold != f)
+        model = fit_ordinal([x[i] for i in seen], y[seen], n_features)
+        for i in np.flatnonzero(fold == f):
+            found[i] = model.severity(*x[i])
+    clean, toxic = np.sort(found[y == 0]), np.sort(found[y > 0])
+    if not len(clean) or not len(toxic):
+        return REJECT
+    spared = clean[len(clean) - 1 - int(LOST * len(clean))]
+    above = toxic[np.searchsorted(toxic, spared, side="right"):]
+    return float((spared + above[0]) / 2) if len(above) else REJECT
+
+
 def vectorise(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
     """Sparse features of a document (presence, then rate in a hundred), and its number of marked words."""
     found = Counter(map(index.get, words))
@@ -186,12 +212,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
     """The severity model from documents (doc_id, text) and labels (doc_id, toxic 0 or 1).
 
     Labels without a document, with null toxic or null text are not used; a doc_id that is labelled more
-    than once counts as toxic if any label says so.  Without usable or without toxic labels the model
+    than once counts as toxic if any label says so, and one that repeats in the documents gives its least text.
+    Grades above 1 follow the rate of marked words, as labels are 0 or 1.  Words are chosen on all labelled rows; the
+    cut for rejection on fits that leave the judged rows out.  Empty tables are as no labels.  Without usable or without toxic labels the model
     finds nothing toxic.
     """
     truth = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = cut(truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    labelled = cut(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id"))
+    # one row for each labelled id: the sample bounds what is collected, however often an id repeats
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    labelled = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn(
+        "fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")))
     features = marked_words(labelled.select("text", "toxic"))
     index = {w: i for i, w in enumerate(features)}
     if not index:
@@ -202,20 +233,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
             rows = [vectorise(w, index) + (len(w),) for w in (tokens(t.as_py()) for t in b.column(0))]
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
-                pa.array([100.0 * r[2] / max(1, r[3]) for r in rows], pa.float64()), b.column(1)], names=["at", "value", "rate", "toxic"])
+                pa.array([100.0 * r[2] / max(1, r[3]) for r in rows], pa.float64()), b.column(1), b.column(2)], names=["at", "value", "rate", "toxic", "fold"])
 
-    got = labelled.select("text", "toxic").mapInArrow(sparse, "at array<int>, value array<double>, rate double, toxic int").toPandas()
+    got = labelled.select("text", "toxic", "fold").mapInArrow(sparse, "at array<int>, value array<double>, rate double, toxic int, fold int").toPandas()
     toxic, rate = got["toxic"].to_numpy() == 1, got["rate"].to_numpy()
     y = np.where(toxic, 1 + (rate > 0) + (rate >= SEVERE), 0)
     x = [(np.asarray(a, int), np.asarray(v, float)) for a, v in zip(got["at"], got["value"])]
     model = fit_ordinal(x, y, 2 * len(index))
     model.features = features
+    model.reject = choose_cut(x, y, got["fold"].to_numpy(), 2 * len(index))
     return model
 
 
 def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
     """``docs`` (any columns, with text) plus severity (expected grade), grade (the likeliest), p_toxic
-    (P(grade >= 2)), rejected (severity of ``REJECT`` or more).
+    (P(grade >= 2)), rejected (severity at or above the model's cut).
 
     Null and empty texts have no features and get the severity of a document without marked words.
     Rows are independent.  Result columns replace input columns of the same name.
@@ -234,7 +266,7 @@ def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
             over = model.at_least(np.array(s))
             severity = over.sum(axis=1)
             each = -np.diff(np.concatenate([np.ones((len(s), 1)), over, np.zeros((len(s), 1))], axis=1), axis=1)
-            new = [pa.array(severity), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(over[:, 1]), pa.array(severity >= REJECT)]
+            new = [pa.array(severity), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(over[:, 1]), pa.array(severity >= model.reject)]
             yield pa.RecordBatch.from_arrays(list(b.columns) + new, names=b.schema.names + out)
 
     return kept.mapInArrow(run, f"{fields}, severity double, grade int, p_toxic double, rejected boolean")
