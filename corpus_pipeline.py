@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, mixing, passages, pieces, toxicity
+from tidemark.llm import mixing, passages, pieces, simhash, toxicity
 from tidemark.llm.common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model is fitted on the labelled documents of the input."""
+    """The model, and the severity from which a document goes, are fitted on the labelled documents of the input.
+
+    Null and empty texts stay, long ones are judged whole; equal rows have the same fate; an empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels")
     return toxicity.graded(docs, docs, labels).filter(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -27,10 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document that names its component; rows that repeat its doc_id and text go as well.
 
-    Near duplicates share 0.8 of their five-word shingles.  Of documents without words one stays.  A row with a null doc_id
-    stays only if no other document links to it.
+    Near duplicates have fingerprints of three-word shingles that differ in three bits at most.  Of documents without words
+    one stays.  A row with a null doc_id stays only if no other document links to it.
     """
-    groups = minhash.near_copies(docs.select("doc_id", "text"))
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=3, bits=3)
     keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
     kept = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id")).join(keep, F.col("own_id").eqNullSafe(F.col("keep_id")), "left_semi")
     once = Window.partitionBy("own_id", F.md5("row.text")).orderBy(F.lit(1))
@@ -38,10 +41,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts stay as they are; see ``passages.without_passages``."""
     return passages.without_passages(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as they are taken, the last copy cut at the source's budget; see ``mixing.mixed``."""
     return mixing.mixed(docs)
 
 
