@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import ranked
+from tidemark.session import cut
 
 
 def temporal_split(rows: DataFrame, n_test: int) -> DataFrame:
@@ -62,8 +65,47 @@ def account_holdout(accounts: DataFrame, n_train: int, n_calibration: int) -> Da
 
 
 def group_folds(rows: DataFrame, k: int) -> DataFrame:
-    """Fold per account, balanced by row count: accounts in order of size are dealt to the folds."""
+    """Fold per account: accounts in falling order of size, each to the fold with the fewest rows so far.
+
+    Equal sizes are dealt as a block.  Only the histogram of sizes (size, accounts) is needed for that, one row
+    for each distinct size and so bounded by the calendar; the accounts of a size get the folds of their block by
+    rank, ties in a fold's rows go to the lower fold.
+    """
     sizes = rows.groupBy("account_id").agg(F.count(F.lit(1)).alias("fold_rows"))
-    return ranked_accounts(sizes, by="fold_rows").select(
-        "account_id", "fold_rows", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int").alias("fold")
-    )
+    sizes = cut(sizes)
+    histogram = sizes.groupBy("fold_rows").agg(F.count(F.lit(1)).alias("accounts")).orderBy(F.desc("fold_rows")).collect()
+    turns = dealt([(r.fold_rows, r.accounts) for r in histogram], k)
+    blocks = rows.sparkSession.createDataFrame(turns, "fold_rows long, before long, first array<int>")
+    placed = ranked_accounts(sizes, by="fold_rows")
+    place = F.col("rank") - 1 - F.col("before")
+    last = F.size("first")
+    # the first turns of a block level the folds, the rest go round
+    fold = F.when(place < last, F.get("first", place.cast("int"))).otherwise(F.get("first", (last - k + (place - last) % k).cast("int")))
+    return placed.join(F.broadcast(blocks), "fold_rows").select("account_id", "fold_rows", fold.cast("int").alias("fold"))
+
+
+def dealt(histogram: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """For each block of accounts of one size (largest first): size, accounts before it, and the folds of its first
+    accounts until they go round in turn.
+
+    Once k different folds have been the lightest in a row, the same k folds repeat.  Folds never differ by more than
+    the largest account, so a block needs about k times (largest size / its size) steps, however many accounts it
+    has.
+    """
+    load, before, out = [0] * k, 0, []
+    for size, accounts in histogram:
+        first, left = [], accounts
+        while left:
+            if len(first) >= k and len(set(first[-k:])) == k:
+                # a full round has been dealt in order of load: it repeats
+                rounds, rest = divmod(left, k)
+                for i, f in enumerate(first[-k:]):
+                    load[f] += size * (rounds + (i < rest))
+                break
+            f = min(range(k), key=lambda i: (load[i], i))
+            first.append(f)
+            load[f] += size
+            left -= 1
+        out.append((size, before, first))
+        before += accounts
+    return out

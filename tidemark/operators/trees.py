@@ -2,21 +2,31 @@
 
 One distributed fit covers every account.  MLlib trees split on histograms, so their values differ
 a little from exact-split trees.
+
+Fits that do not depend on each other (folds, families, settings) run from a bounded pool of threads over one
+written table of feature vectors, so that their short jobs fill the cores together.  A setting that only
+differs in the number of trees or rounds is not fitted again: the largest ensemble is scored at every
+prefix asked for.
 """
 
 from __future__ import annotations
 
+import ast
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attribution import tree_nodes
 from tidemark.operators.folds import expanding_fold, fold_train_end, group_folds
 from tidemark.operators.metrics import r2
 from tidemark.session import cut
@@ -33,27 +43,53 @@ RIDGE_GRID = [{"alpha": a} for a in (1.0, 10.0, 100.0)]
 DEEPEST = 30  # MLlib's limit stands for "unlimited"
 KNEE = 1.03
 WARM_TREES = 50
+# how fits are spread: fits at a time; rows of a task (a boosting round is many short jobs, a forest few long
+# ones), the most tasks of a fit, and MB of histograms that one pass over the rows may fill
+CONCURRENT = 8
+BOOSTING_ROWS, FOREST_ROWS, MOST_TASKS = 50_000, 4_000, 20_000
+HISTOGRAMS_MB = 512
+
+
+def together(jobs: Sequence[Callable[[], Any]], most: int = CONCURRENT) -> list:
+    """Results of independent Spark jobs that run from ``most`` threads at a time, in their order."""
+    if not jobs:
+        return []
+    with ThreadPoolExecutor(min(most, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
 
 
 def assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows with the vector column "features", unless they carry it already (see ``vectors``)."""
+    if "features" in rows.columns:
+        return rows
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
 
 
+def vectors(rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Written table of the columns ``keep`` and the feature vector, which several fits read."""
+    return cut(assembled(rows, features).select(*keep, "features"))
+
+
+def _training(rows: DataFrame, features: Sequence[str], target: str, rows_a_task: int) -> DataFrame:
+    slim = assembled(rows, features).select("features", target)
+    return slim.repartition(max(1, min(MOST_TASKS, -(-slim.count() // rows_a_task))))
+
+
 def fit_forest(rows: DataFrame, features: Sequence[str], target: str = "y", config: dict[str, Any] = FOREST):
     model = RandomForestRegressor(
         labelCol=target, numTrees=config["trees"], maxDepth=config["depth"] or DEEPEST,
         minInstancesPerNode=config["leaf"], featureSubsetStrategy=config["features"], seed=SEED,
-        subsamplingRate=1.0, bootstrap=config.get("bootstrap", True),
+        subsamplingRate=1.0, bootstrap=config.get("bootstrap", True), maxMemoryInMB=HISTOGRAMS_MB,
     )
-    return model.fit(assembled(rows, features).select("features", target))
+    return model.fit(_training(rows, features, target, FOREST_ROWS))
 
 
 def fit_boosting(rows: DataFrame, features: Sequence[str], target: str = "y", config: dict[str, Any] = BOOSTING):
     model = GBTRegressor(
         labelCol=target, maxIter=config["rounds"], maxDepth=config["depth"], stepSize=config["rate"],
-        subsamplingRate=config["subsample"], minInstancesPerNode=config["leaf"], seed=SEED,
+        subsamplingRate=config["subsample"], minInstancesPerNode=config["leaf"], seed=SEED, maxMemoryInMB=HISTOGRAMS_MB,
     )
-    return model.fit(assembled(rows, features).select("features", target))
+    return model.fit(_training(rows, features, target, BOOSTING_ROWS))
 
 
 def fit_ridge(rows: DataFrame, features: Sequence[str], target: str = "y", config: dict[str, Any] | None = None):
@@ -65,6 +101,8 @@ def fit_ridge(rows: DataFrame, features: Sequence[str], target: str = "y", confi
     return model.fit(assembled(rows, features).select("features", target))
 
 
+#: What a family calls its number of trees.
+LENGTHS = {"random_forest": "trees", "boosted_trees": "rounds"}
 FAMILIES = {"linear": (fit_ridge, RIDGE_GRID), "random_forest": (fit_forest, FOREST_GRID),
             "boosted_trees": (fit_boosting, BOOSTING_GRID)}
 
@@ -82,19 +120,51 @@ def choose_tree(rows: DataFrame, features: Sequence[str], target: str = "y", k:
     """
     n, rn = F.col("n_train"), F.col("rn")
     train = rows.where(~F.col("is_test")).withColumn("__fold", expanding_fold(rn, n, k))
-    parts = []
-    for f in range(k):
-        before = train.where(rn <= fold_train_end(F.lit(f), n, k))
-        after = train.where(F.col("__fold") == f)
-        for name, fit, config in (("random_forest", fit_forest, forest), ("gradient_boosting", fit_boosting, boosting)):
-            scored = predict(after, fit(before, features, target, config), features)
-            error = F.col(target) - F.col("prediction")
-            parts.append(scored.agg(F.sqrt(F.avg(error * error)).alias("rmse")).select(F.lit(name).alias("model"), "rmse"))
-    scores = reduce(DataFrame.unionByName, parts).groupBy("model").agg(F.avg("rmse").alias("cv_rmse"))
+    ready = vectors(train, features, ["__fold", "rn", "n_train", target])
+    error = F.col(target) - F.col("prediction")
+
+    def score(f: int, name: str, fit, config) -> tuple[str, float]:
+        model = fit(ready.where(rn <= fold_train_end(F.lit(f), n, k)), features, target, config)
+        scored = predict(ready.where(F.col("__fold") == f), model, features)
+        return name, scored.agg(F.sqrt(F.avg(error * error))).first()[0]
+
+    families = (("gradient_boosting", fit_boosting, boosting), ("random_forest", fit_forest, forest))
+    jobs = [lambda f=f, family=family: score(f, *family) for family in families for f in range(k)]
+    scores = rows.sparkSession.createDataFrame(together(jobs), "model string, rmse double")
+    scores = scores.groupBy("model").agg(F.avg("rmse").alias("cv_rmse"))
     best = F.min_by("model", "cv_rmse").over(Window.partitionBy(F.lit(0)))
     return scores.withColumn("is_best", F.col("model") == best)
 
 
+def prefix_errors(model, rows: DataFrame, features: Sequence[str], target: str, sizes: Sequence[int]) -> list[float]:
+    """Mean absolute error on ``rows`` of the first 1 .. n trees (rounds) of an ensemble, for each n in ``sizes``.
+
+    Boosting adds its rounds up, a forest takes the mean over its first trees.
+    """
+    ready = assembled(rows, features)
+    if hasattr(model, "evaluateEachIteration"):
+        errors = model.evaluateEachIteration(ready.select("features", F.col(target).cast("double").alias(model.getLabelCol())), "absolute")
+        return [errors[n - 1] for n in sizes]
+    leaves = tree_nodes(model, rows.sparkSession).where(F.col("left") < 0).select("treeID", "id", "value")
+    # the leaf values are part of the model, which MLlib holds on the driver and ships whole as well
+    values = [t["value"].to_numpy() for _, t in leaves.toPandas().sort_values(["treeID", "id"]).groupby("treeID")]
+    shipped = rows.sparkSession.sparkContext.broadcast(values)
+    scored = model.setLeafCol("__leaf").setPredictionCol("__p").transform(ready)
+    scored = scored.select(F.col(target).cast("double").alias("y"), vector_to_array("__leaf").alias("leaf"))
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            place = np.stack(batch["leaf"].to_numpy()).astype(int)
+            found = np.cumsum(np.stack([v[place[:, t]] for t, v in enumerate(shipped.value)], axis=1), axis=1)
+            y = batch["y"].to_numpy()
+            yield pd.DataFrame({"n": list(sizes), "rows": len(y), "error": [np.abs(y - found[:, n - 1] / n).sum() for n in sizes]})
+
+    sums = scored.mapInPandas(added, "n int, rows long, error double").groupBy("n").agg((F.sum("error") / F.sum("rows")).alias("mae"))
+    by_size = {r.n: r.mae for r in sums.collect()}
+    model.setLeafCol("")
+    return [by_size[n] for n in sizes]
+
+
 def step_scale(rows: DataFrame, target: str = "y") -> float:
     """Mean absolute change of the target from one period to the next within accounts."""
     by_period = Window.partitionBy("account_id").orderBy("period")
@@ -106,22 +176,40 @@ def tune(rows: DataFrame, features: Sequence[str], family: str, grid: Sequence[d
          k: int = 3, target: str = "y") -> DataFrame:
     """Capacity sweep over account folds: validation MASE and seconds per fit of every setting.
 
-    The knee is the cheapest setting within 3 % of the best.
+    The knee is the cheapest setting within 3 % of the best.  All fits run together; a setting that is a prefix
+    of another counts its share of that fit's seconds.
     """
     fit, default = FAMILIES[family]
+    grid = list(grid or default)
     folds = group_folds(rows, k).select("account_id", "fold")
     marked = cut(rows.join(folds, "account_id"))
     scale = step_scale(marked, target)
+    ready = vectors(marked, features, ["fold", target])
+    # settings that differ in their number of trees only share one fit
+    length = LENGTHS.get(family)
+    shared: dict[str, list[int]] = {}
+    for i, config in enumerate(grid):
+        shared.setdefault(str({c: v for c, v in config.items() if c != length}), []).append(i)
+
+    def fold_errors(members: list[int], f: int) -> list[tuple[int, float, float]]:
+        """(setting, mean absolute error, seconds) of all settings of one fit."""
+        largest = max((grid[i] for i in members), key=lambda c: c.get(length, 0))
+        seen, held = ready.where(F.col("fold") != f), ready.where(F.col("fold") == f)
+        began = time.perf_counter()
+        model = fit(seen, features, target, largest)
+        spent = time.perf_counter() - began
+        if length is None:
+            scored = predict(held, model, features)
+            return [(members[0], scored.agg(F.avg(F.abs(F.col(target) - F.col("prediction")))).first()[0], spent)]
+        sizes = [grid[i][length] for i in members]
+        return [(i, e, spent * n / largest[length]) for i, n, e in zip(members, sizes, prefix_errors(model, held, features, target, sizes))]
+
+    jobs = [lambda m=m, f=f: fold_errors(m, f) for m in shared.values() for f in range(k)]
+    found = [r for part in together(jobs) for r in part]
     results = []
-    for config in grid or default:
-        errors, spent = [], 0.0
-        for f in range(k):
-            began = time.perf_counter()
-            model = fit(marked.where(F.col("fold") != f), features, target, config)
-            spent += time.perf_counter() - began
-            scored = predict(marked.where(F.col("fold") == f), model, features)
-            errors.append(scored.agg(F.avg(F.abs(F.col(target) - F.col("prediction")))).first()[0])
-        results.append((family, str(config), float(np.mean(errors)) / scale, spent / k))
+    for i, config in enumerate(grid):
+        own = [(e, s) for j, e, s in found if j == i]
+        results.append((family, str(config), float(np.mean([e for e, _ in own])) / scale, float(np.mean([s for _, s in own]))))
     limit = KNEE * min(r[2] for r in results)
     knee = min((r for r in results if r[2] <= limit), key=lambda r: r[3])
     table = [(*r, r is knee) for r in results]
@@ -129,15 +217,20 @@ def tune(rows: DataFrame, features: Sequence[str], family: str, grid: Sequence[d
         table, "family string, config string, mase double, fit_s double, is_knee boolean")
 
 
+def knee_settings(tuned: DataFrame) -> dict[str, dict]:
+    """The setting at the knee of every family of ``tune`` results, as the benchmark takes them."""
+    return {r.family: ast.literal_eval(r.config) for r in tuned.where("is_knee").collect()}
+
+
 def out_of_fold(rows: DataFrame, features: Sequence[str], family: str, config: dict, k: int = 5, target: str = "y") -> DataFrame:
     """Predictions for every account from a model that never saw it."""
     fit, _ = FAMILIES[family]
     folds = group_folds(rows, k).select("account_id", "fold")
-    marked = cut(rows.join(folds, "account_id"))
+    ready = vectors(rows.join(folds, "account_id"), features, ["account_id", "period", "fold", target])
+    models = together([lambda f=f: fit(ready.where(F.col("fold") != f), features, target, config) for f in range(k)])
     parts = []
-    for f in range(k):
-        model = fit(marked.where(F.col("fold") != f), features, target, config)
-        scored = predict(marked.where(F.col("fold") == f), model, features)
+    for f, model in enumerate(models):
+        scored = predict(ready.where(F.col("fold") == f), model, features)
         parts.append(scored.select("account_id", "period", F.lit(family).alias("model"),
                                    F.col(target).alias("y_true"), F.col("prediction").alias("y_pred")))
     return reduce(DataFrame.unionByName, parts)

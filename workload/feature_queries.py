@@ -179,9 +179,8 @@ def e3(spark, sf):
                     O.fold_train_end(F.col("fold"), F.col("n_train"), 5).alias("train_end")))
 
 
-@query("e4_group_folds", "with " + Q.EVENTS + """
-select account_id, fold_rows, (row_number() over (order by fold_rows desc, account_id) - 1) % 5 fold
-from (select account_id, count(*) fold_rows from evl group by 1)""")
+@query("e4_group_folds", "with recursive " + Q.EVENTS + "," + Q.lightest_folds("evl", 5) + """
+select account_id, fold_rows, fold from dealt where i > 0""")
 def e4(spark, sf):
     return nums(O.group_folds(A.ledger_events(spark, sf), 5))
 

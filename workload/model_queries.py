@@ -1,12 +1,14 @@
 """Pooled models and end-to-end workflows.
 
-Forests have their published size.  Boosting has it in its own query; where it is refitted for every fold or
-benchmark it is registered with fewer rounds, so that one pass over all queries stays short.  All models
-see every row of every account.
+Forests, boosting and the tuning grids have their published sizes; fits of folds and settings run together.  All
+models see every row of every account.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution as AT
@@ -24,10 +26,7 @@ from workload.forecast_queries import split_rows
 from workload.registry import num, nums, query
 
 FOREST = T.FOREST
-BOOSTING = {"rounds": 10, "depth": 3, "rate": 0.1, "subsample": 0.8, "leaf": 20}
-SETTINGS = {"linear": {"alpha": 10.0},
-            "random_forest": NC.SETTINGS["random_forest"],
-            "boosted_trees": BOOSTING}
+SETTINGS = NC.SETTINGS
 
 
 def _pooled_scores(spark, sf, fit, config, name):
@@ -83,7 +82,7 @@ def m8_two(spark, sf):
 @query("m9_tree_choice")
 def m9(spark, sf):
     rows, names = split_rows(spark, sf)
-    return T.choose_tree(rows, names, forest=FOREST | {"trees": 40}, boosting=BOOSTING)
+    return T.choose_tree(rows, names)
 
 
 def _bench(spark, sf, settings=SETTINGS, features=None):
@@ -100,9 +99,8 @@ gated as (select s.*, case when place > n * 5 // 6 then 'unseen' when place > n
 
 
 def _folds(src: str, k: int) -> str:
-    return f"""
-sized as (select account_id, (row_number() over (order by count(*) desc, account_id) - 1) % {k} fold from {src} group by 1),
-folded as (select r.*, fold from {src} r join sized using (account_id))"""
+    return Q.lightest_folds(src, k) + f""",
+folded as (select r.*, fold from {src} r join dealt using (account_id))"""
 
 
 # slope and intercept of MLlib's standardised ridge with one feature
@@ -167,7 +165,7 @@ def _tuning_rows(spark, sf):
     return NC.tuning_rows(rows), names
 
 
-@query("m12_linear_one_feature", "with " + ROLES + ",\ntr as (select * from gated where role = 'train' and not is_test)," + _folds("tr", 3) + """,
+@query("m12_linear_one_feature", "with recursive " + ROLES + ",\ntr as (select * from gated where role = 'train' and not is_test)," + _folds("tr", 3) + """,
 steps as (select avg(abs(c)) scale from (select y - lag(y) over (partition by account_id order by period) c from tr)),
 grid as (select unnest([1.0, 10.0, 100.0]) alpha, unnest(range(3)) i),
 fits as (select alpha, f, """ + _ridge("alpha") + """ from folded, grid, (select unnest(range(3)) f) where fold <> f group by alpha, f),
@@ -181,10 +179,9 @@ def m12_one(spark, sf):
 
 @query("m12_capacity_tuning")
 def m12(spark, sf):
+    """The published grids of all three families over account folds, with the knee of each."""
     rows, names = _tuning_rows(spark, sf)
-    out = T.tune(rows, names, "linear")
-    grid = [{"trees": n, "depth": d, "leaf": 20, "features": "all"} for n in (5, 15) for d in (4, 8)]
-    return out.unionByName(T.tune(rows, names, "random_forest", grid))
+    return reduce(DataFrame.unionByName, [T.tune(rows, names, family) for family in T.FAMILIES])
 
 
 @query("m13_per_account_decomposed")
@@ -192,7 +189,7 @@ def m13(spark, sf):
     return G.per_account(A.ledger_flows(spark, sf), cut(panels.daily_panel(spark, sf)), FOREST)
 
 
-@query("m13_unseen_linear_one_feature", "with " + Q.WSPLIT + "," + _folds("spl", 3) + """,
+@query("m13_unseen_linear_one_feature", "with recursive " + Q.WSPLIT + "," + _folds("spl", 3) + """,
 fits as (select f, """ + _ridge("10") + """ from folded, (select unnest(range(3)) f) where fold <> f group by f),
 preds as (select y y_true, my + b * (nf_lag_1 - mx) y_pred from folded join fits on fold = f)
 select 'linear' model, round(1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)), 6) r2, count(*) n from preds""")
@@ -204,7 +201,7 @@ def m13_one(spark, sf):
 @query("m13_leave_accounts_out")
 def m13_unseen(spark, sf):
     rows, names = split_rows(spark, sf)
-    return G.leave_accounts_out(rows, names, BOOSTING, k=3)
+    return G.leave_accounts_out(rows, names)
 
 
 @query("m15_warm_forest")

@@ -265,3 +265,15 @@ bw as (select account_id, case when w4 <= w8 and w4 <= w12 then 4 when w8 <= w12
 
 WFEAT = WEEKLY + "," + features("weekly", "W")
 WSPLIT = WFEAT + "," + split()
+
+
+def lightest_folds(src: str, k: int) -> str:
+    """Accounts of ``src`` in falling order of rows, each to the fold with the fewest rows (recursive: dealt)."""
+    lightest = "list_position(load, list_min(load))"
+    return f"""
+sized as materialized (select account_id, count(*) fold_rows, row_number() over (order by count(*) desc, account_id) i from {src} group by 1),
+dealt as (select 0::bigint i, null::bigint account_id, 0::bigint fold_rows, -1::bigint fold, {[0] * k}::bigint[] load
+          union all
+          select sized.i, sized.account_id, sized.fold_rows, {lightest} - 1,
+                 list_transform(load, lambda x, j: x + case when j = {lightest} then sized.fold_rows else 0 end)
+          from dealt join sized on sized.i = dealt.i + 1)"""
