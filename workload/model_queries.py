@@ -216,32 +216,56 @@ def m17(spark, sf):
     return NC.warm_start(_bench(spark, sf, {"random_forest": SETTINGS["random_forest"]}))
 
 
-def _weekly_track(spark, sf, mode):
+def _track(spark, sf, freq, mode, tree):
     tx, daily = cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf))
-    return TR.run_grid(tx, daily, freqs=("W",), modes=(mode,), forest=FOREST, tree="forest")
+    return TR.run_grid(tx, daily, freqs=(freq,), modes=(mode,), tree=tree)
 
 
 @query("m18_weekly_direct_track")
 def m18_direct(spark, sf):
-    return _weekly_track(spark, sf, "direct")
+    return _track(spark, sf, "W", "direct", "choose")
 
 
 @query("m18_weekly_decomposed_track")
 def m18_decomposed(spark, sf):
-    return _weekly_track(spark, sf, "decomposed")
+    return _track(spark, sf, "W", "decomposed", "choose")
 
 
 @query("m18_weekly_agnostic_track")
 def m18_agnostic(spark, sf):
-    return _weekly_track(spark, sf, "decomp_agnostic")
+    return _track(spark, sf, "W", "decomp_agnostic", "choose")
+
+
+@query("m18_daily_direct_track")
+def m18_daily_direct(spark, sf):
+    return _track(spark, sf, "D", "direct", "forest")
+
+
+@query("m18_daily_decomposed_track")
+def m18_daily_decomposed(spark, sf):
+    return _track(spark, sf, "D", "decomposed", "forest")
+
+
+@query("m18_daily_agnostic_track")
+def m18_daily_agnostic(spark, sf):
+    return _track(spark, sf, "D", "decomp_agnostic", "forest")
+
+
+def _grid(spark, sf, **options):
+    tx, daily = cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf))
+    return TR.run_grid(tx, daily, tree="forest", **options)
 
 
 @query("e13_weekly_tracks")
 def e13_tracks(spark, sf):
     """Median R2 of each model by weekly track: direct against both decompositions."""
-    tx, daily = cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf))
-    scores = TR.run_grid(tx, daily, freqs=("W",), forest=FOREST, linear="ridge", tree="forest")
-    return M.track_comparison(scores, [f"W-{m}" for m in TR.MODES])
+    return M.track_comparison(_grid(spark, sf, freqs=("W",)), [f"W-{m}" for m in TR.MODES])
+
+
+@query("e13_best_per_frequency")
+def e13_best(spark, sf):
+    """Of the six tracks, the best track and learned model of each frequency."""
+    return TR.best_per_frequency(_grid(spark, sf))
 
 
 @query("x2_tree_attribution")
