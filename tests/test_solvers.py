@@ -1,8 +1,14 @@
+import os
+import sys
+
 import numpy as np
 import pytest
 
 from tidemark.functions import solvers as S
 
+sys.path.insert(0, os.path.dirname(__file__))
+import dense as D  # noqa: E402
+
 
 def data(n=80, p=6, seed=0):
     rng = np.random.default_rng(seed)
@@ -51,7 +57,7 @@ def test_gram_handles_collinear_and_constant_features():
     z = z - shift
     sums = [v for i in range(z.shape[1]) for v in [z[:, i].sum(), *[(z[:, i] * z[:, j]).sum() for j in range(i + 1)]]]
     coef, mean, scale, level = S.gram_ridge(sums, len(y), x.shape[1], 0.0, shift)
-    plain = S.ols(x, y)
+    plain = D.ols(x, y)
     assert np.allclose((x - mean) / scale @ coef + level, (x - plain[1]) / plain[2] @ plain[0] + plain[3], atol=1e-6)
 
 
@@ -66,11 +72,64 @@ def test_large_levels_keep_their_slope(spark):
     assert np.isclose(fit.weights[0], 3, atol=0.01)
 
 
+def panel(spark, sizes=(24, 47, 80), p=4):
+    """Accounts of different length, the last column a multiple of the first."""
+    rows = []
+    for account, n in enumerate(sizes):
+        x, y = data(n=n, p=p, seed=account)
+        x = np.column_stack([x, 2 * x[:, 0]])
+        rows += [(account, f"2020-01-01T{i:04d}", i + 1, n, False, *map(float, x[i]), float(y[i] + 1000 * account)) for i in range(n)]
+    names = [f"x{i}" for i in range(p + 1)]
+    df = spark.createDataFrame(rows, ["account_id", "period", "rn", "n_train", "is_test", *names, "y"])
+    df = df.withColumn("rn", df.rn.cast("int"))
+    back = {a: (np.array([r[5:-1] for r in rows if r[0] == a]), np.array([r[-1] for r in rows if r[0] == a])) for a in range(len(sizes))}
+    return df, names, back
+
+
+def test_family_from_sums_equals_fits_on_rows(spark):
+    from tidemark.operators import linear as LN
+
+    df, names, back = panel(spark)
+    got = {(r.account_id, r.model): r for r in LN.linear_family(df, names).collect()}
+    plain = {"ols": lambda a, b: (*D.ols(a, b), 0.0), "lasso": D.lasso, "ridge": S.ridge}
+    for a, (x, y) in back.items():
+        for name, fit in plain.items():
+            coef, mean, scale, level, alpha, *_ = fit(x, y)
+            r = got[a, name]
+            assert np.isclose(r.alpha, alpha, rtol=1e-6), (a, name)
+            assert np.allclose(x @ np.array(r.weights) + r.intercept, (x - mean) / scale @ coef + level, atol=1e-5), (a, name)
+            assert np.isclose(r.cv_rmse, D.fold_rmse(fit, x, y), rtol=1e-5), (a, name)
+
+
+def test_fold_residuals_equal_refits(spark):
+    from tidemark.operators import linear as LN
+
+    df, names, back = panel(spark)
+    for alphas in (None, [10.0]):
+        got = {(r.account_id, r.period): r.residual for r in LN.fold_residuals(df, names, alphas=alphas).collect()}
+        count = 0
+        for a, (x, y) in back.items():
+            place, resid = D.fold_residuals(lambda u, v: S.ridge(u, v, S.RIDGE_ALPHAS if alphas is None else np.array(alphas)), x, y)
+            for i, r in zip(place, resid):
+                assert np.isclose(got[a, f"2020-01-01T{i:04d}"], r, atol=1e-5)
+                count += 1
+        assert count == len(got)
+
+
+def from_sums(x, y, **options):
+    n, p = x.shape
+    z = np.column_stack([x, y])
+    z = z - z.mean(0)
+    sums = lambda v: [s for i in range(p + 1) for s in [v[:, i].sum(), *[(v[:, i] * v[:, j]).sum() for j in range(i + 1)]]]
+    blocks = [(i + 1, 1, sums(z[i:i + 1])) for i in range(n)]
+    return S.lasso_from_sums(S.running(blocks, p), n, p)
+
+
 def test_lasso_tells_of_fits_that_are_not_whole():
     x, y = data(n=5, p=2)
-    assert S.lasso(x, y)[-1] == "too few rows"
-    assert S.lasso(*data())[-1] is None
-    assert S.lasso(data()[0], np.ones(80))[-1] == "constant target"
+    assert from_sums(x, y)[-1] == "too few rows"
+    assert from_sums(*data())[-1] is None
+    assert from_sums(data()[0], np.ones(80))[-1] == "constant target"
     out = S.lasso_at(np.eye(1), np.array([1.0]), np.array([1.0, 0.5]))
     assert np.allclose(out, [[0.0, 0.5]])
 

@@ -1,7 +1,7 @@
-"""Small dense solvers used inside tasks, one account's training rows at a time.
+"""Small dense solvers used inside tasks, on one account's product sums at a time.
 
-Group size is bounded by the calendar (weeks or days of one account).  Spark partitions the
-accounts; nothing here knows about Spark.
+Spark adds the sums up and partitions the accounts; nothing here knows about Spark.  Only the prequential
+refits read rows, bounded by the calendar.
 """
 
 from __future__ import annotations
@@ -34,12 +34,6 @@ def raw_weights(coef, mean, scale, level):
     return weights, level - weights @ mean
 
 
-def ols(x, y):
-    mean, scale = standardise(x)
-    coef = np.linalg.lstsq((x - mean) / scale, y - y.mean(), rcond=1e-10)[0]
-    return coef, mean, scale, y.mean()
-
-
 def ridge(x, y, alphas=RIDGE_ALPHAS):
     """Standardised ridge; the penalty with the least leave-one-out squared error wins.
 
@@ -136,56 +130,6 @@ def lasso_at(gram, cross, wanted):
     return out
 
 
-def lasso(x, y, k=5):
-    """Standardised lasso, penalty by mean squared error over expanding folds.
-
-    Penalties that a path does not reach are out of the choice.  The last value says why a fit is not the
-    full one: "too few rows" for folds, "constant target" or "path ends early"; else None.
-    """
-    n = len(y)
-    mean, scale = standardise(x)
-    z = (x - mean) / scale
-    cuts = [(a, b) for a, b in time_folds(n, k) if a >= 2 and b >= 1]
-    ends = [a for a, _ in cuts] + [n]
-    centres = [(z[:e].mean(axis=0), y[:e].mean()) for e in ends]
-    top = np.abs((z - centres[-1][0]).T @ (y - centres[-1][1])).max() / n
-    if top <= 0 or not cuts:
-        return np.zeros(x.shape[1]), mean, scale, y.mean(), 0.0, "too few rows" if not cuts else "constant target"
-    alphas = np.geomspace(top, top * PATH_DEPTH, PATH_LENGTH)
-    betas = []
-    for end, (c, v) in zip(ends, centres):
-        zc, yc = z[:end] - c, y[:end] - v
-        betas.append(lasso_at(zc.T @ zc / end, zc.T @ yc / end, alphas))
-    errors = np.zeros(PATH_LENGTH)
-    for i, (a, b) in enumerate(cuts):
-        c, v = centres[i]
-        pred = (z[a : a + b] - c) @ betas[i] + v
-        errors += ((y[a : a + b, None] - pred) ** 2).mean(axis=0)
-    lost = np.isnan(errors) | np.isnan(betas[-1]).any(axis=0)
-    best = int(np.argmin(np.where(lost, np.inf, errors)))
-    return betas[-1][:, best], mean, scale, y.mean(), float(alphas[best]), "path ends early" if lost.any() else None
-
-
-def fold_rmse(fit, x, y, k=5):
-    """Mean RMSE over expanding folds of ``fit(x, y) -> (coef, mean, scale, level, ...)``."""
-    scores = []
-    for a, b in time_folds(len(y), k):
-        coef, mean, scale, level = fit(x[:a], y[:a])[:4]
-        pred = (x[a : a + b] - mean) / scale @ coef + level
-        scores.append(np.sqrt(np.mean((y[a : a + b] - pred) ** 2)))
-    return float(np.mean(scores))
-
-
-def fold_residuals(fit, x, y, k=5):
-    """Out-of-fold residuals over expanding folds, with the row positions."""
-    place, resid = [], []
-    for a, b in time_folds(len(y), k):
-        coef, mean, scale, level = fit(x[:a], y[:a])[:4]
-        place.extend(range(a, a + b))
-        resid.extend(y[a : a + b] - ((x[a : a + b] - mean) / scale @ coef + level))
-    return np.asarray(place, dtype=int), np.asarray(resid, dtype=float)
-
-
 def prequential(x, y, alphas=RIDGE_ALPHAS, first=8, share=0.5):
     """Residual of each row in the later part under the ridge fitted on all rows before it."""
     start = max(first, int(len(y) * share))
@@ -197,12 +141,9 @@ def prequential(x, y, alphas=RIDGE_ALPHAS, first=8, share=0.5):
     return np.asarray(place, dtype=int), np.asarray(resid, dtype=float)
 
 
-def gram_ridge(sums, n, p, alpha, shift=None):
-    """Standardised ridge (alpha 0: least squares) from the sums of z = [x, y] and its products.
-
-    ``sums`` lists, for each variable i in turn, the sum of z_i and then of z_j z_i for j <= i; ``shift``
-    is what was taken off each variable before.
-    """
+def unpacked(sums, p):
+    """Sums of z = [x, y] and the matrix of product sums, from a list that has for each variable i in turn the sum of
+    z_i and then of z_j z_i for j <= i."""
     total = np.empty(p + 1)
     prod = np.empty((p + 1, p + 1))
     at = 0
@@ -210,6 +151,12 @@ def gram_ridge(sums, n, p, alpha, shift=None):
         total[i] = sums[at]
         prod[i, : i + 1] = prod[: i + 1, i] = sums[at + 1 : at + 2 + i]
         at += i + 2
+    return total, prod
+
+
+def correlations(total, prod, n, p, shift=None):
+    """Means, population deviations (1 where constant), correlations of the features, and their cross terms with the
+    target, from sums of variables that ``shift`` was taken off."""
     mean = total / n
     cov = prod / n - np.outer(mean, mean)
     var = np.diag(cov)[:p].copy()
@@ -220,9 +167,99 @@ def gram_ridge(sums, n, p, alpha, shift=None):
     corr = cov[:p, :p] / np.outer(scale, scale)
     corr[flat, :] = corr[:, flat] = 0.0
     cross = np.where(flat, 0.0, cov[:p, p] / scale)
+    return mean, scale, corr, cross
+
+
+def components(corr):
+    """Eigenvalues and vectors, and which of them are more than rounding noise."""
     vals, vecs = np.linalg.eigh(corr)
-    shift = alpha / n
-    keep = vals > 1e-9 * max(vals.max(initial=0.0), 1e-300)
-    inverse = np.where(keep, 1.0 / np.where(keep, vals + shift, 1.0), 0.0)
+    return vals, vecs, vals > 1e-9 * max(vals.max(initial=0.0), 1e-300)
+
+
+def gram_ridge(sums, n, p, alpha, shift=None):
+    """Standardised ridge (alpha 0: least squares) from the sums of z = [x, y] and its products (see ``unpacked``)."""
+    mean, scale, corr, cross = correlations(*unpacked(sums, p), n, p, shift)
+    vals, vecs, keep = components(corr)
+    inverse = np.where(keep, 1.0 / np.where(keep, vals + alpha / n, 1.0), 0.0)
     coef = vecs @ (inverse * (vecs.T @ cross))
     return coef, mean[:p], scale, mean[p]
+
+
+def penalty_factors(sums, n, p, alphas, shift):
+    """What a row needs to be left out: (1 - 1/n, factor, pull, shrink).
+
+    ``factor`` projects a row less its means on the components, with unit length over all rows; then its fitted
+    value at penalty i is pull[i] of the projection, its leverage shrink[i] of the squares plus 1/n.
+    """
+    _, scale, corr, cross = correlations(*unpacked(sums, p), n, p)
+    vals, vecs, keep = components(corr)
+    vals, vecs = vals[keep], vecs[:, keep]
+    length = np.sqrt(n * vals)
+    factor = (vecs / scale[:, None]).T / length[:, None]
+    toward = n * (vecs.T @ cross) / length
+    shrink = (n * vals)[None, :] / ((n * vals)[None, :] + np.asarray(alphas)[:, None])
+    return 1.0 - 1.0 / n, factor.tolist(), (shrink * toward).tolist(), shrink.tolist()
+
+
+def fold_error(total, prod, n, weights, intercept):
+    """Mean squared error of fits (one a column of ``weights``) over rows of which only the sums are known."""
+    v = np.vstack([-weights, np.ones((1, weights.shape[1]))])
+    return np.maximum((v * (prod @ v)).sum(axis=0) - 2 * intercept * (v.T @ total) + n * intercept**2, 0.0) / n
+
+
+def running(blocks, p):
+    """Sums of all rows up to each end, from (end, rows, sums) of the blocks between ends in order."""
+    total, prod, out = np.zeros(p + 1), np.zeros((p + 1, p + 1)), {0: (np.zeros(p + 1), np.zeros((p + 1, p + 1)))}
+    for end, _, sums in blocks:
+        t, m = unpacked(sums, p)
+        total, prod = total + t, prod + m
+        out[end] = total, prod
+    return out
+
+
+def later_error(upto, start, rows, weights, intercept):
+    """``fold_error`` over the ``rows`` rows after the first ``start``."""
+    before, after = upto[start], upto[start + rows]
+    return fold_error(after[0] - before[0], after[1] - before[1], rows, weights, intercept)
+
+
+def ols_from_sums(upto, n, p):
+    """Standardised least squares on the first ``n`` rows: (coef, mean, scale, alpha, reason)."""
+    mean, scale, corr, cross = correlations(*upto[n], n, p)
+    vals, vecs, keep = components(corr)
+    return vecs @ (np.where(keep, 1.0 / np.where(keep, vals, 1.0), 0.0) * (vecs.T @ cross)), mean, scale, 0.0, None
+
+
+def lasso_from_sums(upto, n, p, k=5):
+    """Standardised lasso on the first ``n`` rows, penalty by mean squared error over expanding folds.
+
+    Penalties that a path does not reach are out of the choice.  The last value says why a fit is not the full one:
+    "too few rows" for folds, "constant target" or "path ends early"; else None.
+    """
+    folds = [(a, b) for a, b in time_folds(n, k) if a >= 2 and b >= 1]
+    mean, scale, corr, cross = correlations(*upto[n], n, p)
+    top = np.abs(cross).max(initial=0.0)
+    if top <= 0 or not folds:
+        return np.zeros(p), mean, scale, 0.0, "too few rows" if not folds else "constant target"
+    alphas = np.geomspace(top, top * PATH_DEPTH, PATH_LENGTH)
+    errors = np.zeros(PATH_LENGTH)
+    for a, b in folds:
+        total, prod = upto[a]
+        middle = total / a
+        cov = prod / a - np.outer(middle, middle)
+        w = lasso_at(cov[:p, :p] / np.outer(scale, scale), cov[:p, p] / scale, alphas) / scale[:, None]
+        errors += later_error(upto, a, b, w, middle[p] - middle[:p] @ w)
+    betas = lasso_at(corr, cross, alphas)
+    lost = np.isnan(errors) | np.isnan(betas).any(axis=0)
+    best = int(np.argmin(np.where(lost, np.inf, errors)))
+    return betas[:, best], mean, scale, float(alphas[best]), "path ends early" if lost.any() else None
+
+
+def fold_rmse(fit, upto, n, p, k=5):
+    """Mean RMSE over expanding folds of a fit from sums, made anew on the rows before each fold."""
+    scores = []
+    for a, b in time_folds(n, k):
+        coef, mean, scale, *_ = fit(upto, a, p)
+        w = (coef / scale)[:, None]
+        scores.append(np.sqrt(later_error(upto, a, b, w, mean[p] - mean[:p] @ w)[0]) if b else np.nan)
+    return float(np.mean(scores))

@@ -12,33 +12,98 @@ import pandas as pd
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import solvers
+from tidemark.operators.folds import fold_train_end
+from tidemark.session import cut
 
 FIT_SCHEMA = (
     "n long, weights array<double>, intercept double, std_coef array<double>, max_abs_coef double"
 )
 
 
-def product_sums(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
-    """Per key: n, the means, and the sums of every centred variable and product of two."""
+def product_sums(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str,
+                 centre: Sequence[str] | None = None) -> DataFrame:
+    """Per key: n, the means, and the sums of every centred variable and product of two.
+
+    ``centre`` names the leading keys whose means are taken off (all keys by default); sums of the finer keys can
+    then be added up.  The means are one small row a key, joined back: nothing is sorted to centre.
+    """
+    centre = list(centre or keys)
     columns = [*features, target]
-    every = Window.partitionBy(*keys)
-    values = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    centred = values.select(
-        *keys, F.array(*[F.avg(c).over(every) for c in columns]).alias("__means"),
-        *[(F.col(c) - F.avg(c).over(every)).alias(c) for c in columns])
-    assembled = VectorAssembler(inputCols=columns, outputCol="__z", handleInvalid="error").transform(centred)
+    values = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    means = values.groupBy(*centre).agg(F.array(*[F.avg(c) for c in columns]).alias("__means"))
+    centred = values.join(means, centre).select(
+        *keys, "__means", *[(F.col(c) - F.col("__means")[i]).alias(f"__z{i}") for i, c in enumerate(columns)])
+    assembled = VectorAssembler(
+        inputCols=[f"__z{i}" for i in range(len(columns))], outputCol="__z", handleInvalid="error").transform(centred)
     expanded = PolynomialExpansion(degree=2, inputCol="__z", outputCol="__p").transform(assembled)
     return expanded.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.first("__means").alias("means"), vector_to_array(Summarizer.sum(F.col("__p"))).alias("sums")
     )
 
 
+def fold_ends(n: Column, k: int) -> Column:
+    """Where the training rows and test blocks of ``k`` expanding folds over ``n`` rows end."""
+    return F.array(*[fold_train_end(F.lit(f), n, k) for f in range(k)], n)
+
+
+def fold_sums(rows: DataFrame, features: Sequence[str], target: str, k: int, nested: bool = False) -> DataFrame:
+    """One row per account: n, means, and the sums of the blocks of rows between the ends of its expanding folds.
+
+    Every fold's training and test rows are whole blocks, so their sums are those added up.  ``nested`` adds the ends
+    of the folds that each fold's own training rows are cut into.
+    """
+    n = F.col("n_train")
+    ends = [fold_ends(n, k)]
+    if nested:
+        ends += [fold_ends(fold_train_end(F.lit(f), n, k), k) for f in range(k)]
+    upto = F.array_min(F.filter(F.flatten(F.array(*ends)), lambda e: e >= F.col("rn"))).cast("int").alias("upto")
+    marked = rows.select("account_id", upto, *dict.fromkeys([*features, target]))
+    sums = product_sums(marked, ["account_id", "upto"], features, target, centre=["account_id"])
+    return sums.groupBy("account_id").agg(
+        F.sum("n").alias("n"), F.first("means").alias("means"), F.sort_array(F.collect_list(F.struct("upto", "n", "sums"))).alias("blocks"))
+
+
+def left_out(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float]) -> DataFrame:
+    """Per key the penalty of ``alphas`` with the least leave-one-out squared error, ties to the first.
+
+    The decomposed covariance of a key (one small row) is joined back to its rows: projected on the components, a
+    row gives its fitted value and its leverage at every penalty, so the errors are one aggregate over rows.
+    """
+    key_list, p, grid = list(keys), len(features), [float(a) for a in alphas]
+    sums = product_sums(rows, key_list, features, target)
+    fields = {f.name: f.dataType.simpleString() for f in sums.schema}
+    schema = ", ".join([*[f"{c} {fields[c]}" for c in key_list],
+                        "means array<double>, free double, factor array<array<double>>, pull array<array<double>>, shrink array<array<double>>"])
+
+    def decomposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(means, *solvers.penalty_factors(products, n, p, grid, means))
+                   for n, means, products in zip(batch["n"], batch["means"], batch["sums"])]
+            parts = pd.DataFrame(out, columns=["means", "free", "factor", "pull", "shrink"])
+            yield pd.concat([batch[key_list].reset_index(drop=True), parts], axis=1)
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda total, v: total + v)
+
+    z = F.array(*[F.col(c).cast("double") - F.col("means")[i] for i, c in enumerate(features)])
+    joined = rows.select(*key_list, *dict.fromkeys([*features, target])).join(sums.mapInPandas(decomposed, schema), key_list)
+    placed = joined.select(
+        *key_list, "free", "pull", "shrink", F.transform("factor", lambda row: dot(row, z)).alias("at"),
+        (F.col(target).cast("double") - F.col("means")[p]).alias("level"))
+    squares = F.transform("at", lambda v: v * v)
+    errors = [(F.col("level") - dot(F.col("pull")[i], F.col("at")))
+              / F.greatest(F.col("free") - dot(F.col("shrink")[i], squares), F.lit(1e-12)) for i in range(len(grid))]
+    means = placed.groupBy(*key_list).agg(*[F.avg(e * e).alias(f"e{i}") for i, e in enumerate(errors)])
+    ranked = F.array(*[F.struct(F.col(f"e{i}").alias("error"), F.lit(i).alias("place"), F.lit(a).alias("alpha")) for i, a in enumerate(grid)])
+    return means.select(*key_list, F.array_min(ranked)["alpha"].alias("alpha"))
+
+
 def solve(sums: DataFrame, keys: Sequence[str], p: int, alpha: float = 0.0) -> DataFrame:
-    """Standardised ridge (alpha 0: least squares) per row of ``product_sums``."""
+    """Standardised ridge (alpha 0: least squares) per row of ``product_sums``; a column "alpha" goes before ``alpha``."""
     key_list = list(keys)
     fields = {f.name: f.dataType.simpleString() for f in sums.schema}
     schema = ", ".join([*[f"{k} {fields[k]}" for k in key_list], FIT_SCHEMA])
@@ -46,8 +111,9 @@ def solve(sums: DataFrame, keys: Sequence[str], p: int, alpha: float = 0.0) -> D
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for n, means, products in zip(batch["n"], batch["means"], batch["sums"]):
-                coef, mean, scale, level = solvers.gram_ridge(products, n, p, alpha, means)
+            penalties = batch["alpha"] if "alpha" in batch else [alpha] * len(batch)
+            for n, means, products, penalty in zip(batch["n"], batch["means"], batch["sums"], penalties):
+                coef, mean, scale, level = solvers.gram_ridge(products, n, p, penalty, means)
                 weights, intercept = solvers.raw_weights(coef, mean, scale, level)
                 out.append((n, weights.tolist(), float(intercept), coef.tolist(), float(abs(coef).max())))
             fit = pd.DataFrame(out, columns=["n", "weights", "intercept", "std_coef", "max_abs_coef"])
@@ -60,6 +126,17 @@ def fit(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: s
     return solve(product_sums(rows, keys, features, target), keys, len(features), alpha)
 
 
+def ridge(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float]) -> DataFrame:
+    """Ridge per key with its penalty chosen by leave-one-out error; ``fit`` with the column alpha."""
+    sums = product_sums(rows, keys, features, target)
+    if len(alphas) == 1:
+        picked = sums.withColumn("alpha", F.lit(float(alphas[0])))
+    else:
+        picked = sums.join(left_out(rows, keys, features, target, alphas), list(keys))
+    picked = cut(picked)
+    return solve(picked, keys, len(features)).join(picked.select(*keys, "alpha"), list(keys))
+
+
 def linear(features: Sequence[str], weights: str = "weights", intercept: str = "intercept") -> Column:
     """Prediction of a joined fit as one column expression."""
     out = F.col(intercept)

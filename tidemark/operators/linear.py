@@ -1,13 +1,14 @@
 """Linear forecasters per account.
 
-Least squares and fixed-penalty ridge come from product sums (``gram``).  Choosing a penalty needs
-the rows themselves (leave-one-out or folds), so those fits run as one grouped job over accounts,
-each group bounded by the calendar.
+All fits come from product sums (``gram``), one small row per account after the shuffle.  Folds are blocks of
+those sums: a fit on the rows before a fold, and its squared error on the fold, need no row again.  The
+leave-one-out choice of a ridge penalty joins each account's decomposed covariance back to its rows.  Only the
+prequential residuals, one refit a row, run as a grouped job, each group bounded by the calendar.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -85,49 +86,53 @@ def _grouped(rows: DataFrame, features: Sequence[str], target: str, body, schema
     return slim.groupBy("account_id").applyInPandas(per_account, schema)
 
 
-def _row(model, coef, mean, scale, level, alpha, cv, reason=None):
-    weights, intercept = solvers.raw_weights(coef, mean, scale, level)
-    return (model, alpha, weights.tolist(), float(intercept), coef.tolist(), float(np.abs(coef).max()), cv, reason)
-
-
 COLUMNS = ["model", "alpha", "weights", "intercept", "std_coef", "max_abs_coef", "cv_rmse", "reason"]
 
 
-def ridge_cv(rows: DataFrame, features: Sequence[str], target: str = "y") -> DataFrame:
-    """Ridge per account, penalty by leave-one-out error over 25 log-spaced values."""
+def _from_sums(sums: DataFrame, p: int, k: int, models: Sequence[str], scored: bool) -> DataFrame:
+    """Fits of ``models`` per row of ``gram.fold_sums``, with their fold RMSE if ``scored``."""
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a fit in a fold takes its penalty from folds of its own
+        fits = {"ols": solvers.ols_from_sums, "lasso": lambda upto, n, p: solvers.lasso_from_sums(upto, n, p, k)}
+        for batch in batches:
+            out = []
+            for account, n, means, blocks in zip(batch["account_id"], batch["n"], batch["means"], batch["blocks"]):
+                upto = solvers.running([(b["upto"], b["n"], b["sums"]) for b in blocks], p)
+                for name in models:
+                    coef, mean, scale, alpha, reason = fits[name](upto, n, p)
+                    mean = mean + np.asarray(means, dtype=float)
+                    weights, intercept = solvers.raw_weights(coef, mean[:p], scale, mean[p])
+                    cv = solvers.fold_rmse(fits[name], upto, n, p, k) if scored else None
+                    out.append((account, name, alpha, weights.tolist(), float(intercept), coef.tolist(), float(np.abs(coef).max()), cv, reason))
+            yield pd.DataFrame(out, columns=["account_id", *COLUMNS])
+
+    return sums.mapInPandas(solved, FIT_SCHEMA)
 
-    def body(x, y, periods):
-        coef, mean, scale, level, alpha = solvers.ridge(x, y)
-        return pd.DataFrame([_row("ridge", coef, mean, scale, level, alpha, None)], columns=COLUMNS)
 
-    return _grouped(rows, features, target, body, FIT_SCHEMA)
+def ridge_cv(rows: DataFrame, features: Sequence[str], target: str = "y", alphas: Sequence[float] = tuple(solvers.RIDGE_ALPHAS)) -> DataFrame:
+    """Ridge per account, penalty by leave-one-out error over 25 log-spaced values."""
+    fits = gram.ridge(train_only(rows), ["account_id"], features, target, alphas)
+    return fits.select(
+        "account_id", F.lit("ridge").alias("model"), "alpha", "weights", "intercept", "std_coef", "max_abs_coef",
+        F.lit(None).cast("double").alias("cv_rmse"), F.lit(None).cast("string").alias("reason"))
 
 
-def lasso_cv(rows: DataFrame, features: Sequence[str], target: str = "y") -> DataFrame:
+def lasso_cv(rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5) -> DataFrame:
     """Lasso per account, penalty over a 100-step path by five expanding folds; ``reason`` tells of fits
     that had no folds or did not reach the smallest penalties."""
-
-    def body(x, y, periods):
-        coef, mean, scale, level, alpha, reason = solvers.lasso(x, y)
-        return pd.DataFrame([_row("lasso", coef, mean, scale, level, alpha, None, reason)], columns=COLUMNS)
-
-    return _grouped(rows, features, target, body, FIT_SCHEMA)
+    return _from_sums(gram.fold_sums(train_only(rows), features, target, k), len(features), k, ["lasso"], scored=False)
 
 
 def linear_family(rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5) -> DataFrame:
     """Least squares, lasso and ridge per account, each with its mean fold RMSE."""
-
-    def body(x, y, periods):
-        def plain(a, b):
-            return (*solvers.ols(a, b), 0.0)
-
-        out = []
-        for name, fit in (("ols", plain), ("lasso", solvers.lasso), ("ridge", solvers.ridge)):
-            coef, mean, scale, level, alpha, *reason = fit(x, y)
-            out.append(_row(name, coef, mean, scale, level, alpha, solvers.fold_rmse(fit, x, y, k), *reason))
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    return _grouped(rows, features, target, body, FIT_SCHEMA)
+    train = train_only(rows)
+    sums = gram.fold_sums(train, features, target, k, nested=True)
+    plain = _from_sums(sums, len(features), k, ["ols", "lasso"], scored=True)
+    squares = fold_residuals(rows, features, target, k, with_fold=True).groupBy("account_id", "fold").agg(
+        F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"))
+    scores = squares.groupBy("account_id").agg(F.avg("rmse").alias("__cv"))
+    ridge = ridge_cv(rows, features, target).join(scores, "account_id", "left").withColumn("cv_rmse", F.col("__cv")).drop("__cv")
+    return plain.unionByName(ridge)
 
 
 def choose_regularised(family: DataFrame) -> DataFrame:
@@ -151,17 +156,26 @@ def choose_regularised(family: DataFrame) -> DataFrame:
     return best.select("account_id", *[F.col(f"best.{f}").alias(f) for f in fields])
 
 
+def before_folds(rows: DataFrame, k: Column | int) -> DataFrame:
+    """Training rows with ``fold``, one for every fold that trains on them; ``__fold`` is the fold that tests them, or -1."""
+    folds = k if isinstance(k, Column) else F.lit(k)
+    marked = rows.withColumn("__fold", F.coalesce(expanding_fold(F.col("rn"), F.col("n_train"), folds), F.lit(-1)))
+    users = F.when(F.col("__fold") < folds - 1, F.sequence(F.col("__fold") + 1, folds - 1))
+    return marked.withColumn("fold", F.explode(users))
+
+
 def fold_residuals(
-    rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5, alphas: Sequence[float] | None = None
+    rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5, alphas: Sequence[float] | None = None, with_fold: bool = False
 ) -> DataFrame:
     """Out-of-fold ridge residuals of the training rows."""
-    grid = solvers.RIDGE_ALPHAS if alphas is None else np.asarray(alphas, dtype=float)
-
-    def body(x, y, periods):
-        place, resid = solvers.fold_residuals(lambda a, b: solvers.ridge(a, b, grid), x, y, k)
-        return pd.DataFrame({"period": periods[place], "residual": resid})
-
-    return _grouped(rows, features, target, body, RESIDUAL_SCHEMA)
+    grid = solvers.RIDGE_ALPHAS if alphas is None else alphas
+    train = train_only(rows)
+    fits = gram.ridge(before_folds(train, k), ["account_id", "fold"], features, target, [float(a) for a in grid])
+    slim = fits.select("account_id", "fold", F.col("weights").alias("__w"), F.col("intercept").alias("__b"))
+    tested = train.withColumn("fold", expanding_fold(F.col("rn"), F.col("n_train"), k)).where(F.col("fold").isNotNull())
+    residual = F.col(target) - gram.linear(features, "__w", "__b")
+    keep = ["account_id", "period", *(["fold"] if with_fold else [])]
+    return tested.join(slim, ["account_id", "fold"]).select(*keep, residual.cast("double").alias("residual"))
 
 
 def prequential_residuals(
