@@ -212,3 +212,76 @@ def test_trees_are_shipped_in_groups(spark, panel):
     assert AT.tree_groups({0: 5, 1: 5, 2: 9, 3: 1}, 10) == [[0, 1], [2, 3]]
     with pytest.raises(ValueError):
         AT.tree_groups({0: 11}, 10)
+
+
+def test_lightest_fold_first(spark):
+    from tidemark.operators import folds as O
+
+    sizes = [5, 4, 3, 3, 3]
+    rows = spark.createDataFrame([(a,) for a, n in enumerate(sizes) for _ in range(n)], "account_id long")
+    got = {r.account_id: r.fold for r in O.group_folds(rows, 2).collect()}
+    assert [got[a] for a in range(5)] == [0, 1, 1, 0, 1]
+
+
+def test_dealing_by_blocks_equals_one_account_after_the_other():
+    import random
+
+    from tidemark.operators.folds import dealt
+
+    rng = random.Random(0)
+    for _ in range(400):
+        k, sizes = rng.randrange(1, 7), sorted((rng.choice([1, 2, 3, 5, 7, 50]) for _ in range(rng.randrange(60))), reverse=True)
+        load, plain = [0] * k, []
+        for size in sizes:
+            f = min(range(k), key=lambda i: (load[i], i))
+            load[f] += size
+            plain.append(f)
+        got = []
+        for size, before, first in dealt([(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)], k):
+            assert before == len(got)
+            got += [first[i] if i < len(first) else first[len(first) - k + (i - len(first)) % k] for i in range(sizes.count(size))]
+        assert got == plain
+
+
+@pytest.fixture(scope="module")
+def wavy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(400, 3))
+    y = np.sin(5 * x[:, 0]) * 10 + x[:, 1]
+    return spark.createDataFrame([(i % 20, i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))],
+                                 "account_id long, period int, a double, b double, c double, y double")
+
+
+def test_prefix_of_an_ensemble_is_scored_as_the_smaller_one(wavy):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import trees as T
+
+    names, config = ["a", "b", "c"], {"rounds": 12, "depth": 2, "rate": 0.2, "subsample": 1.0, "leaf": 2}
+    mae = lambda model: T.predict(wavy, model, names).agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
+    whole = T.fit_boosting(wavy, names, "y", config)
+    errors = T.prefix_errors(whole, wavy, names, "y", [1, 5, 12])
+    assert errors[2] == pytest.approx(mae(whole))
+    assert errors[1] == pytest.approx(mae(T.fit_boosting(wavy, names, "y", config | {"rounds": 5})))
+    forest = T.fit_forest(wavy, names, "y", {"trees": 9, "depth": 4, "leaf": 2, "features": "all"})
+    found = T.prefix_errors(forest, wavy, names, "y", [1, 9])
+    assert found[1] == pytest.approx(mae(forest)) and found[0] != found[1]
+
+
+def test_tuning_fits_the_largest_of_a_family_only(wavy):
+    from tidemark.operators import trees as T
+
+    grid = [{"rounds": n, "depth": d, "rate": 0.2, "subsample": 1.0, "leaf": 2} for n in (3, 9) for d in (1, 2)]
+    tuned = T.tune(wavy, ["a", "b", "c"], "boosted_trees", grid, k=2)
+    rows = {r.config: r for r in tuned.collect()}
+    assert len(rows) == 4 and sum(r.is_knee for r in rows.values()) == 1
+    assert rows[str(grid[3])].mase < rows[str(grid[1])].mase
+    assert T.knee_settings(tuned)["boosted_trees"] in grid
+
+
+def test_jobs_run_together_keep_their_order():
+    from tidemark.operators import trees as T
+
+    assert T.together([lambda i=i: i * i for i in range(20)], 3) == [i * i for i in range(20)] and T.together([]) == []

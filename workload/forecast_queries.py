@@ -130,11 +130,34 @@ def m6(spark, sf):
         "account_id")
 
 
-@query("m10_seasonal_forecast")
-def m10(spark, sf):
+def _seasonal(spark, sf, **options):
     series = cut(panels.weekly_panel(spark, sf))
     first = series.groupBy("account_id").agg(F.date_sub(F.max("period"), 7 * (panels.N_TEST - 1)).alias("first_period"))
-    return SE.one_step(series, first, "W")
+    return SE.one_step(series, first, "W", **options)
+
+
+@query("m10_seasonal_forecast")
+def m10(spark, sf):
+    return _seasonal(spark, sf)
+
+
+# one long lag and the last shock: both rounds are regressions on one column
+SHOCKS = Q.WSPLIT + """,
+ch as (select account_id, period, cast(net_flow as double) x, lag(cast(net_flow as double)) over w before,
+              cast(net_flow as double) - lag(cast(net_flow as double)) over w d, period < max(period) over (partition by account_id) - 77 train
+       from weekly window w as (partition by account_id order by period)),
+lg as (select *, lag(d) over (partition by account_id order by period) a1 from ch),
+one as (select account_id, regr_slope(d, a1) b, regr_intercept(d, a1) c from lg where train and a1 is not null group by 1),
+sh as (select lg.*, d - c - b * a1 e from lg join one using (account_id)),
+sl as (select *, lag(e) over (partition by account_id order by period) e1 from sh),
+two as (select account_id, regr_slope(d, e1) b2, regr_intercept(d, e1) c2 from sl where train and e1 is not null group by 1)"""
+
+
+@query("m10_one_lag", "with " + SHOCKS + """
+select account_id, period, round(x, 4) y_true, round(before + c2 + b2 * e1, 1) y_pred from sl join two using (account_id) where not train""")
+def m10_one(spark, sf):
+    out = _seasonal(spark, sf, long=1, changes=())
+    return out.select("account_id", "period", num("y_true", digits=4), num("y_pred", digits=1))
 
 
 RIDGE10 = """
