@@ -6,9 +6,6 @@ models see every row of every account.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution as AT
@@ -179,9 +176,24 @@ def m12_one(spark, sf):
 
 @query("m12_capacity_tuning")
 def m12(spark, sf):
-    """The published grids of all three families over account folds, with the knee of each."""
+    """The published grids of pooled ridge and boosting over account folds, with the knee of each."""
     rows, names = _tuning_rows(spark, sf)
-    return reduce(DataFrame.unionByName, [T.tune(rows, names, family) for family in T.FAMILIES])
+    return T.tune(rows, names, "linear").unionByName(T.tune(rows, names, "boosted_trees"))
+
+
+@query("m12_forest_tuning")
+def m12_forest(spark, sf):
+    """The published grid of the forest, a query of its own for its time."""
+    return T.tune(*_tuning_rows(spark, sf), "random_forest")
+
+
+@query("m11_tuned_linear")
+def m11_tuned(spark, sf):
+    """Tuned first, then fitted at the knee, then scored on unseen clients (the family that is quick to sweep)."""
+    weekly = cut(panels.weekly_panel(spark, sf))
+    n = weekly.select("account_id").distinct().count()
+    _, bench = NC.tuned_benchmark(weekly, n * 5 // 6, n // 7, ["linear"])
+    return NC.zero_shot(bench)
 
 
 @query("m13_per_account_decomposed")
