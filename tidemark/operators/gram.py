@@ -67,14 +67,13 @@ def fold_sums(rows: DataFrame, features: Sequence[str], target: str, k: int, nes
         F.sum("n").alias("n"), F.first("means").alias("means"), F.sort_array(F.collect_list(F.struct("upto", "n", "sums"))).alias("blocks"))
 
 
-def left_out(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float]) -> DataFrame:
+def left_out(rows: DataFrame, sums: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float]) -> DataFrame:
     """Per key the penalty of ``alphas`` with the least leave-one-out squared error, ties to the first.
 
-    The decomposed covariance of a key (one small row) is joined back to its rows: projected on the components, a
+    ``sums`` are the ``product_sums`` of the rows.  The decomposed covariance of a key (one small row) is joined back to its rows: projected on the components, a
     row gives its fitted value and its leverage at every penalty, so the errors are one aggregate over rows.
     """
     key_list, p, grid = list(keys), len(features), [float(a) for a in alphas]
-    sums = product_sums(rows, key_list, features, target)
     fields = {f.name: f.dataType.simpleString() for f in sums.schema}
     schema = ", ".join([*[f"{c} {fields[c]}" for c in key_list],
                         "means array<double>, free double, factor array<array<double>>, pull array<array<double>>, shrink array<array<double>>"])
@@ -130,10 +129,10 @@ def ridge(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target:
     """Ridge per key with its penalty chosen by leave-one-out error; ``fit`` with the column alpha."""
     sums = product_sums(rows, keys, features, target)
     if len(alphas) == 1:
-        picked = sums.withColumn("alpha", F.lit(float(alphas[0])))
+        picked = cut(sums.withColumn("alpha", F.lit(float(alphas[0]))))
     else:
-        picked = sums.join(left_out(rows, keys, features, target, alphas), list(keys))
-    picked = cut(picked)
+        sums = cut(sums)
+        picked = cut(sums.join(left_out(rows, sums, keys, features, target, alphas), list(keys)))
     return solve(picked, keys, len(features)).join(picked.select(*keys, "alpha"), list(keys))
 
 
