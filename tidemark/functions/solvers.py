@@ -185,20 +185,23 @@ def gram_ridge(sums, n, p, alpha, shift=None):
     return coef, mean[:p], scale, mean[p]
 
 
-def penalty_factors(sums, n, p, alphas, shift):
-    """What a row needs to be left out: (1 - 1/n, factor, pull, shrink).
+def left_out_penalty(centred, sums, n, p, alphas):
+    """The penalty with the least leave-one-out squared error, ties to the first, from the centred rows [x, y] and the
+    sums of their products.
 
-    ``factor`` projects a row less its means on the components, with unit length over all rows; then its fitted
-    value at penalty i is pull[i] of the projection, its leverage shrink[i] of the squares plus 1/n.
+    ``at`` has a row's place on the components, with unit length over all rows: its fitted value and its leverage
+    (less 1/n) at a penalty are that and its squares, weighed by how far the penalty shrinks each component.
     """
     _, scale, corr, cross = correlations(*unpacked(sums, p), n, p)
     vals, vecs, keep = components(corr)
     vals, vecs = vals[keep], vecs[:, keep]
     length = np.sqrt(n * vals)
-    factor = (vecs / scale[:, None]).T / length[:, None]
+    at = centred[:, :p] @ (vecs / scale[:, None] / length)
+    shrink = (n * vals)[:, None] / ((n * vals)[:, None] + np.asarray(alphas))
     toward = n * (vecs.T @ cross) / length
-    shrink = (n * vals)[None, :] / ((n * vals)[None, :] + np.asarray(alphas)[:, None])
-    return 1.0 - 1.0 / n, factor.tolist(), (shrink * toward).tolist(), shrink.tolist()
+    free = 1.0 - 1.0 / n - (at**2) @ shrink
+    errors = (centred[:, p][:, None] - at @ (shrink * toward[:, None])) / np.maximum(free, 1e-12)
+    return float(alphas[int(np.argmin((errors**2).mean(axis=0)))])
 
 
 def fold_error(total, prod, n, weights, intercept):

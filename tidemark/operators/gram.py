@@ -70,35 +70,25 @@ def fold_sums(rows: DataFrame, features: Sequence[str], target: str, k: int, nes
 def left_out(rows: DataFrame, sums: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float]) -> DataFrame:
     """Per key the penalty of ``alphas`` with the least leave-one-out squared error, ties to the first.
 
-    ``sums`` are the ``product_sums`` of the rows.  The decomposed covariance of a key (one small row) is joined back to its rows: projected on the components, a
-    row gives its fitted value and its leverage at every penalty, so the errors are one aggregate over rows.
+    ``sums`` are the ``product_sums`` of the rows.  They meet their key's rows, which the calendar bounds, in one
+    cogrouped task: projected on the components of the sums' decomposition a row gives its fitted value and its
+    leverage at every penalty, so nothing is fitted anew.  As column expressions the same products take an
+    interpreted call an element, about 1.3 ms a row.
     """
     key_list, p, grid = list(keys), len(features), [float(a) for a in alphas]
+    columns = [*features, target]
     fields = {f.name: f.dataType.simpleString() for f in sums.schema}
-    schema = ", ".join([*[f"{c} {fields[c]}" for c in key_list],
-                        "means array<double>, free double, factor array<array<double>>, pull array<array<double>>, shrink array<array<double>>"])
+    schema = ", ".join([*[f"{c} {fields[c]}" for c in key_list], "alpha double"])
 
-    def decomposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(means, *solvers.penalty_factors(products, n, p, grid, means))
-                   for n, means, products in zip(batch["n"], batch["means"], batch["sums"])]
-            parts = pd.DataFrame(out, columns=["means", "free", "factor", "pull", "shrink"])
-            yield pd.concat([batch[key_list].reset_index(drop=True), parts], axis=1)
-
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda total, v: total + v)
-
-    z = F.array(*[F.col(c).cast("double") - F.col("means")[i] for i, c in enumerate(features)])
-    joined = rows.select(*key_list, *dict.fromkeys([*features, target])).join(sums.mapInPandas(decomposed, schema), key_list)
-    placed = joined.select(
-        *key_list, "free", "pull", "shrink", F.transform("factor", lambda row: dot(row, z)).alias("at"),
-        (F.col(target).cast("double") - F.col("means")[p]).alias("level"))
-    squares = F.transform("at", lambda v: v * v)
-    errors = [(F.col("level") - dot(F.col("pull")[i], F.col("at")))
-              / F.greatest(F.col("free") - dot(F.col("shrink")[i], squares), F.lit(1e-12)) for i in range(len(grid))]
-    means = placed.groupBy(*key_list).agg(*[F.avg(e * e).alias(f"e{i}") for i, e in enumerate(errors)])
-    ranked = F.array(*[F.struct(F.col(f"e{i}").alias("error"), F.lit(i).alias("place"), F.lit(a).alias("alpha")) for i, a in enumerate(grid)])
-    return means.select(*key_list, F.array_min(ranked)["alpha"].alias("alpha"))
+    def judged(key: tuple, part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or own.empty:
+            return pd.DataFrame(columns=[*key_list, "alpha"])
+        n, means, products = own.iloc[0][["n", "means", "sums"]]
+        centred = part[columns].to_numpy(dtype=float) - means
+        return pd.DataFrame([[*key, solvers.left_out_penalty(centred, products, n, p, grid)]], columns=[*key_list, "alpha"])
+
+    values = rows.select(*key_list, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    return values.groupBy(*key_list).cogroup(sums.groupBy(*key_list)).applyInPandas(judged, schema)
 
 
 def solve(sums: DataFrame, keys: Sequence[str], p: int, alpha: float = 0.0) -> DataFrame:

@@ -2,8 +2,8 @@
 
 All fits come from product sums (``gram``), one small row per account after the shuffle.  Folds are blocks of
 those sums: a fit on the rows before a fold, and its squared error on the fold, need no row again.  The
-leave-one-out choice of a ridge penalty joins each account's decomposed covariance back to its rows.  Only the
-prequential residuals, one refit a row, run as a grouped job, each group bounded by the calendar.
+leave-one-out choice of a ridge penalty projects the rows on the components of each account's sums, and the
+prequential residuals are one refit a row: both are grouped jobs, each group bounded by the calendar.
 """
 
 from __future__ import annotations
@@ -123,12 +123,19 @@ def lasso_cv(rows: DataFrame, features: Sequence[str], target: str = "y", k: int
     return _from_sums(gram.fold_sums(train_only(rows), features, target, k), len(features), k, ["lasso"], scored=False)
 
 
-def linear_family(rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5) -> DataFrame:
-    """Least squares, lasso and ridge per account, each with its mean fold RMSE."""
+def linear_family(
+    rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5, residuals: DataFrame | None = None
+) -> DataFrame:
+    """Least squares, lasso and ridge per account, each with its mean fold RMSE.
+
+    ``residuals`` are the ``fold_residuals`` of the ridge with their fold, where the caller has them already.
+    """
     train = train_only(rows)
     sums = gram.fold_sums(train, features, target, k, nested=True)
     plain = _from_sums(sums, len(features), k, ["ols", "lasso"], scored=True)
-    squares = fold_residuals(rows, features, target, k, with_fold=True).groupBy("account_id", "fold").agg(
+    if residuals is None:
+        residuals = fold_residuals(rows, features, target, k, with_fold=True)
+    squares = residuals.groupBy("account_id", "fold").agg(
         F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"))
     scores = squares.groupBy("account_id").agg(F.avg("rmse").alias("__cv"))
     ridge = ridge_cv(rows, features, target).join(scores, "account_id", "left").withColumn("cv_rmse", F.col("__cv")).drop("__cv")
