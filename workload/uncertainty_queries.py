@@ -10,11 +10,13 @@ from tidemark.operators import folds as O
 from tidemark.operators import linear as LN
 from tidemark.operators import projection as PJ
 from tidemark.operators import recurring as N
+from tidemark.operators import trees as T
 from tidemark.session import cut
 from workload import adapters as A
 from workload import panels
 from workload import sqltext as Q
 from workload.forecast_queries import ONE, split_rows
+from workload.model_queries import STUMP
 from workload.registry import num, nums, query
 
 LEVELS = "(select unnest([0.5::double, 0.7, 0.8, 0.9, 0.95]) level)"
@@ -174,13 +176,16 @@ def _headline(spark, sf):
     return H.headline(cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf)))
 
 
-def _projection_inputs(spark, sf, features=None):
+def _weekly_rows(spark, sf, features=None):
     series = cut(panels.weekly_panel(spark, sf))
     from tidemark.operators import features as X
 
     rows, names = X.model_rows(series, "W")
-    rows = cut(O.temporal_split(rows, panels.N_TEST))
-    used = features or names
+    return series, cut(O.temporal_split(rows, panels.N_TEST)), features or names
+
+
+def _projection_inputs(spark, sf, features=None):
+    series, rows, used = _weekly_rows(spark, sf, features)
     fits = LN.client_ridge(rows, used) if features is None else LN.least_squares(rows, used)
     return series, rows, used, fits
 
@@ -216,6 +221,54 @@ def u10(spark, sf):
     return nums(PJ.recursive(start, "W", N.HORIZON["W"], PJ.linear_point(names)), 1)
 
 
+# the fan drawn again in SQL: the last four flows go from step to step, noise is the md5 of account, path and step
+FLAT = f"2 * pi() * ((cast('0x' || substr(digest, 14, 13) as bigint) + 0.5) / {float(2**52)!r})"
+DRAWN = "with recursive " + SPEC + LAST[len(Q.WSPLIT):] + f""",
+tail as (select k.account_id, list(cast(net_flow as double) order by period) f from weekly k join lastp using (account_id) where period > p0 - 28 group by 1),
+seeded as (select c.account_id, p0, b0, i, w, f, s.ref, margin from ch c join tail using (account_id)
+           join spec s on s.account_id = c.account_id and level between 0.79 and 0.81),
+sim as (select account_id, p0, i, w, ref, margin, path, 0 as h, f, b0 as b from seeded, (select unnest(range({PJ.PATHS})) path)
+        union all
+        select account_id, p0, i, w, ref, margin, path, h + 1, list_append(f[2:4], g), b + g from (
+          select *, i + w * f[3] + greatest(margin * least(greatest(sd / greatest(ref, 1), 0.6::double), 1.6::double) / {PJ.Z80}, 1)
+                    * sqrt(-2 * ln((cast('0x' || substr(digest, 1, 13) as bigint) + 0.5) / {float(2**52)!r})) * cos({FLAT}) g
+          from (select *, sqrt(list_sum(list_transform(f, lambda v: power(v - list_sum(f) / 4, 2))) / 3) sd,
+                       md5(account_id || ':' || path || ':' || h || ':{PJ.SEED}') digest from sim where h < 8))),
+marks as (select account_id, p0 + cast(7 * h as int) period, quantile_cont(b, 0.5) p50,
+                 quantile_cont(b, [0.25, 0.15, 0.1, 0.05, 0.025]) lows, quantile_cont(b, [0.75, 0.85, 0.9, 0.95, 0.975]) highs
+          from sim where h > 0 group by account_id, p0, h)
+select account_id, period, [0.5::double, 0.7, 0.8, 0.9, 0.95][x] "level", round(p50, 1) p50, round(lows[x], 1) lo, round(highs[x], 1) hi, 'projection' kind
+from marks, (select unnest(range(1, 6)) x)"""
+
+
+@query("u9_fan_one_feature", DRAWN)
+def u9_one(spark, sf):
+    series, rows, names, fits = _projection_inputs(spark, sf, ONE)
+    spec = C.prequential_spec(rows, naive_residuals(rows), [0.8]).select("account_id", "ref", "margin")
+    start = cut(PJ.seeds(series, "W", N.HORIZON["W"]).join(fits, "account_id").join(spec, "account_id"))
+    return _rounded_bands(PJ.fan(PJ.simulate(start, "W", N.HORIZON["W"], PJ.linear_point(names))))
+
+
+# a pooled tree with one split on the month: a step's forecast depends on the month of the row it starts from
+@query("u9_tree_one_split", "with " + STUMP + """,
+lastp as (select account_id, max(period) p0, max_by(cast(end_balance as double), period) b0 from weekly group by 1),
+stepped as (select account_id, p0, b0, h, case when month(p0 + cast(7 * h as int)) <= cut then lo else hi end g
+          from lastp, best, (select unnest(range(8)) h))
+select account_id, cast(h + 1 as int) step, p0 + cast(7 * (h + 1) as int) period,
+       round(b0 + sum(g) over (partition by account_id order by h), 1) p50 from stepped""")
+def u9_tree_one(spark, sf):
+    config = {"trees": 1, "depth": 1, "leaf": 1, "features": "all", "bootstrap": False}
+    start, model, used = _tree_start(spark, sf, ["month"], config)
+    return nums(PJ.recursive(start, "W", N.HORIZON["W"], PJ.model_point(model, used)), 1)
+
+
+def _tree_start(spark, sf, features, config):
+    series, rows, used = _weekly_rows(spark, sf, features)
+    model = T.fit_forest(LN.train_only(rows), used, "y", config)
+    spec = C.prequential_spec(rows, naive_residuals(rows), [0.8]).select("account_id", "ref", "margin")
+    return cut(PJ.seeds(series, "W", N.HORIZON["W"]).join(spec, "account_id")), model, used
+
+
 SIG = LAST + """,
 sig as (select account_id, stddev_samp(total_next - net_flow) sigma from spl where not is_test group by 1),
 zt as (select * from (values (0.5::double, 0.674::double), (0.7, 1.036), (0.8, 1.282), (0.9, 1.645), (0.95, 1.960)) t(level, z)),
