@@ -106,6 +106,26 @@ def test_large_components_stay_exact(spark):
     assert got[0, 2] == 2**63 - 1
 
 
+def test_scan_abandons_candidates():
+    """Over 20,000 vectors in groups: with the floor of the nearest ones, under half of the dimensions are read and
+    the true neighbours stay."""
+    rng = np.random.default_rng(5)
+    middle = rng.standard_normal((40, 64))
+    x = middle[rng.integers(0, 40, 24_000)] + 0.4 * rng.standard_normal((24_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q, turn = x[:60], ann.rotation(64)
+    score = q @ x.T
+    top = np.argsort(-score, axis=1)[:, :21]
+    floor = np.sort(score[:, ::8], axis=1)[:, -21]
+    own, at, read = ann.scan(x, x @ turn, (x * x).sum(axis=1), q, q @ turn, floor)
+    found = set(zip(own.tolist(), at.tolist()))
+    wanted = [(i, int(j)) for i in range(60) for j in top[i]]
+    assert read < 0.5 * score.size * 64
+    assert sum(w in found for w in wanted) >= 0.95 * len(wanted)
+    every, _, _ = ann.scan(x[:500], x[:500] @ turn, (x[:500] ** 2).sum(axis=1), q, q @ turn, np.full(60, -np.inf))
+    assert len(every) == 60 * 500
+
+
 def test_approximate_neighbours(spark):
     x = vectors(4000, seed=3)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
