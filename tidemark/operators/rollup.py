@@ -2,7 +2,8 @@
 
 The transaction side is one hash aggregate (partial sums before the shuffle), so an account with a
 third of all rows costs no more than any other after the map side.  Everything later works on at
-most one row per account and calendar day, a group bounded by the calendar.
+most one row per account and calendar day, a group bounded by the calendar.  A weekly series is summed
+from the transactions by week; days are only filled for a daily one.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def daily_flows(
     tx: DataFrame,
     groups: Sequence[str] = ALL_GROUPS,
     income_is_credits: bool = False,
+    freq: str = "D",
 ) -> DataFrame:
-    """One row per account and day with transactions.
+    """One row per account and day with transactions; with ``freq`` "W" per week, labelled by its Sunday.
 
     Columns: net_flow, txn_count, debit_sum, credit_sum, ``grp_<g>``; with a ``balance`` column in
     ``tx`` also end_balance (last non-null by id) and opening (balance before the day's first row).
@@ -51,25 +53,27 @@ def daily_flows(
         sums[f"grp_{g}"] = F.when(hit, units)
     aggs = [F.count(F.lit(1)).alias("txn_count"), *[F.sum(c).alias(name) for name, c in sums.items()]]
     if "balance" in tx.columns:
-        aggs.append(F.expr("max_by(balance, id) filter (where balance is not null)").alias("end_balance"))
-        aggs.append(F.expr("min_by(balance - amount, id)").alias("opening"))
-    days = tx.groupBy("account_id", F.col("txn_date").alias("period")).agg(*aggs)
+        order = "id" if freq == "D" else "struct(txn_date, id)"
+        aggs.append(F.expr(f"max_by(balance, {order}) filter (where balance is not null)").alias("end_balance"))
+        aggs.append(F.expr(f"min_by(balance - amount, {order})").alias("opening"))
+    period = F.col("txn_date") if freq == "D" else week_ending(F.col("txn_date"))
+    days = tx.groupBy("account_id", period.alias("period")).agg(*aggs)
     kept = [c for c in ("end_balance", "opening") if c in days.columns]
     amounts = {name: back(F.col(name)).alias(name) for name in sums}
     order = ["net_flow", "txn_count", *[name for name in sums if name != "net_flow"]]
     return days.select("account_id", "period", *[amounts.get(name, F.col(name)) for name in order], *kept)
 
 
-def fill_calendar(daily: DataFrame) -> DataFrame:
-    """Every calendar day from an account's first to its last: sums 0, balance carried forward.
+def fill_calendar(daily: DataFrame, step: int = 1) -> DataFrame:
+    """Every calendar day (every ``step``-th) from an account's first to its last: sums 0, balance carried forward.
 
-    Each day row is repeated up to the day before the next one, so no calendar join is needed.
+    Each row is repeated up to the period before the next one, so no calendar join is needed.
     """
     by_day = Window.partitionBy("account_id").orderBy("period")
     following = F.lead("period").over(by_day)
     carried = [c for c in daily.columns if c not in NOT_SUMMED and c != "opening"]
     spans = daily.withColumn(
-        "__days", F.sequence("period", F.coalesce(F.date_sub(following, 1), F.col("period")))
+        "__days", F.sequence("period", F.coalesce(F.date_sub(following, step), F.col("period")), F.make_dt_interval(F.lit(step)))
     )
     if "end_balance" in daily.columns:
         upto = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -126,6 +130,14 @@ def daily_series(tx: DataFrame, groups: Sequence[str] = ALL_GROUPS) -> DataFrame
     return filled.drop("opening") if "balance" in tx.columns else reconstruct_balance(filled)
 
 
+def weekly_series(tx: DataFrame, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
+    """``weekly`` of ``daily_series`` without the days: transactions are summed by week and only weeks are filled."""
+    filled = fill_calendar(daily_flows(tx, groups, freq="W"), step=7)
+    if "balance" in tx.columns:
+        return filled.drop("opening").where(F.col("end_balance").isNotNull())
+    return reconstruct_balance(filled)
+
+
 def panel_daily(tx: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Daily series of a bank panel: all credits as income, net_flow from the balance column."""
     daily = fill_calendar(daily_flows(tx, groups, income_is_credits=True))

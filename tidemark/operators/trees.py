@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.attribution import tree_nodes
@@ -136,6 +136,30 @@ def choose_tree(rows: DataFrame, features: Sequence[str], target: str = "y", k:
     return scores.withColumn("is_best", F.col("model") == best)
 
 
+def later_block(blocks: int) -> Column:
+    """Block 0 .. ``blocks`` - 1 of a training row in the later half of its account's, null in the earlier half."""
+    begin = F.greatest(F.lit(8), F.floor(F.col("n_train") * 0.5))
+    place = F.col("rn") - 1 - begin
+    return F.when(place >= 0, F.floor(place * blocks / (F.col("n_train") - begin))).cast("int")
+
+
+def staged_residuals(rows: DataFrame, features: Sequence[str], fit, config: dict[str, Any], stage: Column, stages: int,
+                     target: str = "y") -> DataFrame:
+    """Residuals (account_id, period, residual) of the training rows that have a ``stage``, each from a pooled model of
+    all rows in stages before it; rows without a stage are only trained on.
+
+    With ``later_block`` these are prequential residuals a block at a time, as a pooled ensemble cannot be refitted
+    for every row; with ``expanding_fold`` they are out-of-fold residuals.
+    """
+    train = rows.where(~F.col("is_test")).withColumn("__stage", F.coalesce(stage, F.lit(-1)))
+    ready = vectors(train, features, ["account_id", "period", "__stage", target])
+    own = F.col("__stage")
+    models = together([lambda s=s: fit(ready.where(own < s), features, target, config) for s in range(stages)])
+    parts = [predict(ready.where(own == s), model, features) for s, model in enumerate(models)]
+    residual = (F.col(target) - F.col("prediction")).cast("double")
+    return reduce(DataFrame.unionByName, parts).select("account_id", "period", residual.alias("residual"))
+
+
 def prefix_errors(model, rows: DataFrame, features: Sequence[str], target: str, sizes: Sequence[int]) -> list[float]:
     """Mean absolute error on ``rows`` of the first 1 .. n trees (rounds) of an ensemble, for each n in ``sizes``.
 

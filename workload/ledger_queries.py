@@ -393,7 +393,7 @@ WEEK_COLS = [*Q.SUMMED, "end_balance"]
 @query("d10_weekly_resample", "with " + Q.WEEKLY + f" select account_id, period, {Q.dbl(WEEK_COLS)} from weekly".replace(
     "cast(txn_count as double) txn_count", "txn_count"))
 def d10(spark, sf):
-    return nums(R.weekly(R.daily_series(A.ledger_flows(spark, sf))))
+    return nums(R.weekly_series(A.ledger_flows(spark, sf)))
 
 
 @query("d11_core_view", "with " + Q.DAILY.replace("grp_utilities\n", "grp_utilities") + """,

@@ -20,7 +20,7 @@ def daily_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weekly_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return R.weekly(daily_panel(spark, sf))
+    return R.weekly_series(A.ledger_flows(spark, sf))
 
 
 def weekly_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:

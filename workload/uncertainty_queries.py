@@ -170,10 +170,53 @@ def headline_fan(spark, sf):
     return _headline(spark, sf).fan
 
 
-def _headline(spark, sf):
+@query("headline_best_point")
+def headline_best_point(spark, sf):
+    """As headline_quality, with the 400-tree forest against the linear model on each account's holdout."""
+    result = _headline(spark, sf, tree="forest")
+    return result.quality.join(result.points, "account_id")
+
+
+def _headline(spark, sf, **options):
     from tidemark.plans import headline as H
 
-    return H.headline(cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf)))
+    return H.headline(cut(A.ledger_flows(spark, sf)), cut(panels.daily_panel(spark, sf)), **options)
+
+
+# pooled trees with one split on the month, one for each block of the later halves of the training rows
+BLOCK_STUMPS = Q.WSPLIT + """,
+tr as (select account_id, period, "month" m, y, n_train, rn - 1 - greatest(8, floor(n_train * 0.5)) place,
+              n_train - greatest(8, floor(n_train * 0.5)) later from spl where not is_test),
+st as (select *, case when place >= 0 then floor(place * 5 / later) else -1 end stage from tr),
+seen as (select b, m, y from st join (select unnest(range(5)) b) on stage < b),
+cuts as (select b, (m + lead(m) over (partition by b order by m)) / 2 cut from (select distinct b, m from seen)),
+parts as (select b, cut, avg(y) filter (where m <= cut) lo, avg(y) filter (where m > cut) hi,
+                 var_pop(y) filter (where m <= cut) * count(*) filter (where m <= cut) + var_pop(y) filter (where m > cut) * count(*) filter (where m > cut) sse
+          from seen join cuts using (b) where cut is not null group by b, cut),
+best as (select b, min_by(cut, (sse, cut)) cut, min_by(lo, (sse, cut)) lo, min_by(hi, (sse, cut)) hi from parts group by b),
+resid as (select account_id, period, y - case when m <= cut then lo else hi end residual from st join best on b = stage)"""
+
+
+@query("u2_blocks_one_split", "with " + BLOCK_STUMPS + " select account_id, period, round(residual, 2) residual from resid")
+def u2_blocks(spark, sf):
+    rows, _ = split_rows(spark, sf)
+    return nums(_block_residuals(rows), 2)
+
+
+def _block_residuals(rows):
+    config = {"trees": 1, "depth": 1, "leaf": 1, "features": "all", "bootstrap": False}
+    return T.staged_residuals(rows, ["month"], T.fit_forest, config, T.later_block(5), 5)
+
+
+@query("u4_tree_margins", "with " + BLOCK_STUMPS + f""",
+refs as (select account_id, median(abs(nf_roll_std_4)) ref from spl where not is_test group by 1),
+scores as (select account_id, ref, abs(residual) / {REL} score from resid join spl using (account_id, period) join refs using (account_id)),
+sorted as (select account_id, list_sort(list(score)) s, count(*) n from scores group by 1),
+pos as (select *, (n - 1) * least(1.0::double, ceil((n + 1) * level) / n) p from sorted, {LEVELS})
+select account_id, level, round(s[cast(floor(p) as int) + 1] + (s[cast(ceil(p) as int) + 1] - s[cast(floor(p) as int) + 1]) * (p - floor(p)), 1) margin from pos""")
+def u4_tree(spark, sf):
+    rows, _ = split_rows(spark, sf)
+    return C.prequential_spec(rows, _block_residuals(rows)).select("account_id", "level", num("margin", digits=1))
 
 
 def _weekly_rows(spark, sf, features=None):
