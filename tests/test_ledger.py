@@ -92,6 +92,13 @@ def test_daily_and_weekly_series(spark):
     # the Sunday closes its own week, empty weeks stay, labels are Sundays
     assert [str(w.period) for w in weeks] == ["2024-01-07", "2024-01-14", "2024-01-21", "2024-01-28"]
     assert [float(w.net_flow) for w in weeks] == [5, 0, 0, 5] and [float(w.end_balance) for w in weeks] == [15, 15, 15, 20]
+    # summed by week without the days, with statement balances and with rebuilt ones
+    for rows in (tx, tx.drop("balance")):
+        want = R.weekly(R.daily_series(rows))
+        names = sorted(want.columns)
+        got = R.weekly_series(rows)
+        assert sorted(got.columns) == names
+        assert {tuple(r) for r in got.select(names).collect()} == {tuple(r) for r in want.select(names).collect()}
 
 
 def test_sums_agree_with_the_ledger(spark):

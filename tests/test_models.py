@@ -285,3 +285,52 @@ def test_jobs_run_together_keep_their_order():
     from tidemark.operators import trees as T
 
     assert T.together([lambda i=i: i * i for i in range(20)], 3) == [i * i for i in range(20)] and T.together([]) == []
+
+
+def test_staged_residuals_come_from_earlier_stages(spark):
+    """A pooled tree with one leaf value a side: each block's residuals against the means of the blocks before."""
+    rng = np.random.default_rng(5)
+    pdf = pd.concat([pd.DataFrame({"account_id": a, "rn": np.arange(1, n + 1), "n_train": n, "is_test": False,
+                                   "x": rng.integers(0, 2, n).astype(float), "y": rng.normal(size=n)}) for a, n in ((1, 40), (2, 23), (3, 7))])
+    pdf["period"] = [dt.date(2024, 1, 1) + dt.timedelta(days=int(i)) for i in pdf["rn"]]
+    config = {"trees": 1, "depth": 1, "leaf": 1, "features": "all", "bootstrap": False}
+    out = T.staged_residuals(spark.createDataFrame(pdf), ["x"], T.fit_forest, config, T.later_block(5), 5).toPandas()
+    begin = np.maximum(8, pdf["n_train"] // 2)
+    place = pdf["rn"] - 1 - begin
+    pdf["stage"] = np.where(place >= 0, np.floor(place * 5 / (pdf["n_train"] - begin)), -1)
+    assert len(out) == (pdf["stage"] >= 0).sum() and set(out["account_id"]) == {1, 2}
+    got = pdf.merge(out, on=["account_id", "period"])
+    for stage in range(5):
+        means = pdf[pdf["stage"] < stage].groupby("x")["y"].mean()
+        own = got[got["stage"] == stage]
+        assert np.allclose(own["residual"], own["y"] - own["x"].map(means))
+
+
+def test_better_point_per_account(spark):
+    from tidemark.plans import headline as H
+
+    rows = [(1, "linear", 1.0, 2.0), (1, "tree", 1.0, 1.0), (1, "linear", 3.0, 3.0), (1, "tree", 3.0, 3.0),  # the tree is exact
+            (2, "linear", 1.0, 1.0), (2, "tree", 1.0, 1.0), (2, "linear", 2.0, 2.0), (2, "tree", 2.0, 2.0),  # a tie
+            (3, "linear", 5.0, 1.0), (3, "tree", 5.0, 4.0)]  # one row: both have 0
+    points = spark.createDataFrame(rows, "account_id long, model string, y_true double, y_pred double")
+    assert {r.account_id: r.point for r in H.better_point(points).collect()} == {1: "tree", 2: "linear", 3: "linear"}
+
+
+def test_headline_with_a_tree(spark):
+    """Points, bands and fan of every account come from the family it chose."""
+    from tidemark.operators import rollup as R
+    from tidemark.plans import headline as H
+    from workload import adapters as A
+
+    tx = cut(A.ledger_flows(spark, "/root/testdata/sf0.001").where("account_id <= 6"))
+    forest = {"trees": 5, "depth": 3, "leaf": 5, "features": "sqrt"}
+    out = H.headline(tx, cut(R.daily_series(tx)), paths=20, tree="forest", forest=forest)
+    choice = {r.account_id: r.point for r in out.points.collect()}
+    bands = out.bands.toPandas()
+    assert set(bands["account_id"]) == set(choice) and (bands["account_id"].map(choice) == bands["model"]).all()
+    assert (bands.groupby(["account_id", "period"]).size() == len(C.LEVELS)).all() and (bands["lo"] <= bands["hi"]).all()
+    assert {r.account_id for r in out.quality.collect()} == set(choice)
+    fan = out.fan.toPandas()
+    assert set(fan["kind"]) == {"holdout", "anchor", "projection"}
+    ahead = fan[fan["kind"] == "projection"]
+    assert (ahead.groupby("account_id").size() == N.HORIZON["W"] * len(C.LEVELS)).all() and set(ahead["account_id"]) == set(choice)
