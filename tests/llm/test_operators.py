@@ -362,6 +362,55 @@ def test_neighbours_are_differenced(spark):
     assert got[5] == got[6] == got[7] == ["Welcome", *body[0]]
 
 
+def plain_main_text(pages):
+    """{page_id: text, deleted, restored, dropped} of pages (page_id, host, path, [(line, zone)]) by sorting and a table
+    of common subsequences; lines of a page are distinct and shared ones stand in the same order."""
+    def alike(a, b):
+        x, y = a.split("/"), b.split("/")
+        n = next((i for i, (s, t) in enumerate(zip(x, y)) if s != t), min(len(x), len(y)))
+        return n, -abs(len(a) - len(b))
+
+    out = {}
+    order = sorted(pages, key=lambda p: (p[1], p[2], p[0]))
+    for i, (page_id, host, path, lines) in enumerate(order):
+        near = [p for p in order[max(0, i - 1):i] + order[i + 1:i + 2] if p[1] == host]
+        partner = max(near, key=lambda p: (alike(path, p[2]), p in order[:i]))[3] if near else []
+        texts, theirs = [t for t, _ in lines], [t for t, _ in partner]
+        shared = {j for j, t in enumerate(texts) if t in theirs}
+        open_size = sum(len(t) for t, z in lines if z != "nav")
+        if open_size and sum(len(lines[j][0]) for j in shared if lines[j][1] != "nav") > 0.7 * open_size:
+            shared = set()
+        kept = [t for j, (t, z) in enumerate(lines) if z == "article" or z == "div" and j not in shared]
+        restored = sum(lines[j][1] == "article" for j in shared)
+        out[page_id] = ("\n".join(kept), len(shared) - restored, restored, sum(z == "nav" and j not in shared for j, (_, z) in enumerate(lines)))
+    return out
+
+
+def test_every_page_is_differenced(spark):
+    """Pages with and without an article element against a plain version; marks overrule the differencing."""
+    rng = np.random.default_rng(11)
+    pages = []
+    for i in range(300):
+        host, path = f"h{rng.integers(3)}.example", f"/{'abc'[rng.integers(3)]}/{'xy'[rng.integers(2)]}/p{i}" + "0" * int(rng.integers(4))
+        lines = []
+        for j in range(int(rng.integers(2, 14))):
+            zone = ["div", "div", "nav", "article"][rng.integers(4 if i % 2 else 3)]
+            common = rng.random() < 0.4
+            lines.append((f"{j:02d} line of the site {host}" if common else f"{j:02d} own line {i} {rng.integers(1000)}", zone))
+        pages.append((i, host, path, lines))
+    rows = [(i, f"http://{host}{path}", "<body>" + "".join(f"<{z}><p>{t}</p></{z}>" for t, z in lines) + "</body>") for i, host, path, lines in pages]
+    out = page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    want = plain_main_text(pages)
+    assert {r.page_id: (r.text, r.lines_deleted, r.lines_restored, r.lines_dropped) for r in out} == want
+    assert min(sum(w[k] for w in want.values()) for k in (1, 2, 3)) > 10
+
+
+def test_unmarked_menus_go_and_single_links_stay():
+    linked = "".join(f'<li><a href="/{i}">entry {i}</a></li>' for i in range(3))
+    lines = page_text.lines_of(f'<ul>{linked}</ul><p>text</p><p><a href="/x">one link of the text</a></p>')
+    assert page_text.keep(lines, set())[0] == "text\none link of the text"
+
+
 def test_neighbours_over_range_borders(spark):
     rows = [(i, f"r{i:03d}", "h" if i < 40 else "g", f"/d{i // 8}/p{i:03d}") for i in range(60)]
     keys = spark.createDataFrame(rows, "page_id long, row string, host string, path string")

@@ -2,16 +2,19 @@
 
 Pages become lines (one for each block element).  Within a host, pages are ordered by URL path; a page is
 paired with the neighbour in that order that shares the longer start of the path.  Lines that a longest
-common subsequence finds in both are what the site puts on every page, and are deleted.
+common subsequence finds in both are what the site puts on every page, and are deleted.  Every page is
+differenced, over all of its lines.
 
 Differencing alone is not right on its own: neighbours share sentences of their articles too, and adverts
-differ from page to page.  So lines carry the zone they stand in.  Lines in an article or main element
-are content and are never deleted; lines in elements marked as menu, advert, footer, form or the like are
-template and never kept; differencing decides on all other lines, in pages without a main element.  A
-neighbour that shares most of its unmarked text is a copy, not a sibling, and deletes nothing.
+differ from page to page.  So lines carry the zone they stand in, and marks overrule the differencing: lines
+in an article or main element come back, lines in elements marked as menu, advert, footer, form or the like
+go even if the neighbour lacks them.  The columns lines_deleted, lines_restored and lines_dropped say how many
+lines each decided.  A neighbour that shares most of the text outside of templates is a copy, not a sibling, and
+deletes nothing.
 
 Neighbours are found on narrow keys in one global range sort, so a host with a third of all pages is
-many tasks; a page is the partner of two others at most, so the joins have no hot key.
+many tasks; a page is the partner of two others at most, so the joins have no hot key.  Differencing works on
+line hashes; texts are parsed again at the end and meet only a page's verdict, so they are shuffled once.
 """
 
 from __future__ import annotations
@@ -238,15 +241,39 @@ def _counts(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def keep(lines: list[str], zones: list[int], links: list[bool], own: list[int], partner: list[int]) -> list[str]:
-    """The main text of a page without a main element, given line hashes of the page and its partner's unmarked lines."""
-    open_lines = [i for i, z in enumerate(zones) if z == PLAIN]
-    shared = common([own[i] for i in open_lines], partner) if partner else set()
-    size = sum(len(lines[i]) for i in open_lines)
-    in_both = sum(len(lines[open_lines[j]]) for j in shared)
-    if size and in_both > 0.7 * size:
-        shared = set()  # a copy, not a sibling
-    return [lines[i] for j, i in enumerate(open_lines) if j not in shared and not links[i]]
+def menus(lines: list[tuple[str, int, bool]]) -> set[int]:
+    """Places of three or more consecutive unmarked lines of link text: a menu without a mark."""
+    found: set[int] = set()
+    begin = None
+    for i, (_, zone, linked) in enumerate([*lines, ("", MAIN, False)]):
+        if zone == PLAIN and linked:
+            begin = i if begin is None else begin
+            continue
+        if begin is not None and i - begin >= 3:
+            found.update(range(begin, i))
+        begin = None
+    return found
+
+
+def shared_lines(own: list[int], sizes: list[int], zones: list[int], partner: list[int]) -> set[int]:
+    """Places of the lines that a page has in common with its partner, given the hashes of both; none for a copy."""
+    shared = common(own, partner) if partner else set()
+    size = sum(s for s, z in zip(sizes, zones) if z != TEMPLATE)
+    in_both = sum(sizes[i] for i in shared if zones[i] != TEMPLATE)
+    return set() if size and in_both > 0.7 * size else shared
+
+
+def keep(lines: list[tuple[str, int, bool]], shared: set[int]) -> tuple[str, int, int, int]:
+    """Main text of a page from its lines and the places that differencing deletes; marks overrule those.
+
+    Also the number of lines that differencing deleted for good, that a content mark restored, and that only a
+    template mark (or being an unmarked menu) dropped.
+    """
+    menu = menus(lines)
+    kept = [t for i, (t, z, _) in enumerate(lines) if z == MAIN or z == PLAIN and i not in shared and i not in menu]
+    restored = sum(lines[i][1] == MAIN for i in shared)
+    dropped = sum(i not in shared and (z == TEMPLATE or i in menu) for i, (_, z, _) in enumerate(lines))
+    return "\n".join(kept), len(shared) - restored, restored, dropped
 
 
 def _line_hashes(lines: list[str]) -> list[int]:
@@ -256,54 +283,53 @@ def _line_hashes(lines: list[str]) -> list[int]:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html; more columns are ignored).
+    """page_id, url, text, n_chars, lines_deleted, lines_restored, lines_dropped for every row of ``pages`` (page_id,
+    url, html; more columns, also with names of the result, are ignored).
 
-    Null or empty html gives an empty text.  Pages without a host have no partner, nor does the only page
-    of a host.  Rows that repeat with the same page_id, url and html share one result and keep their
-    number; ties in the URL order go by page_id, then by the digest of the row.  An empty table gives
-    no rows.
+    Null or empty html gives an empty text; a page of any length is read whole.  Pages without a host have no partner,
+    nor does the only page of a host.  Rows that repeat with the same page_id, url and html share one result and keep
+    their number; ties in the URL order go by page_id, then by the digest of the row.  An empty table gives no rows.
     """
     kind = dict(pages.dtypes)["page_id"]
     digest = F.md5(F.concat_ws("\u0001", F.coalesce(F.col("page_id").cast("string"), F.lit("\u0002")),
                                F.coalesce("url", F.lit("\u0002")), F.coalesce(F.md5("html"), F.lit("\u0002"))))
     rows = pages.select("page_id", "url", "html", digest.alias("row"))
 
-    names = ["page_id", "url", "row", "text", "lines", "zones", "links", "own", "plain"]
-    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-
-    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "url", "row", "own", "sizes", "zones"]
+        for batch in it:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            found = [lines_of(page.as_py()) for page in col["html"]]
+            yield pa.RecordBatch.from_arrays(
+                [col["page_id"], col["url"], col["row"], pa.array([_line_hashes([x[0] for x in f]) for f in found], pa.list_(pa.int64())),
+                 pa.array([[len(x[0]) for x in f] for f in found], pa.list_(pa.int32())),
+                 pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int8()))], names=names)
+
+    sketched = cut(rows.mapInArrow(sketch, f"page_id {kind}, url string, row string, own array<long>, sizes array<int>, zones array<tinyint>"))
+    keys = sketched.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''").distinct()
+    each = sketched.select("row", "own", "sizes", "zones").dropDuplicates(["row"])
+    theirs = sketched.select(F.col("row").alias("partner"), F.col("own").alias("theirs")).dropDuplicates(["partner"])
+    paired = each.join(neighbours(keys), "row").join(theirs, "partner")
+
+    def difference(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out: list[list] = [[] for _ in kinds]
-            for page in batch.column(batch.schema.get_field_index("html")):
-                found = lines_of(page.as_py())
-                lines, zones, links = ([x[i] for x in found] for i in range(3))
-                plain = _line_hashes([x for x, z in zip(lines, zones) if z == PLAIN])
-                if MAIN in zones:  # marks decide on every line; others only need to see this page's unmarked ones
-                    row = ("\n".join(x for x, z in zip(lines, zones) if z == MAIN), None, None, None, None, plain)
-                else:
-                    row = (None, lines, zones, links, _line_hashes(lines), plain)
-                for column, value in zip(out, row):
-                    column.append(value)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names[:3]]
-            yield pa.RecordBatch.from_arrays(kept + [pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
-    parsed = cut(rows.mapInArrow(parse, f"page_id {kind}, url string, row string, text string, lines array<string>, zones array<tinyint>, "
-                                        "links array<boolean>, own array<long>, plain array<long>"))
-    keys = parsed.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''").distinct()
-    theirs = parsed.select(F.col("row").alias("partner"), F.col("plain").alias("theirs")).dropDuplicates(["partner"])
-    open_pages = parsed.filter(F.col("text").isNull()).drop("text", "plain")
-    paired = open_pages.join(neighbours(keys), "row", "left").join(theirs, "partner", "left")
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            shared = [sorted(shared_lines(*(x.as_py() for x in got))) for got in zip(col["own"], col["sizes"], col["zones"], col["theirs"])]
+            yield pa.RecordBatch.from_arrays([col["row"], pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
+
+    verdicts = paired.select("row", "own", "sizes", "zones", "theirs").mapInArrow(difference, "row string, shared array<int>").filter(F.size("shared") > 0)
 
     def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "url", "text", "lines_deleted", "lines_restored", "lines_dropped"]
         for batch in it:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            texts = ["\n".join(keep(*(x.as_py() or [] for x in got)))
-                     for got in zip(col["lines"], col["zones"], col["links"], col["own"], col["theirs"])]
-            yield pa.RecordBatch.from_arrays([col["page_id"], col["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            out = [keep(lines_of(page.as_py()), set(s.as_py() or ())) for page, s in zip(col["html"], col["shared"])]
+            found = [pa.array([o[i] for o in out], pa.string() if i == 0 else pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([col["page_id"], col["url"], *found], names=names)
 
-    differenced = paired.select("page_id", "url", "lines", "zones", "links", "own", "theirs").mapInArrow(assemble, f"page_id {kind}, url string, text string")
-    decided = parsed.filter(F.col("text").isNotNull()).select("page_id", "url", "text")
-    return decided.unionByName(differenced).withColumn("n_chars", F.length("text").cast("long"))
+    met = rows.join(verdicts, "row", "left").select("page_id", "url", "html", "shared")
+    out = met.mapInArrow(assemble, f"page_id {kind}, url string, text string, lines_deleted long, lines_restored long, lines_dropped long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "lines_deleted", "lines_restored", "lines_dropped")
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
