@@ -14,7 +14,8 @@ deletes nothing.
 
 Neighbours are found on narrow keys in one global range sort, so a host with a third of all pages is
 many tasks; a page is the partner of two others at most, so the joins have no hot key.  Differencing works on
-line hashes; texts are parsed again at the end and meet only a page's verdict, so they are shuffled once.
+line hashes; pages are parsed again at the end, and only their lines outside of templates are shuffled, once, to
+meet the page's verdict.
 """
 
 from __future__ import annotations
@@ -263,17 +264,30 @@ def shared_lines(own: list[int], sizes: list[int], zones: list[int], partner: li
     return set() if size and in_both > 0.7 * size else shared
 
 
-def keep(lines: list[tuple[str, int, bool]], shared: set[int]) -> tuple[str, int, int, int]:
-    """Main text of a page from its lines and the places that differencing deletes; marks overrule those.
-
-    Also the number of lines that differencing deleted for good, that a content mark restored, and that only a
-    template mark (or being an unmarked menu) dropped.
-    """
+def marked_lines(page: str | None) -> list[tuple[str, int]]:
+    """Lines of a page in order: text and zone; unmarked menus count as template."""
+    lines = lines_of(page)
     menu = menus(lines)
-    kept = [t for i, (t, z, _) in enumerate(lines) if z == MAIN or z == PLAIN and i not in shared and i not in menu]
-    restored = sum(lines[i][1] == MAIN for i in shared)
-    dropped = sum(i not in shared and (z == TEMPLATE or i in menu) for i, (_, z, _) in enumerate(lines))
-    return "\n".join(kept), len(shared) - restored, restored, dropped
+    return [(t, TEMPLATE if i in menu else z) for i, (t, z, _) in enumerate(lines)]
+
+
+def split_shared(zones: list[int], shared: set[int]) -> tuple[list[int], int]:
+    """Shared places counted among the lines outside of templates, and the number of shared template lines."""
+    places: list[int] = []
+    at = 0
+    for i, zone in enumerate(zones):
+        if zone != TEMPLATE:
+            if i in shared:
+                places.append(at)
+            at += 1
+    return places, len(shared) - len(places)
+
+
+def keep(lines: list[str], zones: list[int], shared: set[int]) -> tuple[str, int]:
+    """Main text of a page from its lines outside of templates and the places of those that differencing deletes; a
+    content mark brings a line back.  Also the number of lines brought back."""
+    kept = [t for i, (t, z) in enumerate(zip(lines, zones)) if z == MAIN or i not in shared]
+    return "\n".join(kept), sum(zones[i] == MAIN for i in shared)
 
 
 def _line_hashes(lines: list[str]) -> list[int]:
@@ -299,7 +313,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         names = ["page_id", "url", "row", "own", "sizes", "zones"]
         for batch in it:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            found = [lines_of(page.as_py()) for page in col["html"]]
+            found = [marked_lines(page.as_py()) for page in col["html"]]
             yield pa.RecordBatch.from_arrays(
                 [col["page_id"], col["url"], col["row"], pa.array([_line_hashes([x[0] for x in f]) for f in found], pa.list_(pa.int64())),
                  pa.array([[len(x[0]) for x in f] for f in found], pa.list_(pa.int32())),
@@ -314,20 +328,41 @@ def main_text(pages: DataFrame) -> DataFrame:
     def difference(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            shared = [sorted(shared_lines(*(x.as_py() for x in got))) for got in zip(col["own"], col["sizes"], col["zones"], col["theirs"])]
-            yield pa.RecordBatch.from_arrays([col["row"], pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
+            found = []
+            for got in zip(col["own"], col["sizes"], col["zones"], col["theirs"]):
+                own, sizes, zones, partner = (x.as_py() for x in got)
+                found.append(split_shared(zones, shared_lines(own, sizes, zones, partner)))
+            yield pa.RecordBatch.from_arrays([col["row"], pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int64())],
+                                             names=["row", "shared", "template_shared"])
+
+    verdicts = paired.select("row", "own", "sizes", "zones", "theirs").mapInArrow(difference, "row string, shared array<int>, template_shared long")
+    verdicts = verdicts.filter((F.size("shared") > 0) | (F.col("template_shared") > 0))
+
+    def outside(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "url", "row", "lines", "zones", "templates"]
+        for batch in it:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            found = [marked_lines(page.as_py()) for page in col["html"]]
+            kept = [[x for x in f if x[1] != TEMPLATE] for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [col["page_id"], col["url"], col["row"], pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())),
+                 pa.array([[z for _, z in k] for k in kept], pa.list_(pa.int8())),
+                 pa.array([len(f) - len(k) for f, k in zip(found, kept)], pa.int64())], names=names)
 
-    verdicts = paired.select("row", "own", "sizes", "zones", "theirs").mapInArrow(difference, "row string, shared array<int>").filter(F.size("shared") > 0)
+    texts = rows.mapInArrow(outside, f"page_id {kind}, url string, row string, lines array<string>, zones array<tinyint>, templates long")
 
     def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "text", "lines_deleted", "lines_restored", "lines_dropped"]
         for batch in it:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            out = [keep(lines_of(page.as_py()), set(s.as_py() or ())) for page, s in zip(col["html"], col["shared"])]
+            out = []
+            for lines, zones, shared, templates, both in zip(*(col[c].to_pylist() for c in ("lines", "zones", "shared", "templates", "template_shared"))):
+                text, restored = keep(lines, zones, set(shared or ()))
+                out.append((text, len(shared or ()) - restored + (both or 0), restored, templates - (both or 0)))
             found = [pa.array([o[i] for o in out], pa.string() if i == 0 else pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([col["page_id"], col["url"], *found], names=names)
 
-    met = rows.join(verdicts, "row", "left").select("page_id", "url", "html", "shared")
+    met = texts.join(verdicts, "row", "left").drop("row")
     out = met.mapInArrow(assemble, f"page_id {kind}, url string, text string, lines_deleted long, lines_restored long, lines_dropped long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "lines_deleted", "lines_restored", "lines_dropped")
 
