@@ -307,35 +307,35 @@ def main_text(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     digest = F.md5(F.concat_ws("\u0001", F.coalesce(F.col("page_id").cast("string"), F.lit("\u0002")),
                                F.coalesce("url", F.lit("\u0002")), F.coalesce(F.md5("html"), F.lit("\u0002"))))
-    rows = pages.select("page_id", "url", "html", digest.alias("row"))
+    rows = pages.select("page_id", "url", "html", F.unhex(digest).alias("row"))
 
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "row", "own", "sizes", "zones"]
+        names = ["page_id", "url", "row", "own", "marks"]  # a mark is three times the line's length plus its zone
         for batch in it:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             found = [marked_lines(page.as_py()) for page in col["html"]]
             yield pa.RecordBatch.from_arrays(
                 [col["page_id"], col["url"], col["row"], pa.array([_line_hashes([x[0] for x in f]) for f in found], pa.list_(pa.int64())),
-                 pa.array([[len(x[0]) for x in f] for f in found], pa.list_(pa.int32())),
-                 pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int8()))], names=names)
+                 pa.array([[3 * len(t) + z for t, z in f] for f in found], pa.list_(pa.int64()))], names=names)
 
-    sketched = cut(rows.mapInArrow(sketch, f"page_id {kind}, url string, row string, own array<long>, sizes array<int>, zones array<tinyint>"))
+    sketched = cut(rows.mapInArrow(sketch, f"page_id {kind}, url string, row binary, own array<long>, marks array<long>"))
     keys = sketched.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''").distinct()
-    each = sketched.select("row", "own", "sizes", "zones").dropDuplicates(["row"])
+    each = sketched.select("row", "own", "marks").dropDuplicates(["row"])
     theirs = sketched.select(F.col("row").alias("partner"), F.col("own").alias("theirs")).dropDuplicates(["partner"])
-    paired = each.join(neighbours(keys), "row").join(theirs, "partner")
+    paired = each.join(neighbours(keys).join(theirs, "partner").select("row", "theirs"), "row")
 
     def difference(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             found = []
-            for got in zip(col["own"], col["sizes"], col["zones"], col["theirs"]):
-                own, sizes, zones, partner = (x.as_py() for x in got)
+            for got in zip(col["own"], col["marks"], col["theirs"]):
+                own, marks, partner = (x.as_py() for x in got)
+                sizes, zones = [m // 3 for m in marks], [m % 3 for m in marks]
                 found.append(split_shared(zones, shared_lines(own, sizes, zones, partner)))
             yield pa.RecordBatch.from_arrays([col["row"], pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int64())],
                                              names=["row", "shared", "template_shared"])
 
-    verdicts = paired.select("row", "own", "sizes", "zones", "theirs").mapInArrow(difference, "row string, shared array<int>, template_shared long")
+    verdicts = paired.select("row", "own", "marks", "theirs").mapInArrow(difference, "row binary, shared array<int>, template_shared long")
     verdicts = verdicts.filter((F.size("shared") > 0) | (F.col("template_shared") > 0))
 
     def outside(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                  pa.array([[z for _, z in k] for k in kept], pa.list_(pa.int8())),
                  pa.array([len(f) - len(k) for f, k in zip(found, kept)], pa.int64())], names=names)
 
-    texts = rows.mapInArrow(outside, f"page_id {kind}, url string, row string, lines array<string>, zones array<tinyint>, templates long")
+    texts = rows.mapInArrow(outside, f"page_id {kind}, url string, row binary, lines array<string>, zones array<tinyint>, templates long")
 
     def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "text", "lines_deleted", "lines_restored", "lines_dropped"]
