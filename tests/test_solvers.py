@@ -3,6 +3,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import solvers as S
 
@@ -187,3 +188,36 @@ def test_malformed_panel_cells_fail_the_read(spark, tmp_path):
     (tmp_path / "bad.tsv").write_text("\t".join(good[:3] + ["abc"] + good[4:]) + "\n")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         panel.read_panel(spark, str(tmp_path / "bad.tsv")).collect()
+
+
+def test_sums_of_an_account_do_not_widen_its_rows(spark):
+    """The plan of a fit shuffles values, not products: no vectors of products, no aggregate that sorts them."""
+    from tidemark.operators import linear as LN
+
+    df, names, _ = panel(spark)
+    text = LN.least_squares(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in text and "SortAggregate" not in text and "Join" not in text
+
+
+def test_prequential_refits_equal_fits_on_all_rows_before():
+    """Collinear columns, one that starts late and one of a large level."""
+    x, y = data(n=60)
+    late = np.where(np.arange(60) < 40, 0.0, 1e6 + np.arange(60))
+    x = np.column_stack([x, 4 * x[:, 1], late, 1e8 + x[:, 0]])
+    place, resid = S.prequential(x, y)
+    assert place.tolist() == list(range(30, 60))
+    for i, got in zip(place, resid):
+        coef, mean, scale, level = S.ridge(x[:i], y[:i])[:4]
+        assert np.isclose(got, y[i] - ((x[i] - mean) / scale @ coef + level), rtol=1e-5, atol=1e-5)
+
+
+def test_fits_need_known_values(spark):
+    from pyspark.errors import PythonException
+
+    from tidemark.operators import gram
+
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (1, None, 3.0), (1, 3.0, 4.0)], "account_id long, x double, y double")
+    with pytest.raises(PythonException, match="null or NaN"):
+        gram.fit(rows, ["account_id"], ["x"], "y").collect()
+    one = rows.where("x is not null").withColumn("account_id", F.when(F.col("y") < 4, F.col("account_id")))
+    assert [r.account_id for r in gram.fit(one.unionByName(one), ["account_id"], ["x"], "y").collect()] == [1]

@@ -1,7 +1,7 @@
 """Small dense solvers used inside tasks, on one account's product sums at a time.
 
-Spark adds the sums up and partitions the accounts; nothing here knows about Spark.  Only the prequential
-refits read rows, bounded by the calendar.
+Spark partitions the accounts and brings the rows of one together; nothing here knows about Spark.  The calendar
+bounds an account's rows.
 """
 
 from __future__ import annotations
@@ -131,14 +131,68 @@ def lasso_at(gram, cross, wanted):
 
 
 def prequential(x, y, alphas=RIDGE_ALPHAS, first=8, share=0.5):
-    """Residual of each row in the later part under the ridge fitted on all rows before it."""
-    start = max(first, int(len(y) * share))
+    """Residual of each row in the later part under the ridge fitted on all rows before it.
+
+    The sums of products grow by one row a refit and are decomposed all at once.  They are taken off the means of the
+    rows of the first refit: those are in every refit, so no spread is lost to a later level.
+    """
+    n, p = x.shape
+    start = max(first, int(n * share))
+    if start >= n:
+        return np.empty(0, dtype=int), np.empty(0)
+    alphas = np.atleast_1d(np.asarray(alphas, dtype=float))
+    z = np.column_stack([x, y])
+    shift = z[:start].mean(axis=0)
+    z = z - shift
+    total, prod = z[:start].sum(axis=0), z[:start].T @ z[:start]
+    parts = []
+    for i in range(start, n):
+        parts.append((total / i, *correlations(total, prod, i, p, shift)[1:]))
+        total, prod = total + z[i], prod + np.outer(z[i], z[i])
+    found = np.linalg.eigh(np.stack([corr for _, _, corr, _ in parts]))
+    resid = np.empty(n - start)
+    for j, (mean, scale, _, cross) in enumerate(parts):
+        i = start + j
+        # components kept as far down as the decomposition is exact
+        keep = found[0][j] > 1e-13 * max(found[0][j].max(initial=0.0), 1e-300)
+        vals, vecs = found[0][j][keep], found[1][j][:, keep]
+        rows = z[: i + 1] - mean
+        alpha = alphas[0] if len(alphas) == 1 else alphas[least_left_out(rows[:i], scale, vals, vecs, cross, alphas)]
+        coef = vecs @ ((vecs.T @ cross) / (vals + alpha / i))
+        resid[j] = rows[i, p] - rows[i, :p] / scale @ coef
+    return np.arange(start, n), resid
+
+
+def centred_sums(z):
+    """Means, and the sums and product sums of the rows ``z`` less their means."""
+    means = z.mean(axis=0)
+    z = z - means
+    return means, z.sum(axis=0), z.T @ z
+
+
+def row_ridge(z, p, alphas):
+    """Ridge on rows z = [x, y] from their product sums: raw weights, intercept, standardised coefficients and the
+    penalty with the least leave-one-out squared error."""
+    means, total, prod = centred_sums(z)
+    alpha = alphas[0]
+    if len(alphas) > 1:
+        alpha = left_out_penalty(z - means, total, prod, len(z), p, alphas)
+    coef, mean, scale, level = sums_ridge(total, prod, len(z), p, alpha, means)
+    weights, intercept = raw_weights(coef, mean, scale, level)
+    return weights, float(intercept), coef, float(alpha)
+
+
+def fold_ridge_residuals(z, folds, p, k, alphas):
+    """Rows tested by a fold 0 .. k - 1 of ``folds`` (-1: only trained on), and their residuals under the ridge on the
+    rows of the folds before."""
     place, resid = [], []
-    for i in range(start, len(y)):
-        coef, mean, scale, level = ridge(x[:i], y[:i], alphas)[:4]
-        place.append(i)
-        resid.append(y[i] - ((x[i] - mean) / scale @ coef + level))
-    return np.asarray(place, dtype=int), np.asarray(resid, dtype=float)
+    for f in range(k):
+        seen, held = z[folds < f], np.flatnonzero(folds == f)
+        if len(seen) and len(held):
+            weights, intercept, *_ = row_ridge(seen, p, alphas)
+            place.append(held)
+            resid.append(z[held, p] - (z[held, :p] @ weights + intercept))
+    return (np.concatenate(place), np.concatenate(resid)) if place else (np.empty(0, dtype=int), np.empty(0))
 
 
 def unpacked(sums, p):
@@ -178,30 +232,39 @@ def components(corr):
 
 def gram_ridge(sums, n, p, alpha, shift=None):
     """Standardised ridge (alpha 0: least squares) from the sums of z = [x, y] and its products (see ``unpacked``)."""
-    mean, scale, corr, cross = correlations(*unpacked(sums, p), n, p, shift)
+    return sums_ridge(*unpacked(sums, p), n, p, alpha, shift)
+
+
+def sums_ridge(total, prod, n, p, alpha, shift=None):
+    mean, scale, corr, cross = correlations(total, prod, n, p, shift)
     vals, vecs, keep = components(corr)
     inverse = np.where(keep, 1.0 / np.where(keep, vals + alpha / n, 1.0), 0.0)
     coef = vecs @ (inverse * (vecs.T @ cross))
     return coef, mean[:p], scale, mean[p]
 
 
-def left_out_penalty(centred, sums, n, p, alphas):
-    """The penalty with the least leave-one-out squared error, ties to the first, from the centred rows [x, y] and the
-    sums of their products.
+def least_left_out(centred, scale, vals, vecs, cross, alphas):
+    """Place of the penalty with the least leave-one-out squared error, ties to the first, from the centred rows [x, y]
+    and the components of the correlations of x.
 
     ``at`` has a row's place on the components, with unit length over all rows: its fitted value and its leverage
     (less 1/n) at a penalty are that and its squares, weighed by how far the penalty shrinks each component.
     """
-    _, scale, corr, cross = correlations(*unpacked(sums, p), n, p)
-    vals, vecs, keep = components(corr)
-    vals, vecs = vals[keep], vecs[:, keep]
+    n, p = len(centred), len(scale)
     length = np.sqrt(n * vals)
     at = centred[:, :p] @ (vecs / scale[:, None] / length)
     shrink = (n * vals)[:, None] / ((n * vals)[:, None] + np.asarray(alphas))
     toward = n * (vecs.T @ cross) / length
     free = 1.0 - 1.0 / n - (at**2) @ shrink
     errors = (centred[:, p][:, None] - at @ (shrink * toward[:, None])) / np.maximum(free, 1e-12)
-    return float(alphas[int(np.argmin((errors**2).mean(axis=0)))])
+    return int(np.argmin((errors**2).mean(axis=0)))
+
+
+def left_out_penalty(centred, total, prod, n, p, alphas):
+    """The penalty of ``least_left_out`` from the centred rows [x, y] and the sums of their products."""
+    _, scale, corr, cross = correlations(total, prod, n, p)
+    vals, vecs, keep = components(corr)
+    return float(alphas[least_left_out(centred, scale, vals[keep], vecs[:, keep], cross, alphas)])
 
 
 def fold_error(total, prod, n, weights, intercept):
@@ -220,6 +283,21 @@ def running(blocks, p):
     return out
 
 
+def running_rows(z, n, k, nested=False):
+    """``running`` over the ordered, centred rows z = [x, y]: at the ends of ``k`` expanding folds and their test rows,
+    with ``nested`` also at those of the folds that each fold's own training rows are cut into."""
+    ends = {n, *[e for a, b in time_folds(n, k) for e in (a, a + b)]}
+    if nested:
+        ends |= {e for a, _ in time_folds(n, k) for c, d in time_folds(a, k) for e in (c, c + d)}
+    total, prod = np.zeros(z.shape[1]), np.zeros((z.shape[1], z.shape[1]))
+    out, last = {0: (total, prod)}, 0
+    for end in sorted(e for e in ends if e > 0):
+        block = z[last:end]
+        total, prod, last = total + block.sum(axis=0), prod + block.T @ block, end
+        out[end] = total, prod
+    return out
+
+
 def later_error(upto, start, rows, weights, intercept):
     """``fold_error`` over the ``rows`` rows after the first ``start``."""
     before, after = upto[start], upto[start + rows]

@@ -1,129 +1,76 @@
 """Least squares per key from sums of products.
 
-Spark adds up z and z z' for z = [features, target] less their means over the key (large levels with
-small changes would drown in the products otherwise), so any number of keys is solved in one job.  Only the small dense solve runs in Python, on one row per key.
+One shuffle brings the rows of a key, which the calendar bounds, into one task; there the products of
+z = [features, target] less their means (large levels with small changes would drown in the products otherwise) are
+added up as one matrix product.  A row travels as its values only: with all products it would be twenty times as wide,
+and aggregates that hold vectors sort and spill such rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
-import pandas as pd
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import solvers
-from tidemark.operators.folds import fold_train_end
-from tidemark.session import cut
 
 FIT_SCHEMA = (
     "n long, weights array<double>, intercept double, std_coef array<double>, max_abs_coef double"
 )
+ARRAY = pa.list_(pa.float64())
+FIT_FIELDS = [("n", pa.int64()), ("weights", ARRAY), ("intercept", pa.float64()), ("std_coef", ARRAY), ("max_abs_coef", pa.float64())]
 
 
-def product_sums(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str,
-                 centre: Sequence[str] | None = None) -> DataFrame:
-    """Per key: n, the means, and the sums of every centred variable and product of two.
+def grouped(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], body: Callable[..., dict[str, Any]], fields: Sequence[tuple[str, pa.DataType | None]],
+            schema: str, extra: Sequence[str] = ()) -> DataFrame:
+    """``body(z, table)`` once a key: z has the key's rows of ``columns`` as doubles, the Arrow table those of ``extra``.
 
-    ``centre`` names the leading keys whose means are taken off (all keys by default); sums of the finer keys can
-    then be added up.  The means are one small row a key, joined back: nothing is sorted to centre.
+    It returns the result columns ``fields`` (``schema`` in DDL) as lists of equal length, or as Arrow arrays where no type is
+    named; the keys go before them.
     """
-    centre = list(centre or keys)
-    columns = [*features, target]
-    values = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
-    means = values.groupBy(*centre).agg(F.array(*[F.avg(c) for c in columns]).alias("__means"))
-    centred = values.join(means, centre).select(
-        *keys, "__means", *[(F.col(c) - F.col("__means")[i]).alias(f"__z{i}") for i, c in enumerate(columns)])
-    assembled = VectorAssembler(
-        inputCols=[f"__z{i}" for i in range(len(columns))], outputCol="__z", handleInvalid="error").transform(centred)
-    expanded = PolynomialExpansion(degree=2, inputCol="__z", outputCol="__p").transform(assembled)
-    return expanded.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.first("__means").alias("means"), vector_to_array(Summarizer.sum(F.col("__p"))).alias("sums")
-    )
-
-
-def fold_ends(n: Column, k: int) -> Column:
-    """Where the training rows and test blocks of ``k`` expanding folds over ``n`` rows end."""
-    return F.array(*[fold_train_end(F.lit(f), n, k) for f in range(k)], n)
-
-
-def fold_sums(rows: DataFrame, features: Sequence[str], target: str, k: int, nested: bool = False) -> DataFrame:
-    """One row per account: n, means, and the sums of the blocks of rows between the ends of its expanding folds.
-
-    Every fold's training and test rows are whole blocks, so their sums are those added up.  ``nested`` adds the ends
-    of the folds that each fold's own training rows are cut into.
-    """
-    n = F.col("n_train")
-    ends = [fold_ends(n, k)]
-    if nested:
-        ends += [fold_ends(fold_train_end(F.lit(f), n, k), k) for f in range(k)]
-    upto = F.array_min(F.filter(F.flatten(F.array(*ends)), lambda e: e >= F.col("rn"))).cast("int").alias("upto")
-    marked = rows.select("account_id", upto, *dict.fromkeys([*features, target]))
-    sums = product_sums(marked, ["account_id", "upto"], features, target, centre=["account_id"])
-    return sums.groupBy("account_id").agg(
-        F.sum("n").alias("n"), F.first("means").alias("means"), F.sort_array(F.collect_list(F.struct("upto", "n", "sums"))).alias("blocks"))
-
-
-def left_out(rows: DataFrame, sums: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float]) -> DataFrame:
-    """Per key the penalty of ``alphas`` with the least leave-one-out squared error, ties to the first.
-
-    ``sums`` are the ``product_sums`` of the rows.  They meet their key's rows, which the calendar bounds, in one
-    cogrouped task: projected on the components of the sums' decomposition a row gives its fitted value and its
-    leverage at every penalty, so nothing is fitted anew.  As column expressions the same products take an
-    interpreted call an element, about 1.3 ms a row.
-    """
-    key_list, p, grid = list(keys), len(features), [float(a) for a in alphas]
-    columns = [*features, target]
-    fields = {f.name: f.dataType.simpleString() for f in sums.schema}
-    schema = ", ".join([*[f"{c} {fields[c]}" for c in key_list], "alpha double"])
-
-    def judged(key: tuple, part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if part.empty or own.empty:
-            return pd.DataFrame(columns=[*key_list, "alpha"])
-        n, means, products = own.iloc[0][["n", "means", "sums"]]
-        centred = part[columns].to_numpy(dtype=float) - means
-        return pd.DataFrame([[*key, solvers.left_out_penalty(centred, products, n, p, grid)]], columns=[*key_list, "alpha"])
-
-    values = rows.select(*key_list, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
-    return values.groupBy(*key_list).cogroup(sums.groupBy(*key_list)).applyInPandas(judged, schema)
-
-
-def solve(sums: DataFrame, keys: Sequence[str], p: int, alpha: float = 0.0) -> DataFrame:
-    """Standardised ridge (alpha 0: least squares) per row of ``product_sums``; a column "alpha" goes before ``alpha``."""
-    key_list = list(keys)
-    fields = {f.name: f.dataType.simpleString() for f in sums.schema}
-    schema = ", ".join([*[f"{k} {fields[k]}" for k in key_list], FIT_SCHEMA])
-
-    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            penalties = batch["alpha"] if "alpha" in batch else [alpha] * len(batch)
-            for n, means, products, penalty in zip(batch["n"], batch["means"], batch["sums"], penalties):
-                coef, mean, scale, level = solvers.gram_ridge(products, n, p, penalty, means)
-                weights, intercept = solvers.raw_weights(coef, mean, scale, level)
-                out.append((n, weights.tolist(), float(intercept), coef.tolist(), float(abs(coef).max())))
-            fit = pd.DataFrame(out, columns=["n", "weights", "intercept", "std_coef", "max_abs_coef"])
-            yield pd.concat([batch[key_list].reset_index(drop=True), fit], axis=1)
-
-    return sums.mapInPandas(solved, schema)
+    key_list, width = list(keys), len(columns)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    value = F.array(*[F.col(c).cast("double") for c in columns])
+    slim = rows.select(*key_list, *[c for c in extra if c not in key_list], value.alias("__z"))
+
+    def per_key(key: tuple, table: pa.Table) -> pa.Table:
+        z = table["__z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        if np.isnan(z).any():
+            raise ValueError("null or NaN among the values of a fit")
+        out = body(z, table)
+        size = len(out[fields[0][0]])
+        named = {k: pa.array([v.as_py()] * size, type=v.type) for k, v in zip(key_list, key)}
+        return pa.table(named | {name: out[name] if kind is None else pa.array(out[name], type=kind) for name, kind in fields})
+
+    ddl = ", ".join([*[f"{k} {kinds[k]}" for k in key_list], schema])
+    return slim.groupBy(*key_list).applyInArrow(per_key, ddl)
+
+
+def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are all known: only those are fitted."""
+    return rows.dropna(subset=list(keys))
 
 
 def fit(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alpha: float = 0.0) -> DataFrame:
-    return solve(product_sums(rows, keys, features, target), keys, len(features), alpha)
+    """Standardised ridge (alpha 0: least squares) per key."""
+    return ridge(rows, keys, features, target, [alpha]).drop("alpha")
 
 
 def ridge(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float]) -> DataFrame:
-    """Ridge per key with its penalty chosen by leave-one-out error; ``fit`` with the column alpha."""
-    sums = product_sums(rows, keys, features, target)
-    if len(alphas) == 1:
-        picked = cut(sums.withColumn("alpha", F.lit(float(alphas[0]))))
-    else:
-        sums = cut(sums)
-        picked = cut(sums.join(left_out(rows, sums, keys, features, target, alphas), list(keys)))
-    return solve(picked, keys, len(features)).join(picked.select(*keys, "alpha"), list(keys))
+    """Ridge per key, its penalty the one of ``alphas`` with the least leave-one-out squared error, ties to the first."""
+    p, grid = len(features), [float(a) for a in alphas]
+
+    def fitted(z: np.ndarray, table: pa.Table) -> dict[str, Any]:
+        weights, intercept, coef, alpha = solvers.row_ridge(z, p, grid)
+        return {"n": [len(z)], "weights": [weights], "intercept": [intercept], "std_coef": [coef],
+                "max_abs_coef": [abs(coef).max()], "alpha": [alpha]}
+
+    fields = [*FIT_FIELDS, ("alpha", pa.float64())]
+    return grouped(keyed(rows, keys), keys, [*features, target], fitted, fields, f"{FIT_SCHEMA}, alpha double")
 
 
 def linear(features: Sequence[str], weights: str = "weights", intercept: str = "intercept") -> Column:

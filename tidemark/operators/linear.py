@@ -1,17 +1,18 @@
 """Linear forecasters per account.
 
-All fits come from product sums (``gram``), one small row per account after the shuffle.  Folds are blocks of
+All fits come from product sums (``gram``), added up where an account's rows meet.  Folds are blocks of
 those sums: a fit on the rows before a fold, and its squared error on the fold, need no row again.  The
 leave-one-out choice of a ridge penalty projects the rows on the components of each account's sums, and the
-prequential residuals are one refit a row: both are grouped jobs, each group bounded by the calendar.
+prequential residuals are one refit a row.  All are grouped jobs, each group bounded by the calendar.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,6 @@ FIT_SCHEMA = (
     "account_id long, model string, alpha double, weights array<double>, intercept double, "
     "std_coef array<double>, max_abs_coef double, cv_rmse double, reason string"
 )
-RESIDUAL_SCHEMA = "account_id long, period date, residual double"
 
 
 def train_only(rows: DataFrame) -> DataFrame:
@@ -66,47 +66,46 @@ def holdout(rows: DataFrame, fits: DataFrame, features: Sequence[str], model: st
     return predictions(scored, model, total_flow() if residual else F.col("prediction"))
 
 
-def _grouped(rows: DataFrame, features: Sequence[str], target: str, body, schema: str) -> DataFrame:
-    """Run ``body(x, y, periods) -> DataFrame`` on the ordered training rows of every account."""
-    names = list(features)
+def _spread(rows: DataFrame) -> DataFrame:
+    """Training rows dealt by account, a few accounts a task: adaptive execution would go by bytes, and fold a costly,
+    but small, table into one task."""
+    fits = rows.select("account_id").distinct().count()
+    return train_only(rows).repartition(max(1, min(fits, MOST_TASKS, -(-fits // ACCOUNTS_A_TASK))), "account_id")
 
-    def per_account(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period")
-        out = body(
-            pdf[names].to_numpy(dtype=float), pdf[target].to_numpy(dtype=float), pdf["period"].to_numpy()
-        )
-        out.insert(0, "account_id", key[0])
-        return out
 
-    slim = train_only(rows).select("account_id", "period", *names, *([target] if target not in names else []))
-    # partitions by the number of accounts: adaptive execution would go by bytes, and fold this costly,
-    # but small, table into one task
-    fits = rows.select("account_id").distinct().count()
-    slim = slim.repartition(max(1, min(fits, MOST_TASKS, -(-fits // ACCOUNTS_A_TASK))), "account_id")
-    return slim.groupBy("account_id").applyInPandas(per_account, schema)
+def _period(rows: DataFrame) -> str:
+    return f"period {rows.schema['period'].dataType.simpleString()}"
 
 
-COLUMNS = ["model", "alpha", "weights", "intercept", "std_coef", "max_abs_coef", "cv_rmse", "reason"]
+FAMILY_FIELDS = [("model", pa.string()), ("alpha", pa.float64()), ("weights", gram.ARRAY), ("intercept", pa.float64()), ("std_coef", gram.ARRAY),
+                 ("max_abs_coef", pa.float64()), ("cv_rmse", pa.float64()), ("reason", pa.string())]
+FAMILY_SCHEMA = FIT_SCHEMA.removeprefix("account_id long, ")
 
 
-def _from_sums(sums: DataFrame, p: int, k: int, models: Sequence[str], scored: bool) -> DataFrame:
-    """Fits of ``models`` per row of ``gram.fold_sums``, with their fold RMSE if ``scored``."""
-    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _family(rows: DataFrame, features: Sequence[str], target: str, k: int, models: Sequence[str], scored: bool) -> DataFrame:
+    """Fits of ``models`` per account, with their fold RMSE if ``scored`` (not of the ridge)."""
+    p = len(features)
+
+    def fitted(z: np.ndarray, table: pa.Table) -> dict[str, Any]:
         # a fit in a fold takes its penalty from folds of its own
         fits = {"ols": solvers.ols_from_sums, "lasso": lambda upto, n, p: solvers.lasso_from_sums(upto, n, p, k)}
-        for batch in batches:
-            out = []
-            for account, n, means, blocks in zip(batch["account_id"], batch["n"], batch["means"], batch["blocks"]):
-                upto = solvers.running([(b["upto"], b["n"], b["sums"]) for b in blocks], p)
-                for name in models:
-                    coef, mean, scale, alpha, reason = fits[name](upto, n, p)
-                    mean = mean + np.asarray(means, dtype=float)
-                    weights, intercept = solvers.raw_weights(coef, mean[:p], scale, mean[p])
-                    cv = solvers.fold_rmse(fits[name], upto, n, p, k) if scored else None
-                    out.append((account, name, alpha, weights.tolist(), float(intercept), coef.tolist(), float(np.abs(coef).max()), cv, reason))
-            yield pd.DataFrame(out, columns=["account_id", *COLUMNS])
-
-    return sums.mapInPandas(solved, FIT_SCHEMA)
+        z, n = z[np.argsort(table["rn"].to_numpy())], len(z)
+        means = z.mean(axis=0)
+        upto = solvers.running_rows(z - means, n, k, nested=scored)
+        out = []
+        for name in models:
+            if name == "ridge":
+                weights, intercept, coef, alpha = solvers.row_ridge(z, p, solvers.RIDGE_ALPHAS)
+                cv, reason = None, None
+            else:
+                coef, mean, scale, alpha, reason = fits[name](upto, n, p)
+                mean = mean + means
+                weights, intercept = solvers.raw_weights(coef, mean[:p], scale, mean[p])
+                cv = solvers.fold_rmse(fits[name], upto, n, p, k) if scored else None
+            out.append((name, alpha, weights, float(intercept), coef, float(np.abs(coef).max()), cv, reason))
+        return {name: list(values) for (name, _), values in zip(FAMILY_FIELDS, zip(*out))}
+
+    return gram.grouped(gram.keyed(_spread(rows), ["account_id"]), ["account_id"], [*features, target], fitted, FAMILY_FIELDS, FAMILY_SCHEMA, ["rn"])
 
 
 def ridge_cv(rows: DataFrame, features: Sequence[str], target: str = "y", alphas: Sequence[float] = tuple(solvers.RIDGE_ALPHAS)) -> DataFrame:
@@ -120,7 +119,7 @@ def ridge_cv(rows: DataFrame, features: Sequence[str], target: str = "y", alphas
 def lasso_cv(rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5) -> DataFrame:
     """Lasso per account, penalty over a 100-step path by five expanding folds; ``reason`` tells of fits
     that had no folds or did not reach the smallest penalties."""
-    return _from_sums(gram.fold_sums(train_only(rows), features, target, k), len(features), k, ["lasso"], scored=False)
+    return _family(rows, features, target, k, ["lasso"], scored=False)
 
 
 def linear_family(
@@ -130,16 +129,14 @@ def linear_family(
 
     ``residuals`` are the ``fold_residuals`` of the ridge with their fold, where the caller has them already.
     """
-    train = train_only(rows)
-    sums = gram.fold_sums(train, features, target, k, nested=True)
-    plain = _from_sums(sums, len(features), k, ["ols", "lasso"], scored=True)
+    fits = _family(rows, features, target, k, ["ols", "lasso", "ridge"], scored=True)
     if residuals is None:
         residuals = fold_residuals(rows, features, target, k, with_fold=True)
     squares = residuals.groupBy("account_id", "fold").agg(
         F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"))
     scores = squares.groupBy("account_id").agg(F.avg("rmse").alias("__cv"))
-    ridge = ridge_cv(rows, features, target).join(scores, "account_id", "left").withColumn("cv_rmse", F.col("__cv")).drop("__cv")
-    return plain.unionByName(ridge)
+    cv = F.when(F.col("model") == "ridge", F.col("__cv")).otherwise(F.col("cv_rmse"))
+    return fits.join(scores, "account_id", "left").withColumn("cv_rmse", cv).drop("__cv")
 
 
 def choose_regularised(family: DataFrame) -> DataFrame:
@@ -163,26 +160,24 @@ def choose_regularised(family: DataFrame) -> DataFrame:
     return best.select("account_id", *[F.col(f"best.{f}").alias(f) for f in fields])
 
 
-def before_folds(rows: DataFrame, k: Column | int) -> DataFrame:
-    """Training rows with ``fold``, one for every fold that trains on them; ``__fold`` is the fold that tests them, or -1."""
-    folds = k if isinstance(k, Column) else F.lit(k)
-    marked = rows.withColumn("__fold", F.coalesce(expanding_fold(F.col("rn"), F.col("n_train"), folds), F.lit(-1)))
-    users = F.when(F.col("__fold") < folds - 1, F.sequence(F.col("__fold") + 1, folds - 1))
-    return marked.withColumn("fold", F.explode(users))
-
-
 def fold_residuals(
     rows: DataFrame, features: Sequence[str], target: str = "y", k: int = 5, alphas: Sequence[float] | None = None, with_fold: bool = False
 ) -> DataFrame:
     """Out-of-fold ridge residuals of the training rows."""
-    grid = solvers.RIDGE_ALPHAS if alphas is None else alphas
-    train = train_only(rows)
-    fits = gram.ridge(before_folds(train, k), ["account_id", "fold"], features, target, [float(a) for a in grid])
-    slim = fits.select("account_id", "fold", F.col("weights").alias("__w"), F.col("intercept").alias("__b"))
-    tested = train.withColumn("fold", expanding_fold(F.col("rn"), F.col("n_train"), k)).where(F.col("fold").isNotNull())
-    residual = F.col(target) - gram.linear(features, "__w", "__b")
-    keep = ["account_id", "period", *(["fold"] if with_fold else [])]
-    return tested.join(slim, ["account_id", "fold"]).select(*keep, residual.cast("double").alias("residual"))
+    grid = [float(a) for a in (solvers.RIDGE_ALPHAS if alphas is None else alphas)]
+    p = len(features)
+
+    def left(z: np.ndarray, table: pa.Table) -> dict[str, Any]:
+        folds = table["__fold"].to_numpy()
+        place, residual = solvers.fold_ridge_residuals(z, folds, p, k, grid)
+        return {"period": table["period"].combine_chunks().take(pa.array(place)), "fold": folds[place], "residual": residual}
+
+    marked = _spread(rows).withColumn("__fold", F.coalesce(expanding_fold(F.col("rn"), F.col("n_train"), k), F.lit(-1)))
+    out = gram.grouped(
+        gram.keyed(marked, ["account_id"]), ["account_id"], [*features, target], left,
+        [("period", None), ("fold", pa.int32()), ("residual", pa.float64())], f"{_period(rows)}, fold int, residual double",
+        ["period", "__fold"])
+    return out if with_fold else out.drop("fold")
 
 
 def prequential_residuals(
@@ -190,12 +185,16 @@ def prequential_residuals(
 ) -> DataFrame:
     """One-step residuals of the later half, each from the ridge on all rows before it."""
     grid = solvers.RIDGE_ALPHAS if alphas is None else np.asarray(alphas, dtype=float)
+    p = len(features)
 
-    def body(x, y, periods):
-        place, resid = solvers.prequential(x, y, grid)
-        return pd.DataFrame({"period": periods[place], "residual": resid})
+    def refitted(z: np.ndarray, table: pa.Table) -> dict[str, Any]:
+        order = np.argsort(table["period"].to_numpy(), kind="stable")
+        place, residual = solvers.prequential(z[order, :p], z[order, p], grid)
+        return {"period": table["period"].combine_chunks().take(pa.array(order[place])), "residual": residual}
 
-    return _grouped(rows, features, target, body, RESIDUAL_SCHEMA)
+    return gram.grouped(
+        _spread(rows), ["account_id"], [*features, target], refitted,
+        [("period", None), ("residual", pa.float64())], f"{_period(rows)}, residual double", ["period"])
 
 
 def blend_weights(rows: DataFrame, features: Sequence[str], shared: str, target: str = "y") -> DataFrame:
