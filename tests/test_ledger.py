@@ -160,3 +160,24 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         session.shared_dir(cluster)
+
+
+def test_planted_payments_and_cadences_are_dealt_by_rows(spark, monkeypatch, tmp_path):
+    """Tasks follow the number of customers and payments, not the bytes of a small file; rules stay the same."""
+    from tidemark.operators import recurring as N
+    from workload import adapters as A
+
+    people = [(i, "S", float(i)) for i in range(1, 41)]
+    spark.createDataFrame(people, "c_custkey long, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+
+    def rules():
+        tx = A.ledger_planted(spark, str(tmp_path))
+        found = N.detect_agnostic(tx, N.cutoffs(tx, "W", 12))
+        return tx, sorted(map(tuple, found.collect()))
+
+    _, plain = rules()
+    monkeypatch.setattr(A, "PLANTED_CUSTOMERS", 4)
+    monkeypatch.setattr(N, "PAYMENTS_A_TASK", 100)
+    tx, small = rules()
+    assert tx.rdd.getNumPartitions() >= 10 and tx.count() == 40 * 128
+    assert small == plain and len(plain) == 80

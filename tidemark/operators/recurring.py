@@ -22,6 +22,9 @@ RECURRING_GROUPS = ("income", "subscriptions", "utilities")
 HABITUAL_GROUPS = ("groceries", "dining", "transport")
 HORIZON = {"D": 30, "W": 8}
 STEP_DAYS = {"D": 1, "W": 7}
+# rows of a task that orders the payments of merchants, and the most tasks: a row takes little in the shuffle and a
+# hundred times that when it is sorted, so tasks dealt by bytes would outgrow their memory
+PAYMENTS_A_TASK, MOST_TASKS = 200_000, 20_000
 
 
 def cutoffs(tx: DataFrame, freq: str, n_test: int, strict: bool = False) -> DataFrame:
@@ -52,6 +55,7 @@ def _cadence(train: DataFrame) -> DataFrame:
     """Per account and key: n, median gap, dispersion, median day of month and weekday, groups."""
     first = F.min_by("spending_group", "first_id") if "first_id" in train.columns else F.min("spending_group")
     days = train.groupBy("account_id", "key", "txn_date").agg(F.sum("rows").alias("rows"), first.alias("group"))
+    days = days.repartition(max(1, min(MOST_TASKS, -(-train.count() // PAYMENTS_A_TASK))), "account_id", "key")
     by_day = Window.partitionBy("account_id", "key").orderBy("txn_date")
     gap = F.datediff("txn_date", F.lag("txn_date").over(by_day))
     # a day with several payments adds gaps of 0

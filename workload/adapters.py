@@ -20,6 +20,7 @@ PART_RULES = (
 )
 ORDER_KEYS = ["txn_date", "kind", "k1", "k2", "counterparty", "details", "amount"]
 KEY_BLOCK = 4096  # order keys per ordering bucket
+PLANTED_CUSTOMERS, MOST_TASKS = 5000, 20_000  # customers of a task that plants payments, and the most tasks
 LEAST_ACCOUNTS, CUSTOMERS = 100, 15  # accounts at least, and customers that share one
 
 
@@ -168,8 +169,12 @@ def sheet_rows(spark: SparkSession, sf_dir: str, shifted_year: int | None = None
 
 
 def ledger_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One monthly and one weekly merchant per customer."""
-    customer = table(spark, sf_dir, "customer")
+    """One monthly and one weekly merchant per customer.
+
+    A customer becomes 128 payments, so customers are dealt to tasks by number: the file alone is one task.
+    """
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    customer = customer.repartition(max(1, min(MOST_TASKS, -(-customer.count() // PLANTED_CUSTOMERS))), "c_custkey")
     customer.createOrReplaceTempView("tm_customer")
     tx = spark.sql(
         """
