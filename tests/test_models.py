@@ -179,6 +179,25 @@ def test_projection_is_repeatable_nested_and_centred(panel):
     assert np.allclose(alone[alone.step == 1]["p50"], want)
 
 
+def test_a_fan_is_taken_where_its_paths_are(panel, monkeypatch):
+    """Accounts are dealt to tasks by number, and their paths are not shuffled or sorted between tasks again."""
+    series, rows, names = panel
+    start = PJ.seeds(series, "W", 3).join(LN.client_ridge(rows, names), "account_id")
+    start = cut(start.withColumn("ref", F.lit(50.0)).withColumn("margin", F.lit(80.0)))
+    columns = ["account_id", "period", "level", "lo", "hi"]
+
+    def fan():
+        out = PJ.fan(PJ.simulate(start, "W", 3, PJ.linear_point(names), n_paths=40))
+        return out, sorted(tuple(r) for r in out.select(*columns).collect())
+
+    _, together = fan()
+    monkeypatch.setattr(PJ, "ACCOUNTS_A_TASK", 1)
+    out, dealt = fan()
+    assert dealt == together and len(dealt) == 3 * 3 * len(C.LEVELS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_tree_contributions_add_up(panel):
     _, rows, names = panel
     model = T.fit_forest(LN.train_only(rows), names, config={"trees": 5, "depth": 4, "leaf": 5, "features": "all"})
