@@ -181,3 +181,35 @@ def test_planted_payments_and_cadences_are_dealt_by_rows(spark, monkeypatch, tmp
     tx, small = rules()
     assert tx.rdd.getNumPartitions() >= 10 and tx.count() == 40 * 128
     assert small == plain and len(plain) == 80
+
+
+def test_sheets_read_the_tables_once(spark, tmp_path):
+    """The plan of a union of statement files does not hold the ledger's joins again for each step and file."""
+    from workload import adapters
+    from workload.ledger_queries import s3
+
+    day, n = dt.date(1998, 12, 30), 20
+    tables = {
+        "customer": [(i, "A", 1.0) for i in range(n)],
+        "orders": [(i, i % 3, day + dt.timedelta(i % 4), 10.25 + i, "O", "1-URGENT") for i in range(n)],
+        "lineitem": [(i, j, i % 2, day + dt.timedelta((i + j) % 5), 3.5 + j, 0.1, "N") for i in range(n) for j in (1, 2)],
+        "part": [(0, "big RING", "LARGE"), (1, "PLATE", "SMALL")],
+    }
+    names = {"customer": "c_custkey long, c_mktsegment string, c_acctbal double",
+             "orders": "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderstatus string, o_orderpriority string",
+             "lineitem": "l_orderkey long, l_linenumber long, l_partkey long, l_shipdate date, l_extendedprice double, l_discount double, l_returnflag string",
+             "part": "p_partkey long, p_name string, p_type string"}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, names[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    union = s3(spark, str(tmp_path))
+    plan = union._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and plan.count("Scan parquet") <= 5
+    got = union.orderBy("account_id", "id").toPandas()
+    base = adapters.ledger_base(spark, str(tmp_path)).select("*").toPandas().sort_values(["account_id", "txn_date", "kind", "k1", "k2"])
+    assert (got["id"].to_numpy() == base.groupby("account_id").cumcount().to_numpy() + 1).all()
+    assert got["txn_date"].tolist() == base["txn_date"].tolist()
+    cents = np.array([D(str(a)).quantize(D("0.01"), "ROUND_HALF_UP") for a in base["amount"]])
+    run = pd.Series(cents.astype(float), index=base.index).groupby(base["account_id"]).cumsum().to_numpy()
+    seen = got["id"].to_numpy() % 10 != 0
+    assert np.allclose(got["amount"], cents.astype(float)) and np.allclose(got["balance"][seen], run[seen])
+    assert got["balance"][~seen].isna().all()

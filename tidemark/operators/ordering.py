@@ -34,17 +34,22 @@ def running_totals(
     counted = {"__rows": F.count(F.lit(1)), **{f"__sum_{out}": F.sum(src) for out, src in sums.items()}}
     result = df.select("*", *[expr.alias(name) for level in levels for name, expr in level])
     fine = [*group, *[name for level in levels for name, _ in level]]
-    totals = result.groupBy(*fine).agg(*[total.alias(c) for c, total in counted.items()])
-    offsets, above = totals.select(*fine, *[F.lit(0).alias(f"__before{c}") for c in counted]), list(group)
+    # written once, as each level reads other columns of them and would read ``df`` again
+    totals = cut(result.groupBy(*fine).agg(*[total.alias(c) for c, total in counted.items()]))
+    parts, above = [], list(group)
     for level in levels:
         names = [name for name, _ in level]
         keys = [*above, *names]
         part = totals.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counted]) if keys != fine else totals
         before = Window.partitionBy(*above).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-        part = part.select(*keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__level{c}") for c in counted])
-        offsets = offsets.join(part, keys).select(
-            *fine, *[(F.col(f"__before{c}") + F.col(f"__level{c}")).alias(f"__before{c}") for c in counted])
+        parts.append((keys, part.select(*keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before{c}") for c in counted])))
         above = keys
+    # from the innermost level out: its window leaves the rows where the join with the level above wants them
+    offsets = parts[-1][1]
+    for keys, part in reversed(parts[:-1]):
+        outer = part.select(*keys, *[F.col(f"__before{c}").alias(f"__outer{c}") for c in counted])
+        offsets = offsets.join(outer, keys).select(
+            *fine, *[(F.col(f"__outer{c}") + F.col(f"__before{c}")).alias(f"__before{c}") for c in counted])
 
     inside = Window.partitionBy(*fine).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
