@@ -353,3 +353,15 @@ def test_headline_with_a_tree(spark):
     assert set(fan["kind"]) == {"holdout", "anchor", "projection"}
     ahead = fan[fan["kind"] == "projection"]
     assert (ahead.groupby("account_id").size() == N.HORIZON["W"] * len(C.LEVELS)).all() and set(ahead["account_id"]) == set(choice)
+
+
+def test_fits_stop_adding_tasks_with_rows(spark):
+    """Every task of a fit shuffles histograms of all nodes, so tasks must not follow the rows one for 4,000."""
+    from tidemark.operators import trees
+
+    rows = spark.range(200_000).select(F.col("id").cast("double").alias("x"), F.rand(1).alias("y"))
+    few = rows.where("x < 40000")
+    assert trees._training(rows, ["x"], "y", trees.FOREST_ROWS).rdd.getNumPartitions() == trees.SPREAD
+    assert trees._training(few, ["x"], "y", trees.FOREST_ROWS).rdd.getNumPartitions() == 10
+    assert trees._training(rows, ["x"], "y", trees.FOREST_ROWS).count() == 200_000
+    assert [trees.fit_tasks(n, trees.FOREST_ROWS) for n in (0, 1, 20_000_000)] == [1, 1, 80]
