@@ -213,3 +213,12 @@ def test_sheets_read_the_tables_once(spark, tmp_path):
     seen = got["id"].to_numpy() % 10 != 0
     assert np.allclose(got["amount"], cents.astype(float)) and np.allclose(got["balance"][seen], run[seen])
     assert got["balance"][~seen].isna().all()
+
+
+def test_accounts_are_dealt_to_so_many_tasks(spark):
+    """Filling days keeps the tasks it was dealt, however few bytes the rows have, and gives the same rows."""
+    rows = [(a, day("2020-01-01") + dt.timedelta(3 * k), D(a + k), "dining") for a in range(40) for k in range(3)]
+    tx = spark.createDataFrame(rows, "account_id long, txn_date date, amount decimal(18,2), spending_group string")
+    dealt = R.daily_series(tx, ("dining",), tasks=13)
+    assert dealt.rdd.getNumPartitions() == 13
+    assert sorted(dealt.collect()) == sorted(R.daily_series(tx, ("dining",)).collect())

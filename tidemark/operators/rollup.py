@@ -120,13 +120,14 @@ def reconstruct_balance(series: DataFrame, start: Column | float = 0.0) -> DataF
     return series.withColumn("end_balance", begin + F.sum("net_flow").over(upto))
 
 
-def daily_series(tx: DataFrame, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
-    """Gap-filled daily series of a labelled ledger.
+def daily_series(tx: DataFrame, groups: Sequence[str] = ALL_GROUPS, tasks: int | None = None) -> DataFrame:
+    """Gap-filled daily series of a labelled ledger; ``tasks`` deals the accounts to so many tasks.
 
     With statement balances the end-of-day balance is read from them.  Without, it is rebuilt from
     an opening of 0 on the daily rows, which spares sorting the transactions.
     """
-    filled = fill_calendar(daily_flows(tx, groups))
+    days = daily_flows(tx, groups)
+    filled = fill_calendar(days.repartition(tasks, "account_id") if tasks else days)
     return filled.drop("opening") if "balance" in tx.columns else reconstruct_balance(filled)
 
 

@@ -13,10 +13,14 @@ from tidemark.operators import rollup as R
 from workload import adapters as A
 
 N_TEST = 12
+# accounts of a task that fills their days, and the least tasks: days take little in the shuffle and many times that
+# when they are filled and summed, so tasks dealt by bytes would outgrow their memory
+ACCOUNTS_A_TASK, LEAST_TASKS = 250, 8
 
 
 def daily_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return R.daily_series(A.ledger_flows(spark, sf))
+    tasks = max(LEAST_TASKS, -(-A.accounts(spark, sf) // ACCOUNTS_A_TASK))
+    return R.daily_series(A.ledger_flows(spark, sf), tasks=tasks)
 
 
 def weekly_panel(spark: SparkSession, sf: str) -> DataFrame:
