@@ -4,6 +4,7 @@ import random
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,37 @@ def test_passages_whose_seeds_have_many_owners(spark):
     assert got == {d: (lo, hi, d // 1000 * 1000 + 500, 17, 1.0) for d, (lo, hi) in want.items()}
 
 
+def test_seeds_of_many_texts_at_once():
+    """Minimisers taken over all texts together are those of each text alone, repeated words and odd texts included."""
+    rng = random.Random(41)
+    texts = [None, "", " \t", "one", "A b\x0bC\x0cd\x1de  f ", "\u00c4 b c d e f g h i j k l m n", "x " * 40]
+    texts += [" ".join(rng.choice("abc") for _ in range(n)) for n in [*range(1, 30), 200]] + [None, ""]
+    h, begins = passages.Hashes().of_all(pa.array(texts, pa.string()))
+    found = passages.seeds(h, begins)
+    assert len(begins) == len(texts) + 1
+    for i, t in enumerate(texts):
+        own = passages.Hashes().of(t)
+        assert own.tolist() == h[begins[i]:begins[i + 1]].tolist()
+        g = [int(passages.windows(own[j:j + passages.K], passages.K)[0].view(np.uint64)) for j in range(len(own) - passages.K + 1)]
+        width = min(passages.WINDOW, len(g))
+        want = sorted({min(range(j, j + width), key=lambda j: (g[j], j)) for j in range(len(g) - width + 1)}) if g else []
+        mine = found[0] == i
+        assert found[1][mine].tolist() == want and found[2][mine].tolist() == [g[j] for j in want]
+
+
+def test_words_of_chains_do_not_meet_in_one_row(spark):
+    """The words of a chain reach the task that aligns it as rows of one block, not as one row of all blocks: whole
+    copies of long documents made batches of rows of many blocks that outgrew an executor."""
+    rng = random.Random(43)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3_000))
+    docs = spark.createDataFrame([(i, text) for i in range(12)], "doc long, text string").repartition(3)
+    chains = spark.createDataFrame([(i, 0, 0, 2_900, 0, 2_900, None) for i in range(1, 12)],
+                                   "doc long, owner long, x0 int, x1 int, y0 int, y1 int, anchors binary")
+    found = passages._aligned(docs, chains)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(i, 0, 0, 3_000, 0, 3_000, 1.0) for i in range(1, 12)]
+
+
 def plain_chain_score(x, y, k, cost, limit):
     order = sorted(range(len(x)), key=lambda i: x[i])
     best = {}

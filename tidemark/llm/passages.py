@@ -18,7 +18,7 @@ scattered over many of them.  Exact repeats do not depend on that: where a docum
 occur in several documents (``spans``; any passage that two documents share lies in such a span of both), every
 window of ``MIN_WORDS`` words is matched with the smallest document that has the same window.
 
-Every shuffle is keyed by seed, by window, by document or by block of a document.  Owners of frequent seeds are found
+Every shuffle is keyed by seed, by window, by document, by block of a document or by chain.  Owners of frequent seeds are found
 by partial aggregation, and matching is a plain join, which Spark splits where a seed is frequent.
 """
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ MIN_CHAIN = 16
 GAP_COST, MOST_GAP = 0.1, 64
 #: Words of a stored block, and the margin of an alignment.
 BLOCK, MARGIN = 64, 48
+#: Bytes of text whose words are hashed at a time.
+RUN = 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -62,45 +65,76 @@ class Hashes(dict):
         w = words(text)
         return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
 
-
-def seeds(h: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the minimisers of a document given its words' hashes."""
+    def of_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all ``texts``, one after the other, and where each text's begin, with the end of the
+        last; each distinct word is looked up once."""
+        trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(trimmed), 0), pa.scalar(None, trimmed.type), trimmed))
+        found = lists.flatten().dictionary_encode()
+        distinct = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        table = np.fromiter(map(self.__getitem__, distinct), np.uint64, len(distinct))
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        return table[found.indices.to_numpy()], np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def runs(batch: pa.RecordBatch, text: int = 1, most: int = RUN) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``most`` bytes of text about."""
+    size = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), len(size)]
+    for lo, hi in zip(edges, edges[1:]):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
+def seeds(h: np.ndarray, begins: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimisers of texts: their texts, places in the text and hashes, in order.
+
+    ``h`` are the words' hashes of all texts, ``begins`` where each text's begin, with the end of the last.  The
+    smallest hash of every window is found over all texts at once, of equal ones the first; windows that reach
+    into the next text are left out.
+    """
     n = len(h) - k + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         g = np.zeros(n, np.uint64)
         for i in range(k):
             g = (g ^ (g >> np.uint64(29))) * _ODD + h[i:n + i]
         g = (g ^ (g >> np.uint64(32))) * _MIX
         g ^= g >> np.uint64(31)
-    if n <= window:
-        at = np.array([int(np.argmin(g))])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(g, window)
-        at = np.unique(views.argmin(axis=1) + np.arange(n - window + 1))
-    return at, g[at]
+    kmers = np.diff(begins) - k + 1
+    least, at, width = g, np.arange(n), 1
+    while width < window and len(least):
+        shift = min(width, window - width)  # the second half may overlap the first
+        left = max(0, len(least) - shift)
+        at = np.where(least[shift:] < least[:left], at[shift:], at[:left])
+        least = np.minimum(least[shift:], least[:left])
+        width += shift
+    last = np.repeat(begins[:-1] + kmers - window, np.diff(begins))[:len(at)]  # of the windows of a place's text
+    at = at[np.arange(len(at)) <= last]
+    at = at[np.concatenate([[True], np.diff(at) != 0])] if len(at) else at
+    short = begins[:-1][(kmers >= 1) & (kmers < window)]
+    sizes = kmers[(kmers >= 1) & (kmers < window)]
+    if len(short):
+        at = np.sort(np.concatenate([at, [lo + int(np.argmin(g[lo:lo + size])) for lo, size in zip(short.tolist(), sizes.tolist())]]))
+    text = np.searchsorted(begins, at, "right") - 1
+    return text, at - begins[text], g[at]
 
 
 def _seed_table(docs: DataFrame) -> DataFrame:
     """(seed, doc, pos, first): the seeds of all documents; first marks a seed's first place in the document."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        names = ["seed", "doc", "pos", "first"]
-        for batch in it:
-            held, size = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                at, g = seeds(hashes.of(text.as_py()))
-                if len(at):
-                    first = np.zeros(len(at), bool)
-                    first[np.unique(g, return_index=True)[1]] = True
-                    held.append((g.view(np.int64), np.full(len(at), doc_id.as_py(), np.int64), at.astype(np.int32), first))
-                    size += len(at)
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
+        for batch in (part for b in it for part in runs(b)):
+            text, pos, g = seeds(*hashes.of_all(batch.column(1)))
+            if not len(g):
+                continue
+            first = np.zeros(len(g), bool)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1, [len(text)]]).tolist()
+            for lo, hi in zip(edges, edges[1:]):
+                first[lo + np.unique(g[lo:hi], return_index=True)[1]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(pos.astype(np.int32)),
+                                              pa.array(first)], names=["seed", "doc", "pos", "first"])
 
     return docs.mapInArrow(run, "seed long, doc long, pos int, first boolean")
 
@@ -109,26 +143,20 @@ def _block_table(docs: DataFrame) -> DataFrame:
     """(doc, block, tokens): the documents' words as 32-bit hashes, ``BLOCK`` words a row."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in it:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                t = hashes.of(text.as_py()).astype(np.uint32).view(np.int32)
-                if len(t):
-                    parts = [t[i:i + BLOCK].tobytes() for i in range(0, len(t), BLOCK)]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()),
-                                                      pa.array(parts, pa.binary())], names=["doc", "block", "tokens"])
-
-    def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in run(it):
-            held.append(b)
-            size += b.num_rows
-            if size > 5_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for batch in (part for b in it for part in runs(b)):
+            h, begins = hashes.of_all(batch.column(1))
+            if not len(h):
+                continue
+            blocks = -(-np.diff(begins) // BLOCK)
+            text = np.repeat(np.arange(len(blocks)), blocks)
+            block = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            # blocks follow each other without a gap, so the ends of all but the last are the next one's begin
+            edges = np.append(begins[text] + BLOCK * block, len(h)) * 4
+            tokens = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(h.astype(np.uint32))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(block.astype(np.int32)), tokens],
+                                             names=["doc", "block", "tokens"])
 
-    return docs.mapInArrow(merged, "doc long, block int, tokens binary")
+    return docs.mapInArrow(run, "doc long, block int, tokens binary")
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int = K) -> list[tuple[int, int, int, int]]:
@@ -376,36 +404,62 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
     needed = cut(wanted)
     blocks = _block_table(docs).join(needed.select(F.col("want").alias("doc"), "block").distinct(), ["doc", "block"], "left_semi")
     words_of = needed.join(blocks.withColumnRenamed("doc", "want"), ["want", "block"])
-    gathered = words_of.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("side", "block", "tokens", "anchors"))).alias("fetched"))
+    # rows of a chain follow each other, so a task holds the words of one chain at a time
+    key = ["doc", "owner", "x0", "x1", "y0", "y1"]
+    gathered = (words_of.select("chain.*", "side", "block", "tokens", "anchors").repartition(*key)
+                .sortWithinPartitions(*key, "side", "block", "tokens"))
 
     names = ["doc_id", "other_id", "start", "end", "other_start", "other_end", "share"]
     kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4 + [pa.float64()]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(c, sides, anchors) -> Iterator[pa.RecordBatch]:
+        doc, owner, x0, x1, y0, y1 = c
+        if not sides[0]:
+            return
+        a0 = min(sides[0]) * BLOCK
+        a = np.frombuffer(b"".join(sides[0].values()), np.int32)
+        if y0 < 0:
+            if len(g := windows(a[x0 - a0:x1 - a0].view(np.uint32).astype(np.uint64))):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(g), doc)), pa.array(g), pa.array(np.arange(x0, x0 + len(g), dtype=np.int32)),
+                    *[pa.nulls(len(g), k) for k in kinds[3:]]], names=names)
+        elif sides[1]:
+            b0, b = min(sides[1]) * BLOCK, np.frombuffer(b"".join(sides[1].values()), np.int32)
+            found = [align(a, a0, b, b0, (x0, x1, y0, y1))]
+            if found[0][4] < MIN_SHARE * max(1, found[0][1] - found[0][0], found[0][3] - found[0][2]):
+                found = parts(a, a0, b, b0, np.frombuffer(anchors, np.int32).reshape(-1, 3))
+            if found:
+                rows = [(doc, owner, u0, u1, v0, v1, min(1.0, same / max(1, u1 - u0, v1 - v0))) for u0, u1, v0, v1, same in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sides, anchors = None, [{}, {}], b""
         for batch in it:
-            rows = []
-            for c, fetched in zip(batch.column(0), batch.column(1)):
-                c, sides, anchors = c.as_py(), [{}, {}], b""
-                for part in fetched.as_py():
-                    sides[part["side"]].setdefault(part["block"], part["tokens"])
-                    anchors = part["anchors"] or anchors
-                if c["owner"] is None and sides[0]:
-                    a0 = min(sides[0]) * BLOCK
-                    a = np.frombuffer(b"".join(sides[0][i] for i in sorted(sides[0])), np.int32)[c["x0"] - a0:c["x1"] - a0]
-                    if len(g := windows(a.view(np.uint32).astype(np.uint64))):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(g), c["doc"])), pa.array(g), pa.array(np.arange(c["x0"], c["x0"] + len(g), dtype=np.int32)),
-                            *[pa.nulls(len(g), k) for k in kinds[3:]]], names=names)
-                if not sides[0] or not sides[1]:
-                    continue
-                a, b = (np.frombuffer(b"".join(s[i] for i in sorted(s)), np.int32) for s in sides)
-                a0, b0 = (min(s) * BLOCK for s in sides)
-                found = [align(a, a0, b, b0, (c["x0"], c["x1"], c["y0"], c["y1"]))]
-                if found[0][4] < MIN_SHARE * max(1, found[0][1] - found[0][0], found[0][3] - found[0][2]):
-                    found = parts(a, a0, b, b0, np.frombuffer(anchors, np.int32).reshape(-1, 3))
-                rows += [(c["doc"], c["owner"], x0, x1, y0, y1, min(1.0, same / max(1, x1 - x0, y1 - y0))) for x0, x1, y0, y1, same in found]
-            cols = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
+            # spans have no owner and no y, so their y0 becomes -1
+            ids = np.stack([c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]])
+            side, block, tokens, marks = (c.to_pylist() for c in batch.columns[6:])
+            edges = (np.flatnonzero((np.diff(ids) != 0).any(axis=0)) + 1).tolist()
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+                if lo < hi and (c := tuple(ids[:, lo].tolist())) != current:
+                    if current is not None:
+                        yield from compared(current, sides, anchors)
+                    current, sides, anchors = c, [{}, {}], b""
+                for i in range(lo, hi):
+                    sides[side[i]].setdefault(block[i], tokens[i])
+                    anchors = marks[i] or anchors
+        if current is not None:
+            yield from compared(current, sides, anchors)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in each(it):
+            held.append(b)
+            size += b.num_rows
+            if size > 10_000 or len(held) > 1_000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     return gathered.mapInArrow(run, "doc_id long, other_id long, start int, end int, other_start int, other_end int, share double")
 
