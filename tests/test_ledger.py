@@ -222,3 +222,18 @@ def test_accounts_are_dealt_to_so_many_tasks(spark):
     dealt = R.daily_series(tx, ("dining",), tasks=13)
     assert dealt.rdd.getNumPartitions() == 13
     assert sorted(dealt.collect()) == sorted(R.daily_series(tx, ("dining",)).collect())
+
+
+def test_accounts_of_weeks_are_dealt_and_unused_features_left_out(spark):
+    """Filling weeks keeps the tasks it was dealt and gives the same rows; rows written for a query that uses one feature
+    hold no other."""
+    from workload import panels
+
+    rows = [(a, day("2020-01-01") + dt.timedelta(17 * k), D(a + k), "dining") for a in range(40) for k in range(3)]
+    tx = spark.createDataFrame(rows, "account_id long, txn_date date, amount decimal(18,2), spending_group string")
+    dealt = R.weekly_series(tx, ("dining",), tasks=13)
+    assert dealt.rdd.getNumPartitions() == 13
+    assert sorted(dealt.collect()) == sorted(R.weekly_series(tx, ("dining",)).collect())
+    wide = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "account_id long, a double, b double, y double")
+    assert panels.narrowed(wide, ["a", "b"], ["b"]).columns == ["account_id", "b", "y"]
+    assert panels.narrowed(wide, ["a", "b"], None).columns == wide.columns

@@ -131,9 +131,11 @@ def daily_series(tx: DataFrame, groups: Sequence[str] = ALL_GROUPS, tasks: int |
     return filled.drop("opening") if "balance" in tx.columns else reconstruct_balance(filled)
 
 
-def weekly_series(tx: DataFrame, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
-    """``weekly`` of ``daily_series`` without the days: transactions are summed by week and only weeks are filled."""
-    filled = fill_calendar(daily_flows(tx, groups, freq="W"), step=7)
+def weekly_series(tx: DataFrame, groups: Sequence[str] = ALL_GROUPS, tasks: int | None = None) -> DataFrame:
+    """``weekly`` of ``daily_series`` without the days: transactions are summed by week and only weeks are filled;
+    ``tasks`` deals the accounts to so many tasks."""
+    weeks = daily_flows(tx, groups, freq="W")
+    filled = fill_calendar(weeks.repartition(tasks, "account_id") if tasks else weeks, step=7)
     if "balance" in tx.columns:
         return filled.drop("opening").where(F.col("end_balance").isNotNull())
     return reconstruct_balance(filled)

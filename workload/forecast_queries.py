@@ -15,10 +15,10 @@ from workload.registry import num, nums, query
 ONE, TWO = ["nf_lag_1"], ["nf_lag_1", "nf_roll_mean_4"]
 
 
-def split_rows(spark, sf):
-    """Weekly rows with holdout marks, written once: several fits read them."""
+def split_rows(spark, sf, used=None):
+    """Weekly rows with holdout marks, written once: several fits read them.  All features are written, or those ``used``."""
     rows, names = panels.weekly_split(spark, sf)
-    return cut(rows), names
+    return cut(panels.narrowed(rows, names, used)), names
 
 
 def _weights(df, k):
@@ -192,7 +192,7 @@ mae as (select account_id, i / 10.0 w, avg(abs(y - (i / 10.0 * g + (1 - i / 10.0
 
 @query("m16_blend_weight", "with " + BLEND + " select account_id, cast(min_by(w, (mae, w)) as double) w from mae group by 1")
 def m16(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, [*ONE, "nf_roll_mean_8"])
     return LN.blend_weights(rows, ONE, "nf_roll_mean_8")
 
 
@@ -221,7 +221,7 @@ group by 1, 2""")
 def x2_linear(spark, sf):
     from tidemark.operators import attribution as AT
 
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, TWO)
     return nums(AT.linear_attribution(rows, LN.least_squares(rows, TWO), TWO), 2)
 
 

@@ -56,7 +56,7 @@ best as (select min_by(cut, (sse, cut)) cut, min_by(lo, (sse, cut)) lo, min_by(h
 @query("m7_one_split", "with " + STUMP + """
 select account_id, period, round(case when "month" <= cut then lo else hi end, 4) prediction from spl, best where is_test""")
 def m7_one(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, ["month"])
     model = T.fit_forest(LN.train_only(rows), ["month"], "y", {"trees": 1, "depth": 1, "leaf": 1, "features": "all", "bootstrap": False})
     return nums(T.predict(rows.where("is_test"), model, ["month"]).select("account_id", "period", "prediction"), 4)
 
@@ -70,7 +70,7 @@ best2 as (select min_by(cut, (sse, cut)) cut2, min_by(lo, (sse, cut)) lo2, min_b
 select account_id, period, round(case when "month" <= cut then lo else hi end + 0.1 * case when "month" <= cut2 then lo2 else hi2 end, 4) prediction
 from spl, best, best2 where is_test""")
 def m8_two(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, ["month"])
     config = {"rounds": 2, "depth": 1, "rate": 0.1, "subsample": 1.0, "leaf": 1}
     model = T.fit_boosting(LN.train_only(rows), ["month"], "y", config)
     return nums(T.predict(rows.where("is_test"), model, ["month"]).select("account_id", "period", "prediction"), 4)
@@ -206,7 +206,7 @@ fits as (select f, """ + _ridge("10") + """ from folded, (select unnest(range(3)
 preds as (select y y_true, my + b * (nf_lag_1 - mx) y_pred from folded join fits on fold = f)
 select 'linear' model, round(1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)), 6) r2, count(*) n from preds""")
 def m13_one(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, ["nf_lag_1"])
     return nums(T.pooled_r2(T.out_of_fold(rows, ["nf_lag_1"], "linear", {"alpha": 10.0}, 3)), 6)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,21 @@ from tidemark.operators import rollup as R
 from workload import adapters as A
 
 N_TEST = 12
-# accounts of a task that fills their days, and the least tasks: days take little in the shuffle and many times that
-# when they are filled and summed, so tasks dealt by bytes would outgrow their memory
-ACCOUNTS_A_TASK, LEAST_TASKS = 250, 8
+# accounts of a task that fills their days or weeks, and the least tasks: periods take little in the shuffle and many
+# times that when they are filled and summed, so tasks dealt by bytes would outgrow their memory
+ACCOUNTS_A_TASK, LEAST_TASKS = {"D": 250, "W": 1000}, 8
+
+
+def _tasks(spark: SparkSession, sf: str, freq: str) -> int:
+    return max(LEAST_TASKS, -(-A.accounts(spark, sf) // ACCOUNTS_A_TASK[freq]))
 
 
 def daily_panel(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = max(LEAST_TASKS, -(-A.accounts(spark, sf) // ACCOUNTS_A_TASK))
-    return R.daily_series(A.ledger_flows(spark, sf), tasks=tasks)
+    return R.daily_series(A.ledger_flows(spark, sf), tasks=_tasks(spark, sf, "D"))
 
 
 def weekly_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return R.weekly_series(A.ledger_flows(spark, sf))
+    return R.weekly_series(A.ledger_flows(spark, sf), tasks=_tasks(spark, sf, "W"))
 
 
 def weekly_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -37,6 +42,11 @@ def weekly_split(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     return O.temporal_split(rows, N_TEST), names
 
 
+def narrowed(rows: DataFrame, names: list[str], used: Sequence[str] | None) -> DataFrame:
+    """Rows without the features (``names``) that a query does not use; all of them if ``used`` is None."""
+    return rows if used is None else rows.drop(*[c for c in names if c not in used])
+
+
 def event_daily(spark: SparkSession, sf: str) -> DataFrame:
     tx = A.ledger_events(spark, sf).withColumn(
         "spending_group", F.when(F.col("amount") > 0, "income").otherwise("shopping"))

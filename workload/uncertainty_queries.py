@@ -34,7 +34,7 @@ oof as (select l.account_id, period, y - (my + cxy * c / (c + 10) / vx * (x - mx
 @query("u1_marginal_band", "with " + FOLD_RESID + """
 select account_id, round(quantile_cont(residual, 0.1), 2) off10, round(quantile_cont(residual, 0.9), 2) off90 from oof group by 1""")
 def u1(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, ONE)
     return nums(C.marginal_offsets(LN.fold_residuals(rows, ONE, alphas=[10.0])), 2)
 
 
@@ -46,7 +46,7 @@ pre as (select account_id, period, rn, n_train, y, x, count(*) over w c, avg(x)
 select account_id, period, round(y - (my + cxy * c / (c + 10) / vx * (x - mx)), 1) residual
 from pre where rn - 1 >= greatest(8, floor(n_train * 0.5))""")
 def u2_one(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, ONE)
     return nums(LN.prequential_residuals(rows, ONE, alphas=[10.0]), 1)
 
 
@@ -79,7 +79,7 @@ def naive_residuals(rows):
 
 
 def _naive_bands(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, [C.SIGMA])
     spec = C.prequential_spec(rows, naive_residuals(rows))
     scored = B.naive(rows).join(rows.select("account_id", "period", C.SIGMA), ["account_id", "period"])
     return C.intervals(scored, spec)
@@ -88,14 +88,14 @@ def _naive_bands(spark, sf):
 @query("u3_volatility_multiplier", "with " + REFS + f"""
 select account_id, period, round({REL}, 6) rel from spl join refs using (account_id)""")
 def u3(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, [C.SIGMA])
     joined = rows.join(C.reference_volatility(rows), "account_id")
     return joined.select("account_id", "period", F.round(C.volatility(F.col("ref"), F.col(C.SIGMA)), 6).alias("rel"))
 
 
 @query("u4_conformal_margins", "with " + SPEC + " select account_id, level, round(ref, 1) \"ref\", round(margin, 1) margin from spec")
 def u4(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, [C.SIGMA])
     spec = C.prequential_spec(rows, naive_residuals(rows))
     return spec.select("account_id", "level", num("ref", digits=1), num("margin", digits=1))
 
@@ -120,7 +120,7 @@ bands as (select account_id, level, total_next between net_flow - margin * {REL}
           from spl join ranked using (account_id), spec where rank > 83 and is_test)
 select level, round(any_value(margin), 1) margin, round(avg(inside::int), 6) coverage from bands join spec using (level) group by 1""")
 def u6(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, [C.SIGMA])
     roles = O.account_holdout(rows.select("account_id").distinct(), 83, 14)
     marked = cut(rows.join(roles, "account_id").withColumn("prediction", F.col("net_flow")))
     spec = cut(C.global_spec(marked.where("role = 'calibration'")))
@@ -152,7 +152,7 @@ select account_id, round(any_value(coverage_before), 6) coverage_before, round(a
        round(avg((y_true between lo and hi)::int), 6) coverage_after, round(median(hi - lo), 1) width_median
 from bands join old using (account_id) where level = 0.8 group by 1""")
 def u8_pair(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, [C.SIGMA])
     out = C.before_after(B.naive(rows), C.marginal_offsets(naive_residuals(rows)), _naive_bands(spark, sf))
     return out.select("account_id", num("coverage_before", digits=6), num("width_before", digits=1),
                       num("coverage_after", digits=6), num("width_median", digits=1))
@@ -192,7 +192,7 @@ resid as (select account_id, period, y - case when m <= cut then lo else hi end
 
 @query("u2_blocks_one_split", "with " + BLOCK_STUMPS + " select account_id, period, round(residual, 2) residual from resid")
 def u2_blocks(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, ["month"])
     return nums(_block_residuals(rows), 2)
 
 
@@ -208,7 +208,7 @@ sorted as (select account_id, list_sort(list(score)) s, count(*) n from scores g
 pos as (select *, (n - 1) * least(1.0::double, ceil((n + 1) * level) / n) p from sorted, {LEVELS})
 select account_id, level, round(s[cast(floor(p) as int) + 1] + (s[cast(ceil(p) as int) + 1] - s[cast(floor(p) as int) + 1]) * (p - floor(p)), 1) margin from pos""")
 def u4_tree(spark, sf):
-    rows, _ = split_rows(spark, sf)
+    rows, _ = split_rows(spark, sf, ["month", C.SIGMA])
     return C.prequential_spec(rows, _block_residuals(rows)).select("account_id", "level", num("margin", digits=1))
 
 
@@ -217,7 +217,8 @@ def _weekly_rows(spark, sf, features=None):
     from tidemark.operators import features as X
 
     rows, names = X.model_rows(series, "W")
-    return series, cut(O.temporal_split(rows, panels.N_TEST)), features or names
+    used = features and [*features, C.SIGMA]
+    return series, cut(panels.narrowed(O.temporal_split(rows, panels.N_TEST), names, used)), features or names
 
 
 def _projection_inputs(spark, sf, features=None):
