@@ -15,6 +15,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import projection as PJ
 from tidemark.operators import recurring as N
 from tidemark.operators import trees as T
+from tidemark.plans import newclient as NC
 from tidemark.session import cut
 
 
@@ -365,3 +366,27 @@ def test_fits_stop_adding_tasks_with_rows(spark):
     assert trees._training(few, ["x"], "y", trees.FOREST_ROWS).rdd.getNumPartitions() == 10
     assert trees._training(rows, ["x"], "y", trees.FOREST_ROWS).count() == 200_000
     assert [trees.fit_tasks(n, trees.FOREST_ROWS) for n in (0, 1, 20_000_000)] == [1, 1, 80]
+
+
+def test_tuned_benchmark_makes_its_rows_once(spark, monkeypatch):
+    """Tuning and the fit at the knee read the same written rows; the features are not computed again for the second."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for account in range(9):
+        x = rng.normal(size=20)
+        rows += [(account, f"2020-01-{i + 1:02d}", "unseen" if account > 7 else "train", i >= 16, float(x[i]), float(2 * x[i] + rng.normal())) for i in range(20)]
+    made = spark.createDataFrame(rows, "account_id long, period string, role string, is_test boolean, a double, y double")
+    calls = []
+
+    def with_roles(weekly, n_train, n_calibration):
+        calls.append((n_train, n_calibration))
+        return weekly, made, ["a"]
+
+    monkeypatch.setattr(NC, "with_roles", with_roles)
+    sweep, bench = NC.tuned_benchmark(made, 8, 0, ["linear"])
+    assert calls == [(8, 0)]
+    knee = T.knee_settings(sweep)
+    assert sweep.count() == 3 and bench.settings == knee and bench.features == ["a"]
+    plain = T.predict(made, T.fit_ridge(made.where("role = 'train'"), ["a"], "y", knee["linear"]), ["a"]).collect()
+    got = {(r.account_id, r.period): r.linear for r in bench.rows.collect()}
+    assert len(got) == 180 and all(np.isclose(got[r.account_id, r.period], r.prediction) for r in plain)
