@@ -61,3 +61,42 @@ def test_packing():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
     assert (katz.unpack_keys(katz.pack_keys(keys)) == keys).all()
     assert (np.diff(katz.bucket_of(keys, 7).astype(int)) >= 0).all()
+
+
+def zipf_texts(n, length, words, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, int(rng.integers(0, length))), words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("order,chunk,bucket", [(3, 300, 400), (3, 10**6, 10**6), (4, 500, 3000), (2, 200, 100)])
+def test_words_that_occur_once(spark, order, chunk, bucket):
+    """Contexts that occur once, in training or held-out documents only, whole and split ones, as by brute force."""
+    rows = list(enumerate(zipf_texts(80, 60, 10**6, 5)))
+    model = Katz(rows, order)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_known, round(r.score, 8)) for r in katz.score(docs, order, chunk, bucket).collect()}
+    assert got == {i: (model.known(t), round(model.score(t), 8)) for i, t in rows}
+    whole = katz.fit_and_score(docs, order, chunk, bucket)
+    assert {r.doc_id: (r.n_known, round(r.score, 8)) for r in whole["scores"].collect()} == got
+    for n in range(2, order + 1):
+        alphas = sorted(round(r.alpha, 8) for r in whole["backoff"].filter(f"n = {n}").collect())
+        assert alphas == sorted(round(model.alpha(n, h), 8) for m, h in model.follow if m == n)
+
+
+def test_tables_are_packed(spark):
+    """The tables written for trigrams take a few bytes a token: contexts and events are no rows of their own."""
+    import os
+
+    from tidemark.session import shared_dir
+
+    def used():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(shared_dir(spark).removeprefix("file:")) for f in files)
+
+    texts = zipf_texts(400, 1000, 10**6, 6)
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    before = used()
+    assert len(katz.score(docs, 3, 60_000, 60_000).collect()) == len(texts)
+    assert used() - before < 10 * tokens
