@@ -2,6 +2,7 @@ import os
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,77 @@ def test_fits_need_known_values(spark):
         gram.fit(rows, ["account_id"], ["x"], "y").collect()
     one = rows.where("x is not null").withColumn("account_id", F.when(F.col("y") < 4, F.col("account_id")))
     assert [r.account_id for r in gram.fit(one.unionByName(one), ["account_id"], ["x"], "y").collect()] == [1]
+
+
+def one_path(gram, cross, floor):
+    """The lasso path of one problem, its active block solved anew at every kink."""
+    corr, beta = cross.copy(), np.zeros(len(cross))
+    alpha, active, left = np.abs(corr).max(), [int(np.argmax(np.abs(corr)))], -1
+    alphas, betas = [alpha], [beta.copy()]
+    while alpha > floor * (1 + 1e-12):
+        move = np.linalg.solve(gram[np.ix_(active, active)], np.sign(corr[active]))
+        rate = gram[:, active] @ move
+        ways = [((alpha - c) / (1 - r) if r < 1 else np.inf, (alpha + c) / (1 + r) if r > -1 else np.inf) for c, r in zip(corr, rate)]
+        joins = [np.inf if j in active or j == left else max(min(w), 0.0) for j, w in enumerate(ways)]
+        leaves = [-beta[j] / m if -beta[j] / m > 1e-15 else np.inf for j, m in zip(active, move)]
+        step = min(min(joins), min(leaves), alpha - floor)
+        beta[active] += step * move
+        corr, alpha, left = corr - step * rate, alpha - step, -1
+        if min(leaves) <= step:
+            left = active.pop(int(np.argmin(leaves)))
+            beta[left] = 0.0
+        else:
+            active.append(int(np.argmin(joins)))
+        alphas.append(alpha)
+        betas.append(beta.copy())
+    return np.array(alphas), np.array(betas)
+
+
+def problems(count=12, p=9):
+    """Correlated features (coefficients also leave), of different lengths and levels."""
+    rng = np.random.default_rng(3)
+    out = []
+    for i in range(count):
+        x = rng.normal(size=(20 + 7 * i, p)) @ (np.eye(p) + 0.8 * rng.normal(size=(p, p)))
+        x = x - x.mean(0)
+        y = x @ rng.normal(size=p) + rng.normal(size=len(x)) * 10 ** (i % 3)
+        y = y - y.mean()
+        out.append((x.T @ x / len(x), x.T @ y / len(x)))
+    return out
+
+
+def test_paths_followed_together_equal_single_ones():
+    grams, crosses = map(np.stack, zip(*problems()))
+    floors = np.abs(crosses).max(axis=1) * 1e-3
+    found = S.lasso_knots(grams, crosses, floors)
+    assert len({len(a) for a, _ in found}) > 1 and any((np.diff((b != 0).sum(axis=1)) < 0).any() for _, b in found)
+    for gram, cross, floor, (alphas, betas) in zip(grams, crosses, floors, found):
+        plain = one_path(gram, cross, floor)
+        assert np.allclose(alphas, plain[0], rtol=1e-9) and np.allclose(betas, plain[1], atol=1e-9 * np.abs(plain[1]).max())
+
+
+def test_paths_with_dependent_features_end_early():
+    """Three features of which one is the sum of the others: a path ends where all would be active, the others go on."""
+    gram, cross = problems(1, 2)[0]
+    join = np.array([[1.0, 0, 1], [0, 1, 1]])
+    whole, part = (np.eye(3), np.array([3.0, 2, 1])), (join.T @ gram @ join, np.array([1.0, -1, 3]) * 5)
+    wanted = np.geomspace(15, 15e-3, 30)
+    first, second = S.lasso_each([(*whole, wanted), (*part, wanted)])
+    assert np.allclose(first, np.sign(whole[1])[:, None] * np.maximum(np.abs(whole[1])[:, None] - wanted, 0))
+    assert np.isnan(second).any() and not np.isnan(second[:, 0]).any() and not np.isnan(first).any()
+
+
+def test_all_paths_of_an_account_are_followed_together(monkeypatch):
+    """The fit on all rows, the five in its folds, and the folds of each of these: 36 paths in one call."""
+    from tidemark.operators import linear as LN
+
+    x, y = data(n=120)
+    calls, plain = [], S.lasso_knots
+    monkeypatch.setattr(S, "lasso_knots", lambda *a: calls.append(len(a[0])) or plain(*a))
+    monkeypatch.setattr(LN.gram, "keyed", lambda rows, keys: rows)
+    monkeypatch.setattr(LN, "_spread", lambda rows: rows)
+    bodies = []
+    monkeypatch.setattr(LN.gram, "grouped", lambda rows, keys, columns, body, *rest: bodies.append(body))
+    LN._family(None, [f"x{i}" for i in range(x.shape[1])], "y", 5, ["ols", "lasso", "ridge"], True)
+    out = bodies[0](np.column_stack([x, y]), pa.table({"rn": np.arange(120)}))
+    assert calls == [36] and out["model"] == ["ols", "lasso", "ridge"]
