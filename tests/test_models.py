@@ -390,3 +390,29 @@ def test_tuned_benchmark_makes_its_rows_once(spark, monkeypatch):
     plain = T.predict(made, T.fit_ridge(made.where("role = 'train'"), ["a"], "y", knee["linear"]), ["a"]).collect()
     got = {(r.account_id, r.period): r.linear for r in bench.rows.collect()}
     assert len(got) == 180 and all(np.isclose(got[r.account_id, r.period], r.prediction) for r in plain)
+
+
+def test_benchmark_writes_its_rows_once_and_only_used_features(spark, monkeypatch):
+    """Models of one feature write no other; predictions are not written with the rows again."""
+    from tidemark.plans import newclient as NC
+
+    rng = np.random.default_rng(8)
+    weekly = pd.concat([pd.DataFrame({
+        "account_id": a, "period": [dt.date(2020, 1, 5) + dt.timedelta(weeks=i) for i in range(70)], "net_flow": rng.normal(size=70) * 100 + a,
+        "txn_count": 3, "grp_income": 1.0, "grp_groceries": rng.normal(size=70), "end_balance": rng.normal(size=70)}) for a in range(1, 9)])
+    weekly = spark.createDataFrame(weekly).selectExpr("account_id", "period", "cast(net_flow as decimal(28,4)) net_flow", "cast(txn_count as long) txn_count",
+                                                      "cast(grp_income as decimal(28,4)) grp_income", "cast(grp_groceries as decimal(28,4)) grp_groceries",
+                                                      "cast(end_balance as decimal(28,4)) end_balance")
+    written, plain = [], NC.cut
+    monkeypatch.setattr(NC, "cut", lambda df: written.append(df.columns) or plain(df))
+    settings = {"linear": {"alpha": 10.0}}
+    whole, one = NC.benchmark(weekly, 5, 1, settings), NC.benchmark(weekly, 5, 1, settings, ["nf_lag_1"])
+    wide = [c for c in written if "role" in c]
+    assert len(wide) == 2 and "nf_lag_2" in wide[0] and "nf_lag_1" in wide[1] and "nf_lag_2" not in wide[1]
+    for bench in (whole, one):
+        assert {"linear", "role", "is_test", "y", "total_next"} <= set(bench.rows.columns)
+        scored = bench.rows.orderBy("account_id", "period").toPandas()
+        assert set(scored["role"]) == {"train", "calibration", "unseen"} and scored["linear"].notna().all()
+        model = bench.models["linear"]
+        assert np.allclose(scored["linear"], scored[bench.features].to_numpy(float) @ model.coefficients.toArray() + model.intercept)
+        assert {r.account_id for r in NC.zero_shot(bench).select("account_id").collect()} == set(scored["account_id"][scored["role"] == "unseen"])
