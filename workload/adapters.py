@@ -133,9 +133,11 @@ def sheet_rows(spark: SparkSession, sf_dir: str, shifted_year: int | None = None
     """The ledger as statement cells: one file per account and year, with marker and junk rows.
 
     Ids and running sums follow one order, so one pass makes both.  Its rows and the sheet are written once each: every
-    step reads the one before several times, so without that the work of the first doubles with each.
+    step reads the one before several times, so without that the work of the first doubles with each.  Rows without a
+    date or an order key get no place on a sheet; ids count them, sums do not.
     """
-    base = ledger_base(spark, sf_dir).withColumn("cents", F.round("amount", 2).cast("decimal(18,2)"))
+    placed = F.col("txn_date").isNotNull() & F.col("k1").isNotNull()
+    base = ledger_base(spark, sf_dir).withColumn("cents", F.when(placed, F.round("amount", 2).cast("decimal(18,2)")))
     tx = cut(numbered(base, sums={"run": "cents"}).select(
         "account_id", "txn_date", "id", "counterparty", "details", "cents", "run", F.year("txn_date").alias("file_seq")))
     data = tx.select(
